@@ -107,3 +107,44 @@ def entries(g: Graph) -> DataFrame:
     """Endpoints: methods declared where a route is."""
     return g.methods.join(g.routes.select("file_path", "start_line"), ["file_path", "start_line"]).select(
         "id", F.col("qualified_name").alias("fqn"))
+
+
+# --- Java sources: every page becomes a controller, every link a mapped method ---------------------
+
+_LINKS = [
+    ('<a href="(/[A-M][^"]*)">([^<]*)</a>',
+     '\n@PostMapping(value = "{1}")\npublic String save(@RequestParam(name = "q", required = false) String word, @RequestBody Form form) {\n  return "{2}" + word;\n}\n'),
+    ('<a href="(/[a-f][^"]*)">([^<]*)</a>',
+     '\n@RequestMapping(path = "{1}/{id}", method = RequestMethod.PUT)\npublic int put(@PathVariable("id") Long id, @RequestHeader String agent) {\n  return 1;\n}\n'),
+    ('<a href="(/[^"]*)">([^<]*)</a>',
+     '\n@GetMapping({ "{1}", "{2}/exec" })\n// lookup\n@ResponseBody\npublic Map<String, Object> find(@RequestParam int page, MultipartFile file) {\n  return null;\n}\n'),
+]
+_HEAD = ('package site.page;\nimport org.springframework.boot.SpringApplication;\nimport java.util.Map;\n', "@RestController\n@RequestMapping(\"/", "\")\npublic class Page", " {\n")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _java_sql() -> str:
+    text = "html"
+    for pattern, body in _LINKS:
+        body = body.replace("{1}", "\\1").replace("{2}", "\\2")
+        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(body)}, 'g')"
+    a, b, c, d = map(_quoted, _HEAD)
+    return f"""sources AS (SELECT page_id, concat('src/lessons/', regexp_extract(url, '^https?://([^/.]*)', 1), '/Page', page_id, '.java') AS file,
+  {a} || CASE WHEN page_id >= 0 THEN {b} || regexp_extract(url, '^https?://[^/]*/([a-z]*)', 1) || {c} || page_id || {d} END || {text} || '\n}}' AS text FROM pages)"""
+
+
+JAVA_SQL = _java_sql()
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("html")
+    for pattern, body in _LINKS:
+        text = F.regexp_replace(text, pattern, body.replace("$", "\\$").replace("{1}", "$1").replace("{2}", "$2"))
+    a, b, c, d = map(F.lit, _HEAD)
+    page = F.col("page_id").cast("string")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(F.lit("src/lessons/"), F.regexp_extract("url", r"^https?://([^/.]*)", 1), F.lit("/Page"), page, F.lit(".java")).alias("file"),
+        F.concat(a, b, F.regexp_extract("url", "^https?://[^/]*/([a-z]*)", 1), c, page, d, text, F.lit("\n}")).alias("text"))

@@ -89,7 +89,7 @@ if __name__ == "__main__":
         try:
             problem, n, s, q, _ = check(spark, d, con, name, fn, sqls.get(name))
         except Exception as e:  # report and go on with the next query
-            problem, n, s, q = f"{type(e).__name__}: {str(e)[:1500]}", -1, 0, 0
+            problem, n, s, q = f"{type(e).__name__}: {str(e)[:400]}", -1, 0, 0
         total += s
         bad += problem is not None
         print(f"{'ok ' if problem is None else 'BAD'} {name} rows={n} spark={s:.2f}s duck={q:.2f}s"
