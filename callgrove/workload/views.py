@@ -148,3 +148,109 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(
         "page_id", F.concat(F.lit("src/lessons/"), F.regexp_extract("url", r"^https?://([^/.]*)", 1), F.lit("/Page"), page, F.lit(".java")).alias("file"),
         F.concat(a, b, F.regexp_extract("url", "^https?://[^/]*/([a-z]*)", 1), c, page, d, text, F.lit("\n}")).alias("text"))
+
+
+# --- findings: one per order ------------------------------------------------------------------------
+
+FINDINGS = """
+SELECT left(sha2(concat('m', o_orderkey), 256), 16) AS chain_id, concat('GET /customer/', o_custkey) AS endpoint,
+  concat('shop::Customer', o_custkey) AS endpoint_fqn, concat('shop::Customer', o_custkey, '::order', o_orderkey) AS fqn,
+  CASE year(o_orderdate) WHEN 1995 THEN 'A' WHEN 1996 THEN 'B' WHEN 1997 THEN 'C' WHEN 1998 THEN 'D' WHEN 1999 THEN 'INFO' ELSE 'X' END AS mode,
+  CASE o_orderstatus WHEN 'F' THEN 'MISSING_AUTH' WHEN 'O' THEN 'SQL_INJECTION' ELSE 'IDOR' END AS vuln_type,
+  CASE o_orderpriority WHEN '1-URGENT' THEN 'CRITICAL' WHEN '2-HIGH' THEN 'HIGH' WHEN '3-MEDIUM' THEN 'MEDIUM' WHEN '5-LOW' THEN 'LOW' ELSE 'INFO' END AS severity,
+  round(o_totalprice / 450000, 4) AS confidence,
+  array(concat('Customer', o_custkey, '.java:', day(o_orderdate), ' (call)'), CASE WHEN o_orderstatus = 'P' THEN 'see log' ELSE concat('Dao.java:', month(o_orderdate)) END) AS evidence,
+  concat('order ', o_orderkey) AS summary,
+  CASE o_orderstatus WHEN 'F' THEN 'confirmed_vuln' WHEN 'O' THEN 'pending' ELSE 'confirmed_safe' END AS poc_status,
+  CASE WHEN o_totalprice > 250000 THEN 'final' ELSE 'draft' END AS status, CAST(floor(o_totalprice / 4900) AS INT) AS score,
+  o_orderdate AS ts, o_orderkey AS n FROM orders
+"""
+FINDINGS_SQL = "findings AS (" + (FINDINGS.replace("sha2(concat('m', o_orderkey), 256)", "sha256(concat('m', o_orderkey))")
+                                  .replace("array(", "list_value(").replace("CAST(floor(o_totalprice / 4900) AS INT)", "CAST(floor(o_totalprice / 4900) AS INTEGER)")) + ")"
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(FINDINGS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+
+
+# --- scores: line items are scoring events; repeated (chain, round) pairs are updates ---------------
+
+SCORES_SQL = """score_events AS (SELECT l_orderkey AS chain_id, l_linenumber AS round, CAST(least(100, 60 + l_quantity) AS INTEGER) AS score,
+  l_shipdate, l_partkey, l_suppkey FROM lineitem),
+  scores AS (SELECT chain_id, round, arg_max(score, {a: l_shipdate, b: l_partkey, c: l_suppkey, d: score}) AS score FROM score_events GROUP BY 1, 2)"""
+
+
+def score_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("chain_id"), F.col("l_linenumber").alias("round"),
+        F.least(F.lit(100), 60 + F.col("l_quantity")).cast("int").alias("score"), "l_shipdate", "l_partkey", "l_suppkey")
+
+
+# --- reports: documents with a generated name and a state field -------------------------------------
+
+_STATE = "CASE CAST({x} AS BIGINT) % 3 WHEN 0 THEN '是问题' WHEN 1 THEN '非问题' ELSE '暂时无法确认' END"
+REPORTS = f"""SELECT doc_id, source, concat('com.example.', source) AS cls,
+  CASE WHEN doc_id % 17 = 0 THEN concat('notes', doc_id, '.md') ELSE concat(CASE WHEN doc_id % 4 = 0 THEN concat({_STATE.replace('{x}', 'doc_id')}, '_') ELSE '' END,
+    CASE lang WHEN 'en' THEN '严重' WHEN 'fr' THEN '致命' WHEN 'de' THEN '中危' ELSE '低危' END,
+    '_com__example__', source, '_', lang, doc_id % 50, '_', left(sha2(text, 256), 8), '.md') END AS name,
+  concat(text, '\n- **验证状态**: ', {_STATE.replace('{x}', 'n_chars')}, '\n- **等级**：', lang, '\n') AS text FROM documents"""
+REPORTS_SQL = "reports AS (" + REPORTS.replace("sha2(text, 256)", "sha256(text)").replace("'\n- ", "chr(10) || '- ").replace("'\n')", "chr(10))") + ")"
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(REPORTS.replace("\n- ", "\\n- ").replace("'\n'", "'\\n'").replace("FROM documents", "FROM {docs}"), docs=table(spark, sf_dir, "documents"))
+
+
+# --- transcripts: events of a user are the lines of one log -----------------------------------------
+
+TRANSCRIPT_SQL = """lines AS (SELECT user_id AS file, event_id AS line_no, ts, CASE event_type WHEN 'signup' THEN 'session_start' WHEN 'purchase' THEN 'session_end' ELSE 'log' END AS _type,
+  event_type AS phase, CASE WHEN event_type = 'error' THEN 'fail' ELSE 'ok' END AS status, concat('run ', event_type, ' ', props) AS command, concat('step-', event_type) AS step FROM events),
+  blocks AS (SELECT *, CAST(sum(CASE WHEN _type = 'session_start' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY line_no) AS BIGINT) AS session_no FROM lines),
+  transcript AS (SELECT *, concat(file, '-', session_no) AS session_id FROM blocks)"""
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", "session_start").when(F.col("event_type") == "purchase", "session_end").otherwise("log")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("file"), F.col("event_id").alias("line_no"), "ts", kind.alias("_type"), F.col("event_type").alias("phase"),
+        F.when(F.col("event_type") == "error", "fail").otherwise("ok").alias("status"),
+        F.concat(F.lit("run "), "event_type", F.lit(" "), "props").alias("command"), F.concat(F.lit("step-"), "event_type").alias("step"))
+
+
+def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callgrove.operators.logs import assign_sessions
+
+    rows = assign_sessions(log_lines(spark, sf_dir), ["file"], ["line_no"], F.to_date("ts"))
+    return rows.withColumn("session_id", F.concat(F.col("file").cast("string"), F.lit("-"), F.col("session_no").cast("string")))
+
+
+# --- cache rows: one per order, of every kind -------------------------------------------------------
+
+KV = """SELECT o_orderkey AS n, 'shop' AS group_id, concat('h', o_custkey % 7) AS commit_hash,
+  CASE o_orderkey % 11 WHEN 0 THEN 'method' WHEN 1 THEN 'chain' WHEN 2 THEN 'prefetch' WHEN 3 THEN 'judgment' WHEN 4 THEN 'astmatch' WHEN 5 THEN 'draft' WHEN 6 THEN 'final'
+    WHEN 7 THEN 'score' WHEN 8 THEN 'env' WHEN 9 THEN 'killed' ELSE 'force-rescan' END AS kind,
+  concat('shop::Customer', o_custkey, '::order', o_orderkey) AS entity, CAST(o_orderkey % 30 AS STRING) AS sub, o_orderdate AS written_at,
+  CAST(o_totalprice AS STRING) AS body FROM orders"""
+KV_SQL = "kv_rows AS (" + KV.replace("AS STRING", "AS VARCHAR") + """), kv AS (SELECT *, concat('audit:shop:commit:', commit_hash, ':',
+  CASE WHEN kind IN ('method', 'judgment', 'astmatch') THEN concat(kind, ':', entity, '#', sub) WHEN kind IN ('draft', 'final') THEN concat('finding:', entity, ':', kind)
+  WHEN kind = 'score' THEN concat('score:', entity, ':r', sub) WHEN kind = 'env' THEN 'env:reachability' WHEN kind = 'killed' THEN concat('subagent-killed:', entity)
+  ELSE concat(kind, ':', entity) END) AS key FROM kv_rows)"""
+
+
+def kv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from callgrove.sources.records import encode_kv
+
+    return encode_kv(spark.sql(KV.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders")))
+
+
+# --- rounds: days of events ---------------------------------------------------------------------------
+
+ROUNDS_SQL = """rounds AS (SELECT CAST(day(ts) AS INTEGER) AS round, count(*) FILTER (event_type <> 'error') AS total_reports, count(*) FILTER (event_type = 'purchase') AS n_poc,
+  count(*) FILTER (event_type = 'view') AS ep_lines, count(*) FILTER (event_type = 'error') <= count(*) FILTER (event_type = 'click') AS p54_pass FROM events GROUP BY 1)"""
+
+
+def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    is_ = lambda t: F.col("event_type") == t
+    return table(spark, sf_dir, "events").groupBy(F.dayofmonth("ts").alias("round")).agg(
+        F.count_if(~is_("error")).alias("total_reports"), F.count_if(is_("purchase")).alias("n_poc"), F.count_if(is_("view")).alias("ep_lines"),
+        (F.count_if(is_("error")) <= F.count_if(is_("click"))).alias("p54_pass"))
