@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callgrove.constants import TTL_SECONDS
+from callgrove.functions.times import micros
 
 PAGE = 1000
 
@@ -52,7 +53,7 @@ def ttl_seconds(kind: Column) -> Column:
 def expire(kv: DataFrame, now: Column) -> DataFrame:
     """Rows still alive at ``now``; kinds without a lifetime never end."""
     ttl = F.coalesce(F.col("ttl_s"), ttl_seconds(F.col("kind"))) if "ttl_s" in kv.columns else ttl_seconds(F.col("kind"))
-    return kv.filter(ttl.isNull() | (F.unix_micros("written_at") + ttl * 1_000_000 > F.unix_micros(now)))
+    return kv.filter(ttl.isNull() | (micros("written_at") + ttl * 1_000_000 > micros(now)))
 
 
 def prefetch(chains: DataFrame, methods: DataFrame, group: str, commit: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from callgrove.constants import MODES, POC_STATES, PROMOTION_ROUNDS, PROMOTION_THRESHOLD, ROUND_DIMENSIONS, SEVERITIES, VERIFICATION_RATE
 from callgrove.functions.text import parse_evidence
+from callgrove.functions.times import micros
 from callgrove.functions.verdicts import level_rank
 from callgrove.plans.chunked import carry_last, number_rows
 from callgrove.schemas import schema
@@ -249,6 +250,6 @@ def env_asof(requests: DataFrame, env: DataFrame, ttl_s: int = 3600) -> DataFram
     b = env.select("group_id", "ts", F.col("rec_id").alias("req_id"), F.lit(0).alias("side"), "state")
     merged = carry_last(a.unionByName(b), ["group_id"], ["ts", "side", "req_id"], F.to_date("ts"),
                         F.when(F.col("side") == 0, F.struct(F.col("ts").alias("at"), "state")), "last")
-    fresh = F.unix_micros("ts") - F.unix_micros(F.col("last.at")) <= ttl_s * 1_000_000
+    fresh = micros("ts") - micros(F.col("last.at")) <= ttl_s * 1_000_000
     gate = F.when(fresh, F.col("last.state")).otherwise("unknown")
     return merged.filter("side = 1").select("req_id", "group_id", "ts", F.when(fresh, F.col("last.at")).alias("checked_at"), gate.alias("state"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callgrove.constants import STATE_MATRIX
+from callgrove.functions.times import micros
 from callgrove.plans.chunked import neighbour, running
 
 
@@ -59,7 +60,7 @@ def log_status(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def close_session(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Close record of every session: entries, elapsed time and phases."""
-    at = F.unix_micros(ts)
+    at = micros(ts)
     return df.groupBy(*keys, "session_id").agg(
         F.count_if(F.col("_type") == "log").alias("log_entries"),
         F.floor((F.max(at) - F.min(at)) / 1000).cast("long").alias("total_duration_ms"),
@@ -101,7 +102,7 @@ def illegal_transitions(events: DataFrame, key: str, ts: str, tie: str, state: s
     for a, b, days in STATE_MATRIX:
         step = (frm == a) & (to == b)
         if days is not None:
-            step = step & (F.unix_micros(ts) - F.unix_micros(F.col("prev.at")) <= days * 86_400_000_000)
+            step = step & (micros(ts) - micros(F.col("prev.at")) <= days * 86_400_000_000)
         legal = legal | step
     order = ["PENDING", "PAID", "SHIPPED", "DELIVERED", "CONFIRMED"]
     place = lambda c: F.array_position(F.array(*map(F.lit, order)), c)
@@ -114,5 +115,5 @@ def illegal_transitions(events: DataFrame, key: str, ts: str, tie: str, state: s
 def racing_updates(events: DataFrame, key: str, ts: str, tie: str, gap_ms: int, chunk: Column) -> DataFrame:
     """Changes of one entity that follow the previous one within ``gap_ms``."""
     near = neighbour(events, [key], [ts, tie], chunk, F.col(ts), "prev_ts")
-    gap = F.unix_micros(ts) - F.unix_micros("prev_ts")
+    gap = micros(ts) - micros("prev_ts")
     return near.filter(gap <= gap_ms * 1000).withColumn("gap_us", gap)

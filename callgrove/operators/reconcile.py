@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callgrove.constants import FAKE_SHARE, PROMOTION_THRESHOLD, TEMPLATE_SENTENCE, VERIFICATION_RATE
 from callgrove.functions.text import impact_evidence, md_field, parse_report_name
+from callgrove.functions.times import micros
 
 HIGH_LEVELS = ["致命", "严重", "CRITICAL"]
 
@@ -182,7 +183,7 @@ def process_quality(parts: DataFrame, hung_after_s: int = 600) -> DataFrame:
     per = parts.groupBy("session_id").agg(
         F.count_if(F.col("tool").isin("read", "grep", "sql", "ast")).alias("n_look"), F.count_if(F.col("tool") == "write").alias("n_write"),
         F.count_if(F.length("output") > 0).alias("n_output"),
-        ((F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 1_000_000).alias("span_s"))
+        ((F.max(micros("ts")) - F.min(micros("ts"))) / 1_000_000).alias("span_s"))
     quality = (F.when((F.col("n_output") == 0) & (F.col("span_s") >= hung_after_s), "HUNG").when(F.col("n_look") > 0, "REAL_WORK").otherwise("TEMPLATE"))
     return per.select("session_id", "n_look", "n_write", "n_output", quality.alias("quality"))
 

@@ -327,8 +327,8 @@ def _(spark, d):
     return fd.chain_cardinality(V.score_events(spark, d))
 
 
-@R.query("w6_number_ids", f"""WITH {V.FINDINGS_SQL}, x AS (SELECT n, evidence, row_number() OVER (ORDER BY ts, n) AS no FROM findings), y AS (SELECT n, no, unnest(evidence) AS item, generate_subscripts(evidence, 1) AS at FROM x)
-  SELECT n, 'F-' || lpad(CAST(no AS VARCHAR), greatest(3, length(CAST(no AS VARCHAR))), '0') AS finding_id, item, 'E-' || lpad(CAST(at AS VARCHAR), 3, '0') AS evidence_id FROM y""")
+@R.query("w6_number_ids", f"""WITH {V.FINDINGS_SQL}, x AS (SELECT n, evidence, row_number() OVER (ORDER BY ts, n) AS no FROM findings), y AS (SELECT n, no, unnest(evidence) AS item, generate_subscripts(evidence, 1) AS pos FROM x)
+  SELECT n, 'F-' || lpad(CAST(no AS VARCHAR), CAST(greatest(3, length(CAST(no AS VARCHAR))) AS INTEGER), '0') AS finding_id, item, 'E-' || lpad(CAST(pos AS VARCHAR), 3, '0') AS evidence_id FROM y""")
 def _(spark, d):
     return fd.number_ids(V.findings(spark, d).select("ts", "n", "evidence"), ["ts", "n"]).select("n", "finding_id", "item", "evidence_id")
 
@@ -383,9 +383,9 @@ def _(spark, d):
     return fd.join_verdicts(nodes, answers)
 
 
-@R.query("j21_env_asof", """WITH r AS (SELECT user_id AS group_id, ts, event_id AS req_id FROM events WHERE event_type IN ('purchase', 'view', 'click')), v AS (SELECT user_id, ts AS at, event_id, CASE WHEN value > 20 THEN 'reachable' ELSE 'unreachable' END AS state FROM events WHERE event_type IN ('error', 'signup')),
-  j AS (SELECT r.*, v.at, v.state FROM r ASOF LEFT JOIN v ON v.user_id = r.group_id AND v.at <= r.ts)
-  SELECT req_id, group_id, ts, CASE WHEN epoch_us(ts) - epoch_us(at) <= 86400000000 THEN at END AS checked_at, CASE WHEN epoch_us(ts) - epoch_us(at) <= 86400000000 THEN state ELSE 'unknown' END AS state FROM j""")
+@R.query("j21_env_asof", """WITH r AS (SELECT user_id AS group_id, ts, event_id AS req_id FROM events WHERE event_type IN ('purchase', 'view', 'click')), v AS (SELECT user_id, ts AS checked, event_id, CASE WHEN value > 20 THEN 'reachable' ELSE 'unreachable' END AS state FROM events WHERE event_type IN ('error', 'signup')),
+  j AS (SELECT r.*, v.checked, v.state FROM r ASOF LEFT JOIN v ON v.user_id = r.group_id AND v.checked <= r.ts)
+  SELECT req_id, group_id, ts, CASE WHEN epoch_us(ts) - epoch_us(checked) <= 86400000000 THEN checked END AS checked_at, CASE WHEN epoch_us(ts) - epoch_us(checked) <= 86400000000 THEN state ELSE 'unknown' END AS state FROM j""")
 def _(spark, d):
     ev = V.table(spark, d, "events").withColumnRenamed("user_id", "group_id")
     req = ev.filter(F.col("event_type").isin("purchase", "view", "click")).select("group_id", "ts", F.col("event_id").alias("req_id"))
