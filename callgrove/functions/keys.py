@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callgrove.constants import TTL_SECONDS
 from callgrove.functions.times import micros
+from callgrove.plans.chunked import running
 
 PAGE = 1000
 
@@ -59,15 +60,17 @@ def expire(kv: DataFrame, now: Column) -> DataFrame:
 def prefetch(chains: DataFrame, methods: DataFrame, group: str, commit: str) -> DataFrame:
     """Cache rows of all chains at once: one per method, and summary pages listing the methods.
 
-    A page holds up to 1,000 methods by their position in the chain, so a very long chain gives
-    more pages instead of one huge row.  A chain without methods gives one empty page.
+    A page lists up to 1,000 methods in chain order, so a very long chain gives more pages instead
+    of one huge row.  A chain without methods gives one empty page.
     """
     g, c = F.lit(group), F.lit(commit)
     m = methods.withColumn("sig_hash", short_hash(F.col("body"), F.col("sig_hash")))
     m = m.withColumn("key", kv_key(g, c, F.lit("method"), F.col("fqn"), F.col("sig_hash")))
     rows = m.select("chain_id", "key", F.lit("method").alias("kind"),
                     F.to_json(F.struct("fqn", "sig_hash", "body", "file", "line")).alias("value"))
-    pages = m.groupBy("chain_id", F.floor(F.col("pos") / PAGE).alias("page")).agg(
+    m = m.select("chain_id", "pos", "fqn", "sig_hash", "key").withColumn("b", F.pmod(F.xxhash64("key"), F.lit(64)))
+    m = running(m, ["chain_id"], ["pos", "b", "key"], F.struct("pos", "b"), F.lit(1), "nth", "count")
+    pages = m.groupBy("chain_id", F.floor((F.col("nth") - 1) / PAGE).alias("page")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "fqn", "sig_hash", "key"))).alias("methods"))
     pages = chains.select("chain_id").distinct().join(pages, "chain_id", "left")
     page = F.coalesce("page", F.lit(0))

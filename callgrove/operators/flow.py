@@ -37,21 +37,20 @@ def trace_params(params: DataFrame, functions: DataFrame, sinks: Mapping[str, Se
                  cleaners: Mapping[str, Sequence[str]] = SANITIZERS) -> DataFrame:
     """Uses of each parameter in the functions of its chain, line by line, in chain order.
 
-    ``params(chain_id, param)``, ``functions(chain_id, depth, body)``.  The parameters of a chain
-    travel as one array, so a line is matched against all of them without a pair per parameter.
+    ``params(chain_id, param)``, ``functions(chain_id, depth, body)``.  A line is classified where it
+    is read and lines without a use end there; the rest meet the parameters by an equi join on
+    (chain, word), which spreads a chain that holds most of the code over its words.
     """
-    wanted = params.groupBy("chain_id").agg(F.collect_set("param").alias("wanted"))
     lines = functions.select("chain_id", "depth", F.posexplode(F.split("body", "\n")).alias("line", "text"))
-    words = F.split("text", r"[^\p{L}\p{N}_]+")
-    uses = (lines.join(wanted, "chain_id")
-            .withColumn("param", F.explode(F.array_intersect(words, F.col("wanted")))).drop("wanted"))
     text = F.col("text")
     sink, cleaner = kind_of(text, sinks), kind_of(text, cleaners)
     use = (F.when(sink.isNotNull(), "sink_call").when(cleaner.isNotNull(), "sanitizer")
            .when(text.rlike(r'"\s*\+|\+\s*"'), "concat").when(text.rlike(r"\w\s*\("), "function_call"))
-    return (uses.withColumn("use", use).filter(F.col("use").isNotNull())
-            .withColumn("kind", F.when(F.col("use") == "sink_call", sink).when(F.col("use") == "sanitizer", cleaner))
-            .select("chain_id", "param", "depth", "line", "use", "kind"))
+    kind = F.when(F.col("use") == "sink_call", sink).when(F.col("use") == "sanitizer", cleaner)
+    used = lines.withColumn("use", use).filter(F.col("use").isNotNull()).withColumn("kind", kind)
+    words = F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}_]+")))
+    return (used.select("chain_id", words.alias("param"), "depth", "line", "use", "kind")
+            .join(params.select("chain_id", "param").distinct(), ["chain_id", "param"], "left_semi"))
 
 
 def evaluate_risk(uses: DataFrame) -> DataFrame:

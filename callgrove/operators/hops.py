@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callgrove.operators.lookup import sink_type
+from callgrove.plans.chunked import left_join_nullable
 from callgrove.sources.graph import Graph
 
 
@@ -29,7 +30,7 @@ def khop_left(g: Graph, fqn: str | None = None, k: int = 4, entries: DataFrame |
     """One row per walk of up to ``k`` calls, names of every hop."""
     out = _entries(g, fqn, entries).select("m0", "m0_fqn")
     for hop in range(1, k + 1):
-        out = out.join(_method_calls(g, hop, "qualified_name:fqn"), f"m{hop - 1}", "left")
+        out = left_join_nullable(out, _method_calls(g, hop, "qualified_name:fqn"), f"m{hop - 1}")
     return out.select(*[f"m{h}_fqn" for h in range(k + 1)])
 
 
@@ -50,7 +51,7 @@ def forward_context(g: Graph, fqn: str | None = None, k: int = 5, entries: DataF
     for hop in range(1, k + 1):
         hop_cls = cls.select(F.col("file_path").alias(f"m{hop}_file"), F.col("cls_fqn").alias(f"cls{hop}_fqn"))
         step = _method_calls(g, hop, "qualified_name:fqn", "file_path:file").join(hop_cls, f"m{hop}_file", "left")
-        out = out.join(step.drop(f"m{hop}_file"), f"m{hop - 1}", "left")
+        out = left_join_nullable(out, step.drop(f"m{hop}_file"), f"m{hop - 1}")
     names = ["m0_fqn", "route_name", "cls0_fqn", "caller0_fqn", "field_name",
              *[c for h in range(1, k + 1) for c in (f"m{h}_fqn", f"cls{h}_fqn")]]
     out = out.select(*names)
@@ -95,7 +96,7 @@ def auth_context(g: Graph, fqn: str | None = None, entries: DataFrame | None = N
         box = held.select(F.col("target").alias(f"m{hop}"), F.col("container").alias(f"in{hop}"))
         step = _method_calls(g, hop, "qualified_name:fqn", "file_path:file", "decorators:anno")
         step = step.join(ctx, f"m{hop}_file", "left").join(box, f"m{hop}", "left")
-        out = out.join(step.drop(f"m{hop}_file"), f"m{hop - 1}", "left")
+        out = left_join_nullable(out, step.drop(f"m{hop}_file"), f"m{hop - 1}")
     return out.select(F.col("m0_fqn").alias("ep_fqn"), "route_name",
                       F.col("m1_fqn").alias("biz_fqn"), F.col("m1_anno").alias("biz_anno"), F.col("f1").alias("biz_field"), F.col("in1").alias("biz_class"),
                       F.col("m2_fqn").alias("dao_fqn"), F.col("m2_anno").alias("dao_anno"), F.col("f2").alias("dao_field"), F.col("in2").alias("dao_class"))

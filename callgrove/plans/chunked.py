@@ -4,6 +4,10 @@ A plain window sorts all rows of a key in one task.  Here the key is cut into
 ``chunk`` pieces (a value that grows with the order, such as the day of a
 timestamp): each piece is scanned on its own, the pieces are summarised to one
 row each with map-side combine, and only the summaries are scanned per key.
+
+Key and chunk travel as one struct column.  Struct equality treats nulls as
+equal, so null keys need no special join condition, and window, aggregate and
+join all use the same hash partitioning: the rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -13,30 +17,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_CHUNK, _CARRY = "__chunk", "__carry"
+_PIECE, _KEY, _CARRY = "__piece", "__key", "__carry"
+
+
+def _cut(df: DataFrame, keys: Sequence[str], chunk: Column, value: Column) -> DataFrame:
+    return df.withColumn(_PIECE, F.struct(F.struct(*[F.col(k) for k in keys]).alias("k"), chunk.alias("c"))).withColumn("__v", value)
+
+
+def _over_pieces(summary: DataFrame, carry: Column) -> DataFrame:
+    """``carry`` is evaluated over the pieces of each key in order."""
+    out = summary.withColumn(_KEY, F.col(f"{_PIECE}.k")).withColumn("__chunk", F.col(f"{_PIECE}.c"))
+    return out.withColumn(_CARRY, carry).select(_PIECE, _CARRY)
+
 
+_PIECES = Window.partitionBy(_KEY).orderBy("__chunk")
+_BEFORE = _PIECES.rowsBetween(Window.unboundedPreceding, -1)
 
-def _attach(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    right = summary.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(_CHUNK).alias("__c"), _CARRY)
-    on = df[_CHUNK].eqNullSafe(right["__c"])
-    for k in keys:
-        on = on & df[k].eqNullSafe(right[f"__{k}"])
-    return df.join(right, on, "left").drop("__c", *[f"__{k}" for k in keys])
+
+def _inside(order: Sequence[str], running: bool = True):
+    w = Window.partitionBy(_PIECE).orderBy(*order)
+    return w.rowsBetween(Window.unboundedPreceding, 0) if running else w
 
 
 def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
               value: Column, name: str, forward: bool = False) -> DataFrame:
     """Value of the previous (or next) row of the key; ``order`` must be total."""
-    df = df.withColumn(_CHUNK, chunk).withColumn("__v", F.struct(value.alias("v")))
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
-    shift = F.lead if forward else F.lag
-    edge = F.min_by if forward else F.max_by
-    df = df.withColumn("__near", shift("__v").over(inside))
-    ends = df.groupBy(*keys, _CHUNK).agg(edge("__v", F.struct(*order)).alias("__end"))
-    ends = ends.withColumn(_CARRY, shift("__end").over(Window.partitionBy(*keys).orderBy(_CHUNK)))
-    out = _attach(df, ends, keys)
-    out = out.withColumn(name, F.coalesce("__near", _CARRY)["v"])
-    return out.drop(_CHUNK, _CARRY, "__v", "__near")
+    df = _cut(df, keys, chunk, F.struct(value.alias("v")))
+    shift, edge = (F.lead, F.min_by) if forward else (F.lag, F.max_by)
+    ends = df.groupBy(_PIECE).agg(edge("__v", F.struct(*order)).alias("__end"))
+    ends = _over_pieces(ends, shift("__end").over(_PIECES))
+    out = df.withColumn("__near", shift("__v").over(_inside(order, running=False))).join(ends, _PIECE, "left")
+    return out.withColumn(name, F.coalesce("__near", _CARRY)["v"]).drop(_PIECE, _CARRY, "__v", "__near")
 
 
 _FOLD = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
@@ -51,32 +62,33 @@ _JOIN = {
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
             value: Column, name: str, how: str = "sum") -> DataFrame:
     """Running sum, count, max or min from the first row of the key to this one."""
-    df = df.withColumn(_CHUNK, chunk).withColumn("__v", value)
-    fold = _FOLD[how]
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("__in", fold("__v").over(inside))
-    totals = df.groupBy(*keys, _CHUNK).agg(fold("__v").alias("__t"))
+    df, fold = _cut(df, keys, chunk, value), _FOLD[how]
+    totals = df.groupBy(_PIECE).agg(fold("__v").alias("__t"))
     carry = F.sum("__t") if how == "count" else fold("__t")
-    totals = totals.withColumn(_CARRY, carry.over(before))
-    out = _attach(df, totals, keys)
-    out = out.withColumn(name, _JOIN[how](F.col("__in"), F.col(_CARRY)))
-    return out.drop(_CHUNK, _CARRY, "__v", "__in")
+    totals = _over_pieces(totals, carry.over(_BEFORE))
+    out = df.withColumn("__in", fold("__v").over(_inside(order))).join(totals, _PIECE, "left")
+    return out.withColumn(name, _JOIN[how](F.col("__in"), F.col(_CARRY))).drop(_PIECE, _CARRY, "__v", "__in")
 
 
 def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Column,
                value: Column, name: str) -> DataFrame:
     """Latest non-null ``value`` at or before each row: the as-of primitive."""
-    df = df.withColumn(_CHUNK, chunk).withColumn("__v", value)
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("__in", F.last("__v", ignorenulls=True).over(inside))
-    ends = df.groupBy(*keys, _CHUNK).agg(
-        F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__end"))
-    ends = ends.withColumn(_CARRY, F.last("__end", ignorenulls=True).over(before))
-    out = _attach(df, ends, keys)
-    out = out.withColumn(name, F.coalesce("__in", _CARRY))
-    return out.drop(_CHUNK, _CARRY, "__v", "__in")
+    df = _cut(df, keys, chunk, value)
+    ends = df.groupBy(_PIECE).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__end"))
+    ends = _over_pieces(ends, F.last("__end", ignorenulls=True).over(_BEFORE))
+    out = df.withColumn("__in", F.last("__v", ignorenulls=True).over(_inside(order))).join(ends, _PIECE, "left")
+    return out.withColumn(name, F.coalesce("__in", _CARRY)).drop(_PIECE, _CARRY, "__v", "__in")
+
+
+def left_join_nullable(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join on a key that is null in many rows.
+
+    Rows with a null key match nothing, but hashing would send them all to one task; they get a
+    stand-in key made from a hash of the row, which is in no table.
+    """
+    spread = F.concat(F.lit("\u0000"), F.hex(F.xxhash64(*left.columns)))
+    keyed = left.withColumn("__on", F.coalesce(F.col(key), spread))
+    return keyed.join(right.withColumnRenamed(key, "__right"), F.col("__on") == F.col("__right"), "left").drop("__on", "__right")
 
 
 def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:

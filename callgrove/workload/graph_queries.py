@@ -108,9 +108,9 @@ def _(spark, d):
 
 
 @R.query("f21_node_detail", f"""WITH {G} SELECT kind, id, name, qualified_name, file_path, start_line FROM nodes
-  WHERE (name = 'readObject_red_widget' OR qualified_name = 'readObject_red_widget') AND ends_with(file_path, 'Brand3.java')""")
+  WHERE (name = 'executeQuery_red_widget' OR qualified_name = 'executeQuery_red_widget') AND ends_with(file_path, '.java')""")
 def _(spark, d):
-    return lookup.node_detail(V.graph(spark, d), "readObject_red_widget", "Brand3.java")
+    return lookup.node_detail(V.graph(spark, d), "executeQuery_red_widget", ".java")
 
 
 @R.query("f22_prefer_source", """SELECT fqn, any_value(view) AS view, any_value(l_suppkey) AS l_suppkey FROM (SELECT concat('p', l_partkey) AS fqn, l_returnflag AS view, l_suppkey,
