@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callgrove.constants import SANITIZERS
+from callgrove.plans.chunked import running
 
 
 def _any(text: Column, patterns: Sequence[str]) -> Column:
@@ -91,3 +92,18 @@ def node_prune(df: DataFrame, frameworks: Sequence[str]) -> DataFrame:
     reason = F.when(framework, "framework").when(accessor, "accessor").when(
         F.col("argument").isNull() | F.col("argument").isin("constant", "null", "unpropagated"), "argument")
     return df.withColumn("pruned_by", reason)
+
+
+def sanitizer_state(chain: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Whether an effective sanitizer stands at or before each node of its chain."""
+    rows = chain.withColumn("effective", sanitizers(F.col("body"), F.col("sink_kind")))
+    out = running(rows, ["chain_id"], order, F.col(order[0]), F.col("effective").cast("int"), "seen", "max")
+    return out.withColumn("clean", F.col("seen") == 1).drop("seen")
+
+
+def match_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """User rules ``(kind, pattern, label)`` against rows of the same kind; one output row per hit.
+
+    The kind is an equi key, so Spark picks the join by the size of the rule table.
+    """
+    return df.join(rules, "kind").filter(F.rlike("text", F.col("pattern"))).drop("pattern")

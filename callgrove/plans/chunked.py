@@ -30,8 +30,12 @@ def _over_pieces(summary: DataFrame, carry: Column) -> DataFrame:
     return out.withColumn(_CARRY, carry).select(_PIECE, _CARRY)
 
 
-_PIECES = Window.partitionBy(_KEY).orderBy("__chunk")
-_BEFORE = _PIECES.rowsBetween(Window.unboundedPreceding, -1)
+def _pieces():
+    return Window.partitionBy(_KEY).orderBy("__chunk")
+
+
+def _before():
+    return _pieces().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def _inside(order: Sequence[str], running: bool = True):
@@ -45,7 +49,7 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: C
     df = _cut(df, keys, chunk, F.struct(value.alias("v")))
     shift, edge = (F.lead, F.min_by) if forward else (F.lag, F.max_by)
     ends = df.groupBy(_PIECE).agg(edge("__v", F.struct(*order)).alias("__end"))
-    ends = _over_pieces(ends, shift("__end").over(_PIECES))
+    ends = _over_pieces(ends, shift("__end").over(_pieces()))
     out = df.withColumn("__near", shift("__v").over(_inside(order, running=False))).join(ends, _PIECE, "left")
     return out.withColumn(name, F.coalesce("__near", _CARRY)["v"]).drop(_PIECE, _CARRY, "__v", "__near")
 
@@ -65,7 +69,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
     df, fold = _cut(df, keys, chunk, value), _FOLD[how]
     totals = df.groupBy(_PIECE).agg(fold("__v").alias("__t"))
     carry = F.sum("__t") if how == "count" else fold("__t")
-    totals = _over_pieces(totals, carry.over(_BEFORE))
+    totals = _over_pieces(totals, carry.over(_before()))
     out = df.withColumn("__in", fold("__v").over(_inside(order))).join(totals, _PIECE, "left")
     return out.withColumn(name, _JOIN[how](F.col("__in"), F.col(_CARRY))).drop(_PIECE, _CARRY, "__v", "__in")
 
@@ -75,7 +79,7 @@ def carry_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
     """Latest non-null ``value`` at or before each row: the as-of primitive."""
     df = _cut(df, keys, chunk, value)
     ends = df.groupBy(_PIECE).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*order))).alias("__end"))
-    ends = _over_pieces(ends, F.last("__end", ignorenulls=True).over(_BEFORE))
+    ends = _over_pieces(ends, F.last("__end", ignorenulls=True).over(_before()))
     out = df.withColumn("__in", F.last("__v", ignorenulls=True).over(_inside(order))).join(ends, _PIECE, "left")
     return out.withColumn(name, F.coalesce("__in", _CARRY)).drop(_PIECE, _CARRY, "__v", "__in")
 

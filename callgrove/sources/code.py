@@ -12,7 +12,7 @@ from callgrove.schemas import schema
 
 def read_texts(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """Whole files below ``path`` as ``file, text``."""
-    return (spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    return (spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
             .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")))
 
 

@@ -9,24 +9,34 @@ from pyspark.sql import types as T
 from callgrove.schemas import schema
 
 
-def read_jsonl(spark: SparkSession, path: str, shape: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Good and malformed lines of JSONL files.
+def read_jsonl(spark: SparkSession, path: str, shape: T.StructType, line_numbers: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Good and malformed lines of JSONL files; blank lines are skipped.
 
-    Blank lines are skipped.  The files are read as whole texts when the line number matters
-    (it names a bad line); each text is split inside its task.
+    Large logs are read line by line in splittable blocks, and a warning names the file and shows
+    the line.  ``line_numbers=True`` reads each file as one text to number its lines: for small logs.
     """
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    return parse_jsonl(raw, shape)
+    if line_numbers:
+        return parse_jsonl(_whole(spark, path), shape)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.lit(None).cast("int").alias("line_no"), F.col("value").alias("line"))
+    return _parse_lines(lines.filter(F.trim("line") != ""), shape)
+
+
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def parse_jsonl(texts: DataFrame, shape: T.StructType) -> tuple[DataFrame, DataFrame]:
     lines = texts.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("n", "line")).filter(F.trim("line") != "")
+    return _parse_lines(lines.select("file", (F.col("n") + 1).alias("line_no"), "line"), shape)
+
+
+def _parse_lines(lines: DataFrame, shape: T.StructType) -> tuple[DataFrame, DataFrame]:
     wide = T.StructType([*shape.fields, T.StructField("_bad", T.StringType())])
-    parsed = lines.select("file", (F.col("n") + 1).alias("line_no"), "line",
-                          F.from_json("line", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    parsed = lines.withColumn("r", F.from_json("line", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
     good = parsed.filter(~bad).select("file", "line_no", *[F.col(f"r.{n}").alias(n) for n in shape.names])
-    warn = F.concat(F.lit("malformed JSON at "), "file", F.lit(":"), F.col("line_no").cast("string"))
+    where = F.when(F.col("line_no").isNotNull(), F.concat(F.lit(":"), F.col("line_no").cast("string"))).otherwise("")
+    warn = F.concat(F.lit("malformed JSON at "), "file", where)
     return good, parsed.filter(bad).select("file", "line_no", "line", warn.alias("warning"))
 
 
@@ -36,7 +46,8 @@ def read_log(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    """Add records as JSON lines; earlier files stay as they are and timestamps keep microseconds."""
+    df.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 
 def chat_fields(line):
@@ -57,8 +68,8 @@ def parse_chat(texts: DataFrame) -> DataFrame:
 
 
 def read_chat(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    return parse_chat(raw)
+    """Chat transcripts, one file per conversation; the line number gives the order."""
+    return parse_chat(_whole(spark, path))
 
 
 def typed_sessions(raw: DataFrame) -> DataFrame:
@@ -73,4 +84,4 @@ def read_sessions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def write_rounds(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    append_jsonl(df, path)

@@ -23,10 +23,13 @@ def write_findings(df: DataFrame, path: str) -> None:
 def read_reports(spark: SparkSession, high: str, low: str) -> DataFrame:
     """Markdown reports of both folders with their parsed names."""
     def load(path: str, folder: str) -> DataFrame:
-        raw = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
+        raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.md")
         # the hidden file name is URL-encoded for non-ASCII names
         return raw.select(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("name"), F.lit(folder).alias("folder"), F.col("value").alias("text"))
-    rows = load(high, "high").unionByName(load(low, "low"))
+    return named_reports(load(high, "high").unionByName(load(low, "low")))
+
+
+def named_reports(rows: DataFrame) -> DataFrame:
     return rows.withColumn("p", parse_report_name(F.col("name"))).select("name", "folder", "text", "p.*")
 
 

@@ -125,22 +125,84 @@ def _(spark, d):
     return by(endpoints(spark, d), "n_endpoints").join(by(sinks, "n_sinks"), "module")
 
 
+@R.query("e2_class_prefix", f"WITH {ENDPOINTS_SQL} SELECT * FROM pref")
+def _(spark, d):
+    return V.sources(spark, d).select("file", java.class_prefix(F.col("text")).alias("prefix"))
+
+
+@R.query("e4_extract_params", f"""WITH {ENDPOINTS_SQL}, p AS (SELECT file, seq, path, unnest(string_split(params, ',')) AS p FROM endpoints WHERE params <> '')
+  SELECT file, seq, path, split_part(p, ':', 1) AS name, split_part(p, ':', 2) AS "in", split_part(p, ':', 3) = 'true' AS required, split_part(p, ':', 4) AS type FROM p""")
+def _(spark, d):
+    return endpoints(spark, d).select("file", "seq", "path", F.inline("params")).select("file", "seq", "path", "name", "in", "required", "type")
+
+
+@R.query("e5_has_input", f"WITH {ENDPOINTS_SQL} SELECT file, count(*) FILTER (has_input) AS n_input, count(*) AS n FROM endpoints GROUP BY 1")
+def _(spark, d):
+    return endpoints(spark, d).groupBy("file").agg(F.count_if("has_input").alias("n_input"), F.count(F.lit(1)).alias("n"))
+
+
+@R.query("e6_java_type", """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, ['string','integer','integer','boolean','number','string','string'][l_linenumber] AS type,
+  CASE l_linenumber WHEN 3 THEN 'int64' WHEN 6 THEN 'binary' END AS format FROM lineitem""")
+def _(spark, d):
+    name = F.get(F.array(*map(F.lit, ["String", "int", "Long", "boolean", "float", "byte[]", "Map"])), F.col("l_linenumber") - 1)
+    return V.table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", java.java_type(name).alias("type"), java.java_type(name, "format").alias("format"))
+
+
+@R.query("e8_risk", f"WITH {V.GRAPH_SQL} SELECT id, {_RISK.replace('path', 'qualified_name')} AS risk FROM nodes")
+def _(spark, d):
+    return V.graph(spark, d).nodes.select("id", java.risk(F.col("qualified_name")).alias("risk"))
+
+
+_DECL = "'(?:public|private|protected)\\s+[\\w<>\\[\\], ?.]+?\\s+\\w+\\s*\\(((?:[^()]|\\([^()]*\\))*)\\)'"
+
+
+@R.query("e10_e12_method_blocks", f"""WITH {ENDPOINTS_SQL} SELECT file, CAST(seq AS INTEGER) AS seq, {_CLS.replace('S,', 's,')} AS class_level, regexp_extract(trim(regexp_extract(s, {_ARG}, 2)), '"([^"]*)"', 1) AS first_text,
+  regexp_extract(regexp_replace(s, {_ARG}, ''), {_DECL}, 1) AS block, regexp_extract(substr(regexp_replace(s, {_ARG}, ''), 1, 600), {_DECL}, 1) AS block_600 FROM seg WHERE seq > 0""")
+def _(spark, d):
+    seg = F.col("seg")
+    rows = V.sources(spark, d).select("file", F.posexplode(java.mapping_segments(F.col("text"))).alias("seq", "seg")).filter("seq > 0")
+    return rows.select("file", "seq", java.is_class_level(seg).alias("class_level"), java.first_quoted(java.mapping_args(seg)).alias("first_text"),
+                       java.method_block(seg).alias("block"), java.method_block(seg, window=600).alias("block_600"))
+
+
+@R.query("u5_path_values", f"WITH {ENDPOINTS_SQL} SELECT file, seq, count(*) AS n_paths FROM endpoints GROUP BY 1, 2 HAVING count(*) > 1")
+def _(spark, d):
+    return endpoints(spark, d).groupBy("file", "seq").agg(F.count(F.lit(1)).alias("n_paths")).filter("n_paths > 1")
+
+
 # --- flow ------------------------------------------------------------------------------------------
 
 _CHAIN = """chain AS (SELECT l_orderkey AS chain_id, l_linenumber AS depth, l_partkey, l_suppkey, CASE l_linestatus WHEN 'O' THEN 'SQL' ELSE 'FILE' END AS sink_kind,
   CASE WHEN l_quantity > 45 THEN 'clean(x)' WHEN l_returnflag = 'R' THEN 'stmt.setString(1, x)' WHEN l_returnflag = 'A' THEN 'f.getCanonicalPath()' ELSE 'x + y' END AS body FROM lineitem)"""
 
 
+_EFF = "((sink_kind = 'SQL' AND contains(body, '.setString(')) OR (sink_kind = 'FILE' AND contains(body, '.getCanonicalPath()')))"
+
+
 @R.query("f17_l2_prune", f"""WITH {_CHAIN}, t AS (SELECT *, CASE WHEN (sink_kind = 'SQL' AND contains(body, '.setString(')) OR (sink_kind = 'FILE' AND contains(body, '.getCanonicalPath()')) THEN 'pruned'
   WHEN starts_with(body, 'clean(') THEN 'maybe_sanitized' ELSE 'active' END AS decision FROM chain), c AS (SELECT chain_id, min(depth) AS cut FROM t WHERE decision = 'pruned' GROUP BY 1)
   SELECT t.* FROM t LEFT JOIN c ON c.chain_id = t.chain_id WHERE c.cut IS NULL OR t.depth <= c.cut""")
 def _(spark, d):
+    return flow.l2_prune(_chain(spark, d))
+
+
+def _chain(spark, d):
     body = (F.when(F.col("l_quantity") > 45, "clean(x)").when(F.col("l_returnflag") == "R", "stmt.setString(1, x)")
             .when(F.col("l_returnflag") == "A", "f.getCanonicalPath()").otherwise("x + y"))
-    chain = V.table(spark, d, "lineitem").select(
+    return V.table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("chain_id"), F.col("l_linenumber").alias("depth"), "l_partkey", "l_suppkey",
         F.when(F.col("l_linestatus") == "O", "SQL").otherwise("FILE").alias("sink_kind"), body.alias("body"))
-    return flow.l2_prune(chain)
+
+
+@R.query("w13_sanitizer_state", f"""WITH {_CHAIN}, t AS (SELECT *, {_EFF} AS effective FROM chain) SELECT *, bool_or(effective) OVER (PARTITION BY chain_id ORDER BY depth, l_partkey, l_suppkey, body, sink_kind ROWS UNBOUNDED PRECEDING) AS clean FROM t""")
+def _(spark, d):
+    return flow.sanitizer_state(_chain(spark, d), ["depth", "l_partkey", "l_suppkey", "body", "sink_kind"])
+
+
+@R.query("e26_sanitizers", f"WITH {_CHAIN} SELECT sink_kind, body, count(*) FILTER ({_EFF}) AS n_effective, count(*) AS n FROM chain GROUP BY 1, 2")
+def _(spark, d):
+    rows = _chain(spark, d).withColumn("e", flow.sanitizers(F.col("body"), F.col("sink_kind")))
+    return rows.groupBy("sink_kind", "body").agg(F.count_if("e").alias("n_effective"), F.count(F.lit(1)).alias("n"))
 
 
 _SINKS = {"NET": [r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"], "MAIL": [r"@\w"]}
@@ -186,6 +248,15 @@ def _(spark, d):
     return flow.node_prune(rows, ["java.", "org.hibernate."]).drop("argument")
 
 
+@R.query("x3_rule_tables", """WITH r AS (SELECT CASE r_regionkey % 2 WHEN 0 THEN 'en' ELSE 'fr' END AS kind, CASE r_regionkey WHEN 0 THEN 'token' WHEN 1 THEN '[0-9]+\\.[0-9]+' WHEN 2 THEN '@' WHEN 3 THEN '###' ELSE 'ing$' END AS pattern, r_name AS label FROM region)
+  SELECT doc_id, label FROM documents JOIN r ON r.kind = lang AND regexp_matches(text, r.pattern)""")
+def _(spark, d):
+    rules = V.table(spark, d, "region").selectExpr(
+        "CASE r_regionkey % 2 WHEN 0 THEN 'en' ELSE 'fr' END AS kind", "r_name AS label",
+        r"CASE r_regionkey WHEN 0 THEN 'token' WHEN 1 THEN '[0-9]+\\.[0-9]+' WHEN 2 THEN '@' WHEN 3 THEN '###' ELSE 'ing\\z' END AS pattern")
+    return flow.match_rules(V.table(spark, d, "documents").select("doc_id", F.col("lang").alias("kind"), "text"), rules).select("doc_id", "label")
+
+
 # --- structure -------------------------------------------------------------------------------------
 
 _AST = """ast AS (SELECT o_orderkey AS id, o_custkey AS file, o_custkey AS parent, o_orderpriority AS kind, o_orderstatus AS tag,

@@ -138,6 +138,16 @@ def _(spark, d):
     return fd.validate_findings(f.drop("ts", "n")).withColumn("n", F.regexp_extract("summary", r"(\d+)$", 1).cast("long")).select("n", F.array_join("errors", ",").alias("errors"))
 
 
+@R.query("e23_mode_checks", """SELECT n, concat_ws(',', CASE WHEN a = 'unclear' THEN 'enum:D2_auth_state' END, CASE WHEN b = 'unclear' THEN 'enum:D3_business_rule' END) AS errors FROM (
+  SELECT o_orderkey AS n, CASE o_orderstatus WHEN 'F' THEN 'missing' WHEN 'O' THEN 'present' ELSE 'unclear' END AS a, CASE WHEN o_totalprice > 250000 THEN 'enforced' ELSE 'unclear' END AS b FROM orders) q""")
+def _(spark, d):
+    j = F.struct(F.expr("CASE o_orderstatus WHEN 'F' THEN 'missing' WHEN 'O' THEN 'present' ELSE 'unclear' END").alias("D2_auth_state"),
+                 F.when(F.col("o_totalprice") > 250000, "enforced").otherwise("unclear").alias("D3_business_rule"))
+    rows = V.table(spark, d, "orders").select(S("o_orderkey").alias("fqn"), j.alias("judgment"))
+    enums = F.filter("errors", lambda e: e.startswith("enum:"))
+    return fd.validate_findings(rows).select(F.col("fqn").cast("long").alias("n"), F.array_join(enums, ",").alias("errors"))
+
+
 @R.query("u1_union_modes", f"WITH {V.FINDINGS_SQL} SELECT mode, count(*) AS n, count(DISTINCT chain_id) AS n_chains FROM findings WHERE mode <> 'X' GROUP BY 1")
 def _(spark, d):
     f = V.findings(spark, d)
@@ -573,3 +583,10 @@ def _(spark, d):
     pages = F.from_json("value", "methods array<struct<fqn:string,sig_hash:string>>, fqn string")
     shown = F.when(F.col("kind") == "method", pages["fqn"]).otherwise(F.array_join(F.transform(pages["methods"], lambda m: F.concat(m["fqn"], F.lit("#"), m["sig_hash"])), ","))
     return out.select("chain_id", "kind", "key", shown.alias("shown"))
+
+
+@R.query("s7_named_reports", f"WITH {_PARSED} SELECT doc_id, CASE WHEN level IN ('致命', '严重') THEN 'high' ELSE 'low' END AS folder, class, method, sig FROM parsed WHERE ok")
+def _(spark, d):
+    high = F.col("name").rlike("^(?:[^_]*_)?(?:致命|严重)_")
+    named = records.named_reports(V.reports(spark, d).select("name", F.when(high, "high").otherwise("low").alias("folder"), F.concat_ws("\n", S("doc_id"), "text").alias("text")))
+    return named.filter("class IS NOT NULL").select(F.substring_index("text", "\n", 1).cast("long").alias("doc_id"), "folder", "class", "method", "sig")

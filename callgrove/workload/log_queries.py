@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from callgrove.constants import IMPACT_PATTERNS
@@ -9,8 +11,12 @@ from callgrove.functions import sql as sqlf
 from callgrove.functions import text, verdicts
 from callgrove.operators import findings as fd
 from callgrove.operators import logs, reconcile
+from callgrove.operators.profile import kind_counts, profile
+from callgrove.operators.prune import applicable_types
+from callgrove.plans.scratch import scratch_root
 from callgrove.schemas import schema
 from callgrove.sources import code, logs as log_sources, records
+from callgrove.sources.graph import Graph, read_graph, write_graph
 from callgrove.streaming import jobs
 from callgrove.workload import views as V
 from callgrove.workload.registry import Registry
@@ -25,13 +31,11 @@ Q = lambda s: "'" + s.replace("'", "''") + "'"
 @R.query("a1_profile", f"""WITH {V.GRAPH_SQL} SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM nodes WHERE kind = 'route') AS n_routes,
   (SELECT count(*) FROM nodes WHERE kind = 'method') AS n_methods, (SELECT count(*) FROM edges WHERE kind = 'calls') AS n_calls, (SELECT count(*) FROM nodes WHERE len(decorators) > 0) AS n_decorated""")
 def _(spark, d):
-    from callgrove.operators.profile import profile
     return profile(V.graph(spark, d))
 
 
 @R.query("a2_kind_counts", f"""WITH {V.GRAPH_SQL}, {V.FILES_SQL} SELECT 'node' AS scope, kind AS value, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY 2 UNION ALL SELECT 'language', language, count(*) FROM files GROUP BY 2""")
 def _(spark, d):
-    from callgrove.operators.profile import kind_counts
     return kind_counts(V.graph(spark, d))
 
 
@@ -160,6 +164,79 @@ def _(spark, d):
     return reconcile.process_quality(parts)
 
 
+# --- sources and sinks: write to the shared scratch space, read back ---------------------------------
+
+def _home(spark, name):
+    return f"{scratch_root(spark)}/{name}-{uuid4().hex}"
+
+
+@R.query("s1_read_graph", f"WITH {V.GRAPH_SQL} SELECT 'node' AS scope, kind AS value, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY 2")
+def _(spark, d):
+    g, home = V.graph(spark, d), _home(spark, "graph")
+    fill = lambda df, name: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)])
+    write_graph(Graph(fill(g.nodes, "nodes"), fill(g.edges, "edges"), fill(g.files, "files")), home)
+    back = read_graph(spark, home)
+    return kind_counts(Graph(back.nodes, back.edges))
+
+
+@R.query("s3_append_jsonl", "SELECT user_id AS worker, 2 * count(*) AS n, max(ts) AS last_ts FROM events WHERE event_type = 'error' GROUP BY 1")
+def _(spark, d):
+    home = _home(spark, "failures")
+    rows = V.table(spark, d, "events").filter("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("ts"), S("user_id").alias("role"), F.lit("timeout").alias("failure_type"))
+    log_sources.append_jsonl(rows, home)
+    log_sources.append_jsonl(rows, home)
+    back = log_sources.read_log(spark, home, "failures")
+    return back.groupBy(F.col("role").cast("long").alias("worker")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
+
+
+@R.query("s6_read_preset", "SELECT concat('com.', lower(n_name)) AS group_id, CAST(n_regionkey AS VARCHAR) AS framework, 2 AS n_types FROM nation")
+def _(spark, d):
+    home = _home(spark, "presets")
+    fw = S("n_regionkey")
+    docs = V.table(spark, d, "nation").select("n_nationkey", F.struct(F.concat(F.lit("com."), F.lower("n_name")).alias("groupId")).alias("project"),
+                                              F.struct(fw.alias("primary")).alias("framework"), F.create_map(fw, F.array(F.lit("a"), F.lit("b"))).alias("tech_stack_vuln_whitelist"))
+    docs.repartition("n_nationkey").write.partitionBy("n_nationkey").json(home)
+    back = code.read_preset(spark, home)
+    return back.select(F.col("project.groupId").alias("group_id"), F.col("framework.primary").alias("framework"),
+                       F.size(F.try_element_at("tech_stack_vuln_whitelist", F.col("framework.primary"))).alias("n_types"))
+
+
+@R.query("s10_read_findings", f"WITH {V.FINDINGS_SQL} SELECT severity, count(*) AS n, CAST(sum(len(evidence)) AS BIGINT) AS n_evidence, CAST(sum(score) AS BIGINT) AS score FROM findings GROUP BY 1")
+def _(spark, d):
+    home = _home(spark, "findings")
+    log_sources.append_jsonl(V.findings(spark, d).drop("ts", "n"), home)
+    good, _bad = records.read_findings(spark, home)
+    return good.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("evidence")).alias("n_evidence"), F.sum("score").alias("score"))
+
+
+@R.query("s13_read_sessions", "SELECT conv_id AS session_id, to_timestamp(1704067200 + conv_id * 60)::TIMESTAMP AS created, count(*) AS n_parts, count(*) FILTER (role = 'user') AS n_user FROM conversations GROUP BY 1")
+def _(spark, d):
+    home, t = _home(spark, "sessions"), V.table(spark, d, "conversations")
+    ms = (F.lit(1704067200) + F.col("conv_id") * 60) * 1000
+    s = t.select(S("conv_id").alias("id"), F.lit("t").alias("title"), ms.alias("time_created"), F.lit(1).cast("long").alias("tokens_input"), F.lit(1).cast("long").alias("tokens_output"), F.lit(0.0).alias("cost")).distinct()
+    s.write.parquet(f"{home}/session")
+    t.select(F.concat_ws("/", S("conv_id"), S("turn")).alias("id"), S("conv_id").alias("session_id"), F.lit("text").alias("type"),
+             F.to_json(F.struct("role", "text")).alias("data"), ms.alias("time_created")).write.parquet(f"{home}/part")
+    sessions, parts = log_sources.read_sessions(spark, home)
+    n = parts.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_parts"), F.count_if(F.variant_get("data", "$.role", "string") == "user").alias("n_user"))
+    return sessions.join(n, sessions["id"] == n["session_id"]).select(F.col("id").cast("long").alias("session_id"), F.col("time_created").alias("created"), "n_parts", "n_user")
+
+
+@R.query("s15_write_rounds", f"WITH {V.ROUNDS_SQL} SELECT round, CAST(total_reports AS INTEGER) AS total_reports, p54_pass FROM rounds")
+def _(spark, d):
+    home = _home(spark, "rounds")
+    log_sources.write_rounds(V.rounds(spark, d), home)
+    return log_sources.read_log(spark, home, "rounds").select("round", "total_reports", "p54_pass")
+
+
+@R.query("s16_write_kv", f"WITH {V.KV_SQL} SELECT kind, commit_hash, count(*) AS n, count(DISTINCT key) AS n_keys FROM kv GROUP BY 1, 2")
+def _(spark, d):
+    home = _home(spark, "kv")
+    records.write_kv(V.kv(spark, d).withColumnRenamed("body", "value"), home)
+    back = records.read_kv(spark.read.parquet(home).select("key", "value", "written_at"))
+    return back.groupBy("kind", "commit_hash").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("n_keys"))
+
+
 # --- state histories --------------------------------------------------------------------------------
 
 _STATE = "CASE event_type WHEN 'signup' THEN 'PENDING' WHEN 'purchase' THEN 'PAID' WHEN 'view' THEN 'SHIPPED' WHEN 'click' THEN 'REFUNDED' ELSE 'DELIVERED' END"
@@ -297,7 +374,6 @@ def _(spark, d):
 
 @R.query("f12_applicable_types", "SELECT p_partkey, p_type AS vuln_type FROM part WHERE p_type IN ('ECONOMY', 'LARGE')")
 def _(spark, d):
-    from callgrove.operators.prune import applicable_types
     preset = V.table(spark, d, "region").filter("r_name = 'ASIA'").select(
         F.struct(F.lower("r_name").alias("primary")).alias("framework"),
         F.create_map(F.lit("asia"), F.array(F.lit("ECONOMY"), F.lit("LARGE")), F.lit("x"), F.array(F.lit("SMALL"))).alias("tech_stack_vuln_whitelist"))
@@ -389,9 +465,7 @@ def _(spark, d):
 def _(spark, d):
     best = F.least(F.lit(100), 60 + F.col("l_quantity")).cast("int")
     scores = V.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("chain_id"), F.col("l_linenumber").alias("round")).agg(F.max(best).alias("score"))
-    from callgrove.plans.scratch import scratch_root
-    from uuid import uuid4
-    home = f"{scratch_root(spark)}/score-log-{uuid4().hex}"
+    home = _home(spark, "score-log")
     scores.write.parquet(home)
     states = jobs.promote_stream(jobs.stream_log(spark, home, scores.schema, "parquet"), threshold=70)
     return jobs.latest(jobs.run_to_table(states, "update", "promote"), ["chain_id"])
