@@ -32,22 +32,27 @@ def md_field(text: Column, key: str) -> Column:
     return F.nullif(found, F.lit(""))
 
 
+def any_of(patterns: list[str]) -> str:
+    return "|".join(f"(?:{p})" for p in patterns)
+
+
 def pattern_hits(text: Column, patterns: Mapping[str, list[str]]) -> dict[str, Column]:
-    """Number of matches per class."""
+    """Number of matches per class; most texts match nothing and pay for one scan per class only."""
     out = {}
     for label, regexes in patterns.items():
         total = F.lit(0)
         for r in regexes:
             total = total + F.regexp_count(text, F.lit(r))
-        out[label] = total
+        out[label] = F.when(text.rlike(any_of(regexes)), total).otherwise(F.lit(0))
     return out
 
 
 def impact_evidence(text: Column) -> Column:
     """Matches and first example per impact class, and how many classes have none."""
     hits = pattern_hits(text, IMPACT_PATTERNS)
-    example = lambda label: F.nullif(F.coalesce(*[F.nullif(F.regexp_extract(text, f"({r})", 1), F.lit("")) for r in IMPACT_PATTERNS[label]]), F.lit(""))
-    empty = sum((F.when(h == 0, 1).otherwise(0) for h in hits.values()), F.lit(0))
+    first = lambda label: F.coalesce(*[F.nullif(F.regexp_extract(text, f"({r})", 1), F.lit("")) for r in IMPACT_PATTERNS[label]])
+    example = lambda label: F.when(text.rlike(any_of(IMPACT_PATTERNS[label])), first(label))
+    empty = sum((F.when(text.rlike(any_of(r)), 0).otherwise(1) for r in IMPACT_PATTERNS.values()), F.lit(0))
     return F.struct(*[h.alias(f"n_{k}") for k, h in hits.items()], *[example(k).alias(f"eg_{k}") for k in hits], empty.alias("n_empty"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,31 +29,37 @@ def scratch_root(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and continue from the written table."""
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialize_counted(df, name)[0]
+
+
+def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The written table and its number of rows, taken during the write."""
+    path, seen = f"{scratch_root(df.sparkSession)}/{name}-{uuid4().hex}", Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
 class LevelTable:
-    """Rows of a walk, one ``depth=k`` folder per level."""
+    """Rows of an iterative job, one ``<part>=k`` folder per step."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, part: str = "depth"):
+        self.spark, self.part = spark, part
         self.path = f"{scratch_root(spark)}/{name}-{uuid4().hex}"
         self.schema: T.StructType | None = None
 
-    def append(self, df: DataFrame, depth: int) -> int:
-        """Write one level and return its row count, taken during the write."""
+    def append(self, df: DataFrame, step: int, counted: Column | None = None) -> int:
+        """Write one step and return its number of rows (or of rows where ``counted`` holds)."""
         seen = Observation()
-        df = df.observe(seen, F.count(F.lit(1)).alias("n"))
-        df.write.parquet(f"{self.path}/depth={depth}")
+        rule = F.count(F.lit(1)) if counted is None else F.count_if(counted)
+        df = df.observe(seen, rule.alias("n"))
+        df.write.parquet(f"{self.path}/{self.part}={step}")
         self.schema = df.schema
         return seen.get["n"]
 
-    def level(self, depth: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/depth={depth}")
+    def step(self, k: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{self.part}={k}")
 
     def rows(self) -> DataFrame:
-        """All levels, with ``depth`` as a partition column."""
-        schema = T.StructType([*self.schema.fields, T.StructField("depth", T.IntegerType())])
+        """All steps, with the step number as a partition column."""
+        schema = T.StructType([*self.schema.fields, T.StructField(self.part, T.IntegerType())])
         return self.spark.read.schema(schema).parquet(self.path)
