@@ -66,7 +66,18 @@ UNION ALL SELECT 'm' || hi, 'm' || lo, 'calls', 0 FROM (
 GRAPH_SQL = f"nodes AS ({NODES_SQL}), edges AS ({EDGES_SQL})"
 
 
+_plans: dict[tuple[str, str], Graph] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of a table folder; its plan is analysed once per application (no data is kept)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _plans:
+        _plans[key] = _graph(spark, sf_dir)
+    return _plans[key]
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Orders of a customer call the next one, the last calls the first (a cycle), and each order calls its parts."""
     t = {n: table(spark, sf_dir, n) for n in ("customer", "orders", "part", "lineitem")}
     nodes = spark.sql(NODES.replace("FROM customer", "FROM {customer}").replace("FROM orders", "FROM {orders}")

@@ -81,7 +81,7 @@ if __name__ == "__main__":
     only = sys.argv[2:]
     spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
-    d = f"/root/testdata/sf{sf}"
+    d = sf if "/" in sf else f"/root/testdata/sf{sf}"
     con, sqls, bad, total = connect(d), entry.oracle_sql(), 0, 0.0
     for name, fn in entry.queries().items():
         if only and not any(name.startswith(o) for o in only):
