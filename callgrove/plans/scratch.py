@@ -29,14 +29,17 @@ def scratch_root(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and continue from the written table."""
-    return materialize_counted(df, name)[0]
+    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """The written table and its number of rows, taken during the write."""
-    path, seen = f"{scratch_root(df.sparkSession)}/{name}-{uuid4().hex}", Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+def materialize_measured(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """The written table of text columns and the bytes its rows would take in memory, measured during the write."""
+    seen = Observation()
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in df.columns), F.lit(32 * len(df.columns)))
+    out = materialize(df.observe(seen, F.coalesce(F.sum(width), F.lit(0)).alias("bytes")), name)
+    return out, seen.get["bytes"]
 
 
 class LevelTable:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from callgrove.functions.keys import short_hash
 from callgrove.operators import hops, lookup, walks
+from callgrove.plans.review import review_endpoints
 from callgrove.workload import views as V
 from callgrove.workload.registry import Registry
 
@@ -401,3 +403,25 @@ def _(spark, d):
 def _(spark, d):
     g = V.graph(spark, d)
     return walks.chain_by_name(g, V.entries(g))
+
+
+_SKIP = "o_totalprice > 250000 AND o_orderpriority = '1-URGENT'"
+
+
+@R.query("review_endpoints", f"""WITH RECURSIVE {G}, ep AS (SELECT 'm' || o_orderkey AS id, concat('shop::Customer', o_custkey, '::order', o_orderkey) AS fqn, o_orderpriority AS pr, {_SKIP} AS done FROM orders WHERE o_orderstatus = 'O'),
+  {_chain_sql('source', 'target', "SELECT id FROM ep WHERE pr <> '5-LOW' AND NOT done")},
+  s AS (SELECT c.root, c.depth, {sink_sql('n.name')} AS t FROM chain c JOIN nodes n ON n.id = c.id),
+  p AS (SELECT root, count(*) AS n_paths, max(depth) AS max_depth, count(*) FILTER (t IN ('SQLI','RCE','DESER','SSRF','PATH_TRAV')) AS bad, count(t) AS anyt FROM s GROUP BY 1)
+  SELECT fqn AS endpoint_fqn, left(sha256(fqn), 16) AS chain_id, CASE WHEN pr = '5-LOW' THEN 'P-L1-001' WHEN pr = '2-HIGH' THEN 'P-L1-002' END AS rule_id, CASE WHEN done THEN 'skip' ELSE 'new' END AS route,
+  coalesce(n_paths, 0) AS n_paths, CAST(coalesce(max_depth, 0) AS INTEGER) AS max_depth, CASE WHEN bad > 0 THEN 'high' WHEN anyt > 0 THEN 'low' ELSE 'none' END AS grade,
+  CASE WHEN pr = '5-LOW' OR done THEN '' WHEN pr = '2-HIGH' THEN 'C,D' ELSE 'A,B,C,D,INFO' END AS modes FROM ep LEFT JOIN p ON p.root = ep.id""")
+def _(spark, d):
+    fqn = F.concat(F.lit("shop::Customer"), F.col("o_custkey").cast("string"), F.lit("::order"), F.col("o_orderkey").cast("string"))
+    param = lambda kind: F.array(F.struct(F.lit("p").alias("name"), F.lit(kind).alias("type")))
+    orders = V.table(spark, d, "orders").filter("o_orderstatus = 'O'")
+    params = (F.when(F.col("o_orderpriority") == "2-HIGH", param("int")).when(F.col("o_orderpriority") == "5-LOW", F.slice(param("int"), 1, 0)).otherwise(param("String")))
+    eps = orders.select(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("id"), fqn.alias("endpoint_fqn"), F.lit("/x").alias("path"), params.alias("params"),
+                        F.array().cast("array<string>").alias("annotations"), F.lit(True).alias("permit_all"), F.lit(False).alias("filter_covered"), F.lit(False).alias("internal_network"),
+                        F.lit("P0").alias("priority"))
+    done = orders.filter(_SKIP).select(short_hash(fqn).alias("chain_id"), F.lit("final").alias("status"))
+    return review_endpoints(V.graph(spark, d), eps, done).withColumn("modes", F.array_join("modes", ","))

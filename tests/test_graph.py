@@ -69,6 +69,26 @@ def test_recursive_sql_gives_the_same_chain(graph, ids):
     assert rows(walks.forward_chain_sql(graph, seeds)) == rows(walks.forward_chain(graph, seeds))
 
 
+@pytest.mark.parametrize("cycle", ["strict", "ref"])
+def test_large_graphs_take_the_shuffle_form_with_equal_rows(graph, ids, monkeypatch, cycle):
+    rows = lambda: sorted((r["root"], r["id"], tuple(r["path"]), r["depth"]) for r in walks.forward_chain(graph, ids("m:entry", "m:1"), cycle=cycle).collect())
+    fused = rows()
+    monkeypatch.setattr(walks, "BROADCAST_BYTES", 0)
+    assert rows() == fused
+
+
+def test_review(spark, graph):
+    from callgrove.plans.review import review_endpoints
+    eps = spark.sql("""SELECT 'm:entry' AS id, 'pkg::C::m' AS endpoint_fqn, '/api/u' AS path, array(struct('q' AS name, 'String' AS type)) AS params, array('@GetMapping') AS annotations,
+        true AS permit_all, false AS filter_covered, false AS internal_network, 'P0' AS priority UNION ALL
+        SELECT 'm:1', 'pkg::S::m', '/x', CAST(array() AS array<struct<name:string,type:string>>), array('@GetMapping'), true, false, false, 'P0'""")
+    none = spark.createDataFrame([], "chain_id string, status string")
+    got = {r["endpoint_fqn"]: r for r in review_endpoints(graph, eps, none, ["@GetMapping"]).collect()}
+    a, b = got["pkg::C::m"], got["pkg::S::m"]
+    assert (a["route"], a["n_paths"], a["max_depth"], a["grade"], a["modes"]) == ("new", 4, 3, "high", ["A", "B", "C", "D", "INFO"])
+    assert (b["rule_id"], b["n_paths"], b["grade"], b["modes"]) == ("P-L1-001", 0, "none", [])
+
+
 def test_reverse_chain(graph, ids):
     got = walks.reverse_chain(graph, ids("m:3"))
     assert sorted((r["depth"], r["id"]) for r in got.collect()) == [(0, "m:3"), (1, "m:2"), (2, "m:1"), (3, "m:entry")]
