@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callgrove.operators.lookup import sink_type
 from callgrove.plans.chunked import left_join_nullable
+from callgrove.plans.scratch import materialize
 from callgrove.sources.graph import Graph
 
 
@@ -18,19 +19,28 @@ def _entries(g: Graph, fqn: str | None, entries: DataFrame | None) -> DataFrame:
     return m if entries is None else m.join(entries.select(F.col("id").alias("m0")).distinct(), "m0", "left_semi")
 
 
-def _method_calls(g: Graph, hop: int, *columns: str) -> DataFrame:
-    """Call edges of hop ``hop``; an edge to a non-method keeps its row with a null target."""
-    m = g.methods.select(F.col("id").alias(f"m{hop}"), *[F.col(c).alias(f"m{hop}_{a}") for c, a in
-                                                        (x.split(":") for x in columns)])
-    e = g.calls.select(F.col("source").alias(f"m{hop - 1}"), F.col("target").alias(f"__t{hop}"))
-    return e.join(m, e[f"__t{hop}"] == m[f"m{hop}"], "left").drop(f"__t{hop}")
+def _steps(g: Graph, *columns: str) -> DataFrame:
+    """Call edges with ``columns`` of the called method; an edge to a non-method keeps a null target.
+
+    Every hop takes the same step, so the step is joined and written once and then read per hop.
+    """
+    m = g.methods.select(F.col("id").alias("step_id"), *columns)
+    e = g.calls.select("source", F.col("target"))
+    return e.join(m, e["target"] == m["step_id"], "left").drop("target")
+
+
+def _at_hop(steps: DataFrame, hop: int, **names: str) -> DataFrame:
+    """The step table with the column names of hop ``hop``."""
+    return steps.select(F.col("source").alias(f"m{hop - 1}"), F.col("step_id").alias(f"m{hop}"),
+                        *[F.col(c).alias(n.format(hop)) for c, n in names.items()])
 
 
 def khop_left(g: Graph, fqn: str | None = None, k: int = 4, entries: DataFrame | None = None) -> DataFrame:
     """One row per walk of up to ``k`` calls, names of every hop."""
     out = _entries(g, fqn, entries).select("m0", "m0_fqn")
+    steps = materialize(_steps(g, "qualified_name"), "hop-steps")
     for hop in range(1, k + 1):
-        out = left_join_nullable(out, _method_calls(g, hop, "qualified_name:fqn"), f"m{hop - 1}")
+        out = left_join_nullable(out, _at_hop(steps, hop, qualified_name="m{}_fqn"), f"m{hop - 1}")
     return out.select(*[f"m{h}_fqn" for h in range(k + 1)])
 
 
@@ -41,17 +51,16 @@ def forward_context(g: Graph, fqn: str | None = None, k: int = 5, entries: DataF
     out = _entries(g, fqn, entries)
     r = g.routes.select(F.col("file_path").alias("m0_file"), F.col("start_line").alias("m0_line"), F.col("name").alias("route_name"))
     out = out.join(r, ["m0_file", "m0_line"], "left")
-    fld = g.of_kind("field").select(F.col("file_path").alias("m0_file"), F.col("name").alias("field_name"))
-    own = cls.select(F.col("file_path").alias("m0_file"), F.col("cls_fqn").alias("cls0_fqn"))
-    own = own.join(fld, "m0_file", "left")
+    fld = g.of_kind("field").select("file_path", F.col("name").alias("field_name"))
+    own = cls.join(fld, "file_path", "left").select(F.col("file_path").alias("m0_file"), F.col("cls_fqn").alias("cls0_fqn"), "field_name")
     out = out.join(own, "m0_file", "left")
     callers = g.calls.select(F.col("target").alias("m0"), F.col("source").alias("__c"))
     named = g.methods.select(F.col("id").alias("__c"), F.col("qualified_name").alias("caller0_fqn"))
     out = out.join(callers.join(named, "__c", "left").drop("__c"), "m0", "left")
+    steps = left_join_nullable(_steps(g, "qualified_name", "file_path"), cls, "file_path")
+    steps = materialize(steps.select("source", "step_id", "qualified_name", "cls_fqn"), "hop-steps")
     for hop in range(1, k + 1):
-        hop_cls = cls.select(F.col("file_path").alias(f"m{hop}_file"), F.col("cls_fqn").alias(f"cls{hop}_fqn"))
-        step = _method_calls(g, hop, "qualified_name:fqn", "file_path:file").join(hop_cls, f"m{hop}_file", "left")
-        out = left_join_nullable(out, step.drop(f"m{hop}_file"), f"m{hop - 1}")
+        out = left_join_nullable(out, _at_hop(steps, hop, qualified_name="m{}_fqn", cls_fqn="cls{}_fqn"), f"m{hop - 1}")
     names = ["m0_fqn", "route_name", "cls0_fqn", "caller0_fqn", "field_name",
              *[c for h in range(1, k + 1) for c in (f"m{h}_fqn", f"cls{h}_fqn")]]
     out = out.select(*names)
@@ -85,18 +94,17 @@ def multi_sink(g: Graph, fqn: str | None = None, entries: DataFrame | None = Non
 
 def auth_context(g: Graph, fqn: str | None = None, entries: DataFrame | None = None) -> DataFrame:
     """Entry, two hops, and for each hop its decorators, class fields and container."""
-    fields = g.of_kind("field").select(F.col("file_path"), F.col("name").alias("field"))
-    cls = g.classes.select("file_path", F.col("qualified_name").alias("cls")).join(fields, "file_path", "left")
-    held = g.edges_of("contains").select(F.col("target"), F.col("source").alias("container"))
+    fields = g.of_kind("field").select("file_path", F.col("name").alias("field"))
+    cls = g.classes.select("file_path").join(fields, "file_path", "left")
+    held = g.edges_of("contains").select(F.col("target").alias("step_id"), F.col("source").alias("container"))
     ep = _entries(g, fqn, entries)
     r = g.routes.select(F.col("file_path").alias("m0_file"), F.col("start_line").alias("m0_line"), F.col("name").alias("route_name"))
     out = ep.join(r, ["m0_file", "m0_line"], "left")
+    steps = left_join_nullable(_steps(g, "qualified_name", "file_path", "decorators"), cls, "file_path").drop("file_path")
+    steps = materialize(left_join_nullable(steps, held, "step_id"), "hop-steps")
     for hop in (1, 2):
-        ctx = cls.select(F.col("file_path").alias(f"m{hop}_file"), F.col("field").alias(f"f{hop}"))
-        box = held.select(F.col("target").alias(f"m{hop}"), F.col("container").alias(f"in{hop}"))
-        step = _method_calls(g, hop, "qualified_name:fqn", "file_path:file", "decorators:anno")
-        step = step.join(ctx, f"m{hop}_file", "left").join(box, f"m{hop}", "left")
-        out = left_join_nullable(out, step.drop(f"m{hop}_file"), f"m{hop - 1}")
+        step = _at_hop(steps, hop, qualified_name="m{}_fqn", decorators="m{}_anno", field="f{}", container="in{}")
+        out = left_join_nullable(out, step, f"m{hop - 1}")
     return out.select(F.col("m0_fqn").alias("ep_fqn"), "route_name",
                       F.col("m1_fqn").alias("biz_fqn"), F.col("m1_anno").alias("biz_anno"), F.col("f1").alias("biz_field"), F.col("in1").alias("biz_class"),
                       F.col("m2_fqn").alias("dao_fqn"), F.col("m2_anno").alias("dao_anno"), F.col("f2").alias("dao_field"), F.col("in2").alias("dao_class"))

@@ -119,9 +119,13 @@ def test_multi_hop(graph):
     assert hit["authenticated"] is False
 
 
-def test_joins_of_the_hop_form(graph):
-    plan = hops.khop_left(graph, "pkg::C::m", 4)._jdf.queryExecution().analyzed().toString()
-    assert plan.count("Join LeftOuter") == 8
+def test_hop_form_equals_the_plain_sql(graph, spark):
+    joins = "".join(f" LEFT JOIN {{edges}} e{h} ON e{h}.source = m{h - 1}.id AND e{h}.kind = 'calls' LEFT JOIN {{nodes}} m{h} ON m{h}.id = e{h}.target AND m{h}.kind = 'method'" for h in range(1, 5))
+    sql = f"SELECT {', '.join(f'm{h}.qualified_name AS q{h}' for h in range(5))} FROM {{nodes}} m0{joins} WHERE m0.kind = 'method'"
+    assert sql.count("LEFT JOIN") == 8
+    plain = spark.sql(sql, nodes=graph.nodes, edges=graph.edges)
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert key(hops.khop_left(graph, k=4)) == key(plain)
 
 
 def test_summary_and_grades(spark, graph, ids):
