@@ -165,6 +165,18 @@ def _(spark, d):
                        java.method_block(seg).alias("block"), java.method_block(seg, window=600).alias("block_600"))
 
 
+@R.query("e9_operation", f"""WITH {ENDPOINTS_SQL} SELECT file, seq, path, regexp_extract(file, '([^/]*)\\.java$', 1) || '_' || http_method AS operation_id, annotation || ' ' || path AS summary FROM endpoints""")
+def _(spark, d):
+    return endpoints(spark, d).select("file", "seq", "path", java.operation_id(F.col("file"), F.col("http_method")).alias("operation_id"),
+                                      F.concat("annotation", F.lit(" "), "path").alias("summary"))
+
+
+@R.query("e11_class_level", f"WITH {ENDPOINTS_SQL} SELECT file, count(*) FILTER ({_CLS.replace('S,', 's,')}) AS n_class_level, count(*) AS n_mappings FROM seg WHERE seq > 0 GROUP BY 1")
+def _(spark, d):
+    seg = V.sources(spark, d).select("file", F.posexplode(java.mapping_segments(F.col("text"))).alias("seq", "seg")).filter("seq > 0")
+    return seg.groupBy("file").agg(F.count_if(java.is_class_level(F.col("seg"))).alias("n_class_level"), F.count(F.lit(1)).alias("n_mappings"))
+
+
 @R.query("u5_path_values", f"WITH {ENDPOINTS_SQL} SELECT file, seq, count(*) AS n_paths FROM endpoints GROUP BY 1, 2 HAVING count(*) > 1")
 def _(spark, d):
     return endpoints(spark, d).groupBy("file", "seq").agg(F.count(F.lit(1)).alias("n_paths")).filter("n_paths > 1")

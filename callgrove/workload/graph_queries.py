@@ -329,6 +329,18 @@ def _(spark, d):
     return walks.impact(g, g.classes.filter(F.col("id").startswith("c")), 2)
 
 
+@R.query("u4_impacted_nodes", f"""WITH {G}, z AS (SELECT id FROM nodes WHERE kind = 'class' AND starts_with(id, 'b')), arcs AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
+  one AS (SELECT a.b AS id FROM z JOIN arcs a ON a.a = z.id), two AS (SELECT a.b AS id FROM one JOIN arcs a ON a.a = one.id) SELECT id FROM z UNION SELECT id FROM one UNION SELECT id FROM two""")
+def _(spark, d):
+    g = V.graph(spark, d)
+    return walks.impact(g, g.classes.filter(F.col("id").startswith("b")), 2).select("id").distinct()
+
+
+@R.query("k2_limit_per_node", _near("target", "source").replace("rank <= 20", "rank <= 3"))
+def _(spark, d):
+    return lookup.callers(V.graph(spark, d), limit=3)
+
+
 _FILE_ARCS = """arcs AS (SELECT DISTINCT t.file_path AS a, s.file_path AS b FROM edges e JOIN nodes s ON s.id = e.source JOIN nodes t ON t.id = e.target
   WHERE e.kind <> 'contains' AND s.file_path <> t.file_path)"""
 
