@@ -186,8 +186,9 @@ def _across(left: list[tuple], right: list[tuple], band: int, percent: int) -> I
 def _rest(members: DataFrame, parts: DataFrame, keys: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Links between components inside the buckets (key, band, id) whose members lie in more than one.
 
-    The members outside a bucket's largest component form rows, all members columns, of a matrix of tiles of
-    ``block`` by ``block`` nodes; a pair that shares several bands is looked at in the first only.
+    ``members`` lacks the centres, which have met all others.  The members outside a bucket's largest
+    component form rows, all members columns, of a matrix of tiles of ``block`` by ``block`` nodes; a pair
+    that shares several bands is looked at in the first only.
     """
     placed = members.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).select("key", "band", "id", "part")
     placed = materialize(placed, "placed")
@@ -220,14 +221,16 @@ def _rest(members: DataFrame, parts: DataFrame, keys: DataFrame, sets: DataFrame
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, percent: int = 80, block: int = 1024) -> DataFrame:
     """``key``, n_shingles, component_id (smallest id reachable) and kept, a row per row of ``df``."""
     signed = materialize(_signatures(df, text, key, words), "signatures")
-    nodes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.any_value("keys").alias("keys"))
+    nodes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
     nodes = materialize(nodes, "nodes")
     named = nodes.where("id IS NOT NULL")
-    buckets = named.select("id", F.posexplode("keys").alias("band", "key"))
-    centres = materialize(buckets.groupBy("key").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "a"), "centres")
-    members = materialize(buckets.join(centres, "key"), "buckets")
-    pairs = materialize(members.where("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    buckets = named.select("id", "n", F.posexplode("keys").alias("band", "key"))
+    centres = buckets.groupBy("key").agg(F.min(F.struct("id", "n")).alias("centre"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    centres = materialize(centres.select("key", F.col("centre.id").alias("a"), F.col("centre.n").alias("na"), "many"), "centres")
+    members = materialize(buckets.join(centres, "key").where("id <> a"), "buckets")
+    fits = 100 * F.least("n", "na") >= percent * F.greatest("n", "na")  # else the sets cannot be similar
+    pairs = materialize(members.where(fits).select("a", F.col("id").alias("b")).distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).union(members.where(fits | (F.col("many") > 2)).select("id")).distinct()
     sets = materialize(_sets(df, text, key, ids, words), "sets")
     links = materialize(_confirm(pairs, sets, percent), "confirmed")
     parts = materialize(components(links), "parts")
