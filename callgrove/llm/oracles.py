@@ -76,12 +76,15 @@ def _templates(i: int) -> str:
     firsts = ", ".join(f"first_value({x}) OVER w AS lead_{x}" for x in ["n", *stats])
     far = "greatest(" + ", ".join(f"abs({x} / n - lead_{x} / lead_n)" for x in stats) + ")"
     bound = "sqrt(0.5 * ln(2 / 0.05)) * (1 / sqrt(n) + 1 / sqrt(lead_n))"
+    every = ", ".join(f"f_{s}" for s in _SHAPES)
+    most = ", ".join(f"CASE WHEN f_{s} = greatest({every}) THEN '{s}' END" for s in _SHAPES)
     prev = f"c{i - 1}"
     return f"""
 b{i} AS (SELECT {above}, s{i}, sum(n) AS n, sum(bad) AS bad, {features} FROM {prev} GROUP BY ALL),
 bb{i} AS (SELECT {above}, s{i}, n, bad, {filled} FROM b{i}),
+ba{i} AS (SELECT *, coalesce({most}) || (bad * 2 > n) AS alike FROM bb{i}),
 g{i} AS (SELECT *, count(*) OVER (PARTITION BY {above}) AS kinds, sum(n) OVER (PARTITION BY {above}) AS every, first_value(s{i}) OVER w AS lead, {firsts}
-  FROM bb{i} WINDOW w AS (PARTITION BY {above} ORDER BY n DESC, s{i} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  FROM ba{i} WINDOW w AS (PARTITION BY {above}, alike ORDER BY n DESC, s{i} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
 m{i} AS (SELECT {above}, s{i}, CASE WHEN kinds >= 16 AND kinds >= 0.5 * every THEN '*' WHEN {far} < {bound} THEN lead ELSE s{i} END AS t{i} FROM g{i}),
 c{i} AS (SELECT * FROM {prev} JOIN m{i} USING ({above}, s{i}))"""
 

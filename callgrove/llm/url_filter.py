@@ -3,8 +3,8 @@
 Rules name a host and the beginning of a path; the longest that fits decides.  Other URLs are judged by
 templates.  The paths of a host form a tree of three levels (the third holds the rest of the path).  At
 each level segments of digits become wildcards, the children of a node that are nearly all different become
-one wildcard, and branches whose counts below do not differ from the largest branch of the node beyond
-what chance allows (Hoeffding bound) are merged with it.  A template is rejected when the smoothed share of
+one wildcard, and branches are merged with the largest one of the node that has mostly the same kind of
+children, if their counts below do not differ beyond what chance allows (Hoeffding bound).  A template is rejected when the smoothed share of
 its URLs that rules block is high; URLs without a rule count as not blocked.
 
 Counts are aggregated before each level, so a host with most of the URLs is a few rows per branch; only
@@ -66,7 +66,9 @@ def _level(counts: DataFrame, above: list[str], at: str, below: str, to: str, va
     features = [F.sum(F.when(F.col(below) == s, F.col("n")).otherwise(0)).alias(f"f_{s}") for s in SHAPES]
     branch = counts.groupBy(*above, at).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), *features)
     node = Window.partitionBy(*above)
-    first = node.orderBy(F.desc("n"), at)
+    most = F.greatest(*[F.col(f"f_{s}") for s in SHAPES])
+    branch = branch.withColumn("alike", F.concat_ws(" ", F.coalesce(*[F.when(F.col(f"f_{s}") == most, s) for s in SHAPES]), F.col("bad") * 2 > F.col("n")))
+    first = Window.partitionBy(*above, "alike").orderBy(F.desc("n"), at)
     branch = branch.withColumn("kinds", F.count(F.lit(1)).over(node)).withColumn("all", F.sum("n").over(node))
     stats = ["n", "bad", *[f"f_{s}" for s in SHAPES]]
     lead = F.first(F.struct(F.col(at).alias("name"), *stats)).over(first)

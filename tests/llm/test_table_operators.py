@@ -137,7 +137,7 @@ def test_branches_that_look_alike_are_merged_and_others_not(spark):
     rows = [("h", a, b, "", n, bad) for a, b, n, bad in [("en", "*", 500, 5), ("de", "*", 480, 4), ("tags", "red", 300, 0), ("tags", "blue", 250, 0), ("bad", "*", 400, 390)]]
     df = spark.createDataFrame(rows, "host string, s1 string, s2 string, s3 string, n bigint, bad bigint").withColumn("k2", F.when(F.col("s2") == "*", "digits").otherwise("word"))
     got = {r.s1: r.t1 for r in url_filter._level(df, ["host"], "s1", "k2", "t1", 0.5, 16, 0.05).collect()}
-    assert got == {"en": "tags", "de": "tags", "tags": "tags", "bad": "bad"} or got == {"en": "en", "de": "en", "tags": "tags", "bad": "bad"}
+    assert got == {"en": "en", "de": "en", "tags": "tags", "bad": "bad"}
 
 
 # archive
