@@ -85,11 +85,11 @@ def get_method(g: Graph, cls: str, method: str) -> DataFrame:
 
 
 def skip_packages(df: DataFrame, prefixes: Sequence[str], column: str = "qualified_name") -> DataFrame:
-    """Drop framework rows; the prefixes come from the preset document and fold into one predicate."""
+    """Drop framework rows; the prefixes come from the preset document and fold into one predicate.  Rows without a name stay."""
     hit = F.lit(False)
     for prefix in prefixes:
         hit = hit | F.col(column).startswith(prefix)
-    return df.filter(~hit)
+    return df.filter(~F.coalesce(hit, F.lit(False)))
 
 
 def _glob_to_regex(glob: str) -> str:

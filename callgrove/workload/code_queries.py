@@ -13,45 +13,52 @@ from callgrove.workload.registry import Registry
 
 R = Registry()
 
-# Re-statement of the extraction in SQL: cut before each mapping, drop class-level cuts.
+# The extraction in SQL: cut before each mapping, drop class-level cuts, find each annotated parameter by its own pattern.
 _MAP = "@(?:Post|Get|Put|Delete|Patch|Request)Mapping\\b"
-_ARG = "'^@(\\w+)Mapping\\s*(?:\\(([^)]*)\\))?'"
-_CLS = f"""coalesce(regexp_matches(list_filter(list_transform(string_split(regexp_replace(S, {_ARG}, ''), chr(10))[1:20], lambda s: trim(s)),
+_IN = '((?:[^()"]|"[^"]*"|\\([^()]*\\))*)'
+_ARG = f"'^@(\\w+)Mapping\\s*(?:\\({_IN}\\))?'"
+_CLS = f"""coalesce(regexp_matches(list_filter(list_transform(string_split(regexp_replace(S, {_ARG}, ''), chr(10)), lambda s: trim(s)),
   lambda s: s <> '' AND NOT regexp_matches(s, '^(?://|/\\*|\\*|@)'))[1], '\\b(?:class|interface|enum|record)\\b'), false)"""
-_QP = "'@RequestParam\\s*(?:\\(([^)]*)\\))?\\s*([\\w<>\\[\\]]+)\\s+(\\w+)'"
-_PV = "'@PathVariable\\s*(?:\\((?:value\\s*=\\s*)?\"?([^\")]*)\"?\\))?\\s*([\\w<>\\[\\]]+)\\s+(\\w+)'"
-_RH = "'@RequestHeader\\s*(?:\\(([^)]*)\\))?\\s*([\\w<>\\[\\]]+)\\s+(\\w+)'"
+_QP, _PV, _RH, _RB = (f"'@{by}\\b(?:\\s*\\({_IN}\\))?\\s*(?:final\\s+)?([\\w.]+(?:<(?:[^<>]|<[^<>]*>)*>)?(?:\\[\\])*)\\s+(\\w+)'"
+                      for by in ("RequestParam", "PathVariable", "RequestHeader", "RequestBody"))
+_NAMED = "coalesce(nullif(regexp_extract({a}, '(?:^|[,\\s])(?:value|name)\\s*=\\s*\"([^\"]*)\"', 1), ''), nullif(regexp_extract({a}, '^\\s*\"([^\"]*)\"', 1), ''), {v})"
 _TY = """CASE WHEN {t} IN ('int','Integer','long','Long') THEN 'integer' WHEN {t} IN ('boolean','Boolean') THEN 'boolean'
   WHEN {t} IN ('double','float') THEN 'number' ELSE 'string' END"""
 
 
+def _named(pattern):
+    return _NAMED.replace("{a}", f"regexp_extract(m, {pattern}, 1)").replace("{v}", f"regexp_extract(m, {pattern}, 3)")
+
+
 def _params(pattern, where):
-    name = (f"coalesce(nullif(regexp_extract(m, {pattern}, 1), ''), regexp_extract(m, {pattern}, 3))" if where == "path" else
-            f"coalesce(nullif(regexp_extract(regexp_extract(m, {pattern}, 1), '(?:value|name)\\s*=\\s*\"([^\"]*)\"', 1), ''), regexp_extract(m, {pattern}, 3))")
     req = "'true'" if where == "path" else f"CASE WHEN regexp_matches(regexp_extract(m, {pattern}, 1), 'required\\s*=\\s*false') THEN 'false' ELSE 'true' END"
     ty = _TY.replace("{t}", f"regexp_extract(m, {pattern}, 2)")
-    return f"list_transform(regexp_extract_all(block, {pattern}), lambda m: concat_ws(':', {name}, '{where}', {req}, {ty}))"
+    return f"list_transform(regexp_extract_all(block, {pattern}), lambda m: concat_ws(':', {_named(pattern)}, '{where}', {req}, {ty}))"
+
 
+def _paths(args):
+    listed = '(\\{\\s*(?:"[^"]*"\\s*,?\\s*)*\\}|"[^"]*")'
+    parts = [f"nullif(regexp_extract({args}, '(?:^|[,\\s]){n}\\s*=\\s*{listed}', 1), '')" for n in ("path", "value")]
+    text = f"coalesce({', '.join(parts)}, regexp_extract({args}, '^{listed}', 1))"
+    return f"""CASE WHEN contains({text}, '"') THEN regexp_extract_all({text}, '"([^"]*)"', 1) ELSE [''] END"""
 
+
+_DECL = f"'(?:public|private|protected)\\s+[\\w<>\\[\\], ?.]+?\\s+\\w+\\s*\\({_IN}\\)'"
 _RISK = "CASE WHEN regexp_matches(lower(path), '" + "|".join(HIGH_RISK_WORDS) + "') THEN 'HIGH' WHEN contains(lower(path), 'xss') THEN 'MEDIUM' ELSE 'LOW' END"
 ENDPOINTS_SQL = f"""{V.JAVA_SQL}, cuts AS (SELECT file, string_split(regexp_replace(text, '({_MAP})', chr(1) || '\\1', 'g'), chr(1)) AS segs FROM sources),
   seg AS (SELECT file, segs, unnest(segs) AS s, generate_subscripts(segs, 1) - 1 AS seq FROM cuts),
-  pref AS (SELECT file, coalesce(regexp_extract(regexp_extract(list_filter(segs[2:], lambda g: {_CLS.replace('S,', 'g,')})[1], {_ARG}, 2), '"([^"]*)"', 1), '') AS prefix FROM cuts),
+  pref AS (SELECT file, ({_paths("coalesce(trim(regexp_extract(list_filter(segs[2:], lambda g: " + _CLS.replace('S,', 'g,') + ")[1], " + _ARG + ", 2)), '')")})[1] AS prefix FROM cuts),
   raw AS (SELECT seg.file, seq, s, prefix, regexp_extract(s, {_ARG}, 1) AS kind, trim(regexp_extract(s, {_ARG}, 2)) AS args FROM seg JOIN pref ON pref.file = seg.file
     WHERE seq > 0 AND NOT {_CLS.replace('S,', 's,')}),
-  pth AS (SELECT *, unnest(CASE WHEN regexp_matches(args, 'path\\s*=\\s*"') THEN [regexp_extract(args, 'path\\s*=\\s*"([^"]*)"', 1)]
-    WHEN regexp_matches(args, 'value\\s*=\\s*"') THEN [regexp_extract(args, 'value\\s*=\\s*"([^"]*)"', 1)]
-    WHEN len(regexp_extract_all(regexp_extract(args, '^(?:(?:path|value)\\s*=\\s*)?\\{{([^}}]*)\\}}', 1), '"([^"]*)"', 1)) > 0
-      THEN regexp_extract_all(regexp_extract(args, '^(?:(?:path|value)\\s*=\\s*)?\\{{([^}}]*)\\}}', 1), '"([^"]*)"', 1)[1:3] ELSE [''] END) AS rp,
-    regexp_extract(regexp_replace(s, {_ARG}, ''), '(?:public|private|protected)\\s+[\\w<>\\[\\], ?.]+?\\s+\\w+\\s*\\(((?:[^()]|\\([^()]*\\))*)\\)', 1) AS block FROM raw),
+  pth AS (SELECT *, unnest({_paths('args')}) AS rp, regexp_extract(regexp_replace(s, {_ARG}, ''), {_DECL}, 1) AS block FROM raw),
   joined AS (SELECT *, CASE WHEN rp = '' THEN prefix WHEN prefix = '' THEN rp WHEN NOT starts_with(rp, '/') AND NOT ends_with(prefix, '/') THEN prefix || '/' || rp ELSE prefix || rp END AS jp FROM pth),
   ep AS (SELECT *, CASE WHEN jp = '' THEN '/' WHEN starts_with(jp, '/') THEN jp ELSE '/' || jp END AS path,
     CASE WHEN kind <> 'Request' THEN lower(kind) ELSE coalesce(nullif(lower(regexp_extract(args, 'method\\s*=\\s*(?:RequestMethod\\.)?(\\w+)', 1)), ''), 'get') END AS http_method FROM joined),
   endpoints AS (SELECT file, CAST(seq AS INTEGER) AS seq, http_method, path, '@' || kind || 'Mapping' AS annotation, args,
     array_to_string(list_concat({_params(_PV, 'path')},
-      list_transform(list_filter(list_distinct(regexp_extract_all(path, '\\{{(\\w+)\\}}', 1)), lambda v: NOT list_contains(list_transform(regexp_extract_all(block, {_PV}), lambda m: regexp_extract(m, {_PV}, 1)), v)), lambda v: v || ':path:true:string'),
+      list_transform(list_filter(list_distinct(regexp_extract_all(path, '\\{{(\\w+)[^{{}}]*\\}}', 1)), lambda v: NOT list_contains(list_transform(regexp_extract_all(block, {_PV}), lambda m: {_named(_PV)}), v)), lambda v: v || ':path:true:string'),
       {_params(_QP, 'query')}, {_params(_RH, 'header')}), ',') AS params,
-    nullif(regexp_extract(block, '@RequestBody\\s*(?:\\([^)]*\\)\\s*)?([\\w<>\\[\\].]+)\\s+(\\w+)', 1), '') AS body,
+    nullif(regexp_extract(block, {_RB}, 2), '') AS body,
     regexp_matches(block, '@RequestParam|@RequestBody|@PathVariable|@RequestHeader|\\bMultipartFile\\b') AS has_input, {_RISK} AS risk FROM ep)"""
 
 
@@ -153,9 +160,6 @@ def _(spark, d):
     return V.graph(spark, d).nodes.select("id", java.risk(F.col("qualified_name")).alias("risk"))
 
 
-_DECL = "'(?:public|private|protected)\\s+[\\w<>\\[\\], ?.]+?\\s+\\w+\\s*\\(((?:[^()]|\\([^()]*\\))*)\\)'"
-
-
 @R.query("e10_e12_method_blocks", f"""WITH {ENDPOINTS_SQL} SELECT file, CAST(seq AS INTEGER) AS seq, {_CLS.replace('S,', 's,')} AS class_level, regexp_extract(trim(regexp_extract(s, {_ARG}, 2)), '"([^"]*)"', 1) AS first_text,
   regexp_extract(regexp_replace(s, {_ARG}, ''), {_DECL}, 1) AS block, regexp_extract(substr(regexp_replace(s, {_ARG}, ''), 1, 600), {_DECL}, 1) AS block_600 FROM seg WHERE seq > 0""")
 def _(spark, d):

@@ -126,9 +126,9 @@ _LINKS = [
     ('<a href="(/[A-M][^"]*)">([^<]*)</a>',
      '\n@PostMapping(value = "{1}")\npublic String save(@RequestParam(name = "q", required = false) String word, @RequestBody Form form) {\n  return "{2}" + word;\n}\n'),
     ('<a href="(/[a-f][^"]*)">([^<]*)</a>',
-     '\n@RequestMapping(path = "{1}/{id}", method = RequestMethod.PUT)\npublic int put(@PathVariable("id") Long id, @RequestHeader String agent) {\n  return 1;\n}\n'),
+     '\n@RequestMapping(path = "{1}/{id}", method = RequestMethod.PUT)\npublic int put(@PathVariable(name = "id") Long id, @RequestHeader("User-Agent") final String agent) {\n  return 1;\n}\n'),
     ('<a href="(/[^"]*)">([^<]*)</a>',
-     '\n@GetMapping({ "{1}", "{2}/exec" })\n// lookup\n@ResponseBody\npublic Map<String, Object> find(@RequestParam int page, MultipartFile file) {\n  return null;\n}\n'),
+     '\n@GetMapping(produces = "text/html", value = { "{1}", "{2}/exec", "/third", "{1}/{key:[a-z]+}" })\n// lookup\n@ResponseBody\npublic Map<String, Object> find(@RequestParam int page, @RequestParam(required = false) Map<String, List<String>> all, @RequestBody List<Map<String, Form>> forms, MultipartFile file) {\n  return null;\n}\n'),
 ]
 _HEAD = ('package site.page;\nimport org.springframework.boot.SpringApplication;\nimport java.util.Map;\n', "@RestController\n@RequestMapping(\"/", "\")\npublic class Page", " {\n")
 
