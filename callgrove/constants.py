@@ -68,7 +68,7 @@ IMPACT_PATTERNS = {
         r"\d+\s*rows?\s*in\s*set",
     ],
     "integrity": [
-        r"(?:INSERT\s+INTO|UPDATE\s+\w+\s+SET|DELETE\s+FROM)", r"successfully\s+(?:deleted|updated|inserted)",
+        r"(?:INSERT\s+INTO|UPDATE\s+\w+\s+SET|DELETE\s+FROM|DROP\s+TABLE)", r"successfully\s+(?:deleted|updated|inserted)",
         r'status":\s*"(?:ok|success|completed|true)', r"modified\s+\d+\s+rows?",
     ],
     "availability": [
@@ -76,6 +76,12 @@ IMPACT_PATTERNS = {
         r"OutOfMemoryError", r"timeout\s+after\s+\d+",
     ],
 }
+#: What makes a request an attack and not a test of reachability.
+ATTACK_PAYLOADS = [
+    r"(?i)(?:'|%27)\s*(?:or|and)\b", r"(?i)union\s+(?:all\s+)?select", r"(?i)<script|onerror\s*=|javascript:", r"\.\./\.\.|%2e%2e%2f",
+    r"(?i)\$\{jndi:|%\{|\{\{", r"(?i)[;|&]\s*(?:cat|id|ls|whoami|ping|sleep)\b", r"(?i)<!ENTITY|<!DOCTYPE[^>]*SYSTEM", r"(?i)file:///|169\.254\.",
+    r"(?i)--data\S*\s|\s-d\s|-X\s*(?:POST|PUT|PATCH|DELETE)", r"(?i)rO0AB|aced0005",
+]
 LEAK_PATTERNS = {
     "password": r"(?i)password\s*[:=]", "token": r"(?i)token",
     "id_card": r"\b\d{17}[\dXx]\b", "bank_card": r"\b\d{16,19}\b",

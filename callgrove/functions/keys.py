@@ -69,7 +69,7 @@ def prefetch(chains: DataFrame, methods: DataFrame, group: str, commit: str) ->
     rows = m.select("chain_id", "key", F.lit("method").alias("kind"),
                     F.to_json(F.struct("fqn", "sig_hash", "body", "file", "line")).alias("value"))
     m = m.select("chain_id", "pos", "fqn", "sig_hash", "key").withColumn("b", F.pmod(F.xxhash64("key"), F.lit(64)))
-    m = running(m, ["chain_id"], ["pos", "b", "key"], F.struct("pos", "b"), F.lit(1), "nth", "count")
+    m = running(m, ["chain_id"], ["pos", "b", "key"], F.floor(F.col("pos") / PAGE), F.lit(1), "nth", "count")
     pages = m.groupBy("chain_id", F.floor((F.col("nth") - 1) / PAGE).alias("page")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "fqn", "sig_hash", "key"))).alias("methods"))
     pages = chains.select("chain_id").distinct().join(pages, "chain_id", "left")

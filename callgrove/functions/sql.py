@@ -23,11 +23,12 @@ def register_functions(spark: SparkSession) -> list[str]:
             f"CASE WHEN lower(path) RLIKE '{words}' THEN 'HIGH' WHEN contains(lower(path), 'xss') THEN 'MEDIUM' ELSE 'LOW' END",
         "short_hash(text STRING) RETURNS STRING": "left(sha2(text, 256), 16)",
         "level_rank(level STRING) RETURNS INT": _case("level", [(f"level = '{n}'", r) for n, r in ranks], "NULL"),
+        "bare_text(text STRING) RETURNS STRING": r"""regexp_replace(trim(text), '^["\']+|["\']+$', '')""",
         "join_path(prefix STRING, path STRING) RETURNS STRING": """
-            CASE WHEN prefix = '' AND path = '' THEN '/'
-              ELSE regexp_replace(CASE WHEN path = '' THEN prefix WHEN prefix = '' THEN path
-                WHEN NOT startswith(path, '/') AND NOT endswith(prefix, '/') THEN concat(prefix, '/', path)
-                ELSE concat(prefix, path) END, '^(?!/)', '/') END""",
+            CASE WHEN bare_text(prefix) = '' AND bare_text(path) = '' THEN '/'
+              ELSE regexp_replace(CASE WHEN bare_text(path) = '' THEN bare_text(prefix) WHEN bare_text(prefix) = '' THEN bare_text(path)
+                WHEN NOT startswith(bare_text(path), '/') AND NOT endswith(bare_text(prefix), '/') THEN concat(bare_text(prefix), '/', bare_text(path))
+                ELSE concat(bare_text(prefix), bare_text(path)) END, '^(?!/)', '/') END""",
     }
     for head, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

@@ -18,14 +18,6 @@ def _any(text: Column, patterns: Sequence[str]) -> Column:
     return hit
 
 
-def kind_of(text: Column, table: Mapping[str, Sequence[str]]) -> Column:
-    """First key of ``table`` with a pattern found in ``text``."""
-    out = F
-    for kind, patterns in table.items():
-        out = out.when(_any(text, patterns), kind)
-    return out
-
-
 def sanitizers(text: Column, kind: Column, table: Mapping[str, Sequence[str]] = SANITIZERS) -> Column:
     """Whether ``text`` holds a sanitizer that is effective for the sink ``kind``."""
     hit = F.lit(False)
@@ -38,17 +30,21 @@ def trace_params(params: DataFrame, functions: DataFrame, sinks: Mapping[str, Se
                  cleaners: Mapping[str, Sequence[str]] = SANITIZERS) -> DataFrame:
     """Uses of each parameter in the functions of its chain, line by line, in chain order.
 
+    A line gives a use for every kind of sink and of sanitizer it holds, or else one for a concatenation
+    and one for a call.
+
     ``params(chain_id, param)``, ``functions(chain_id, depth, body)``.  A line is classified where it
     is read and lines without a use end there; the rest meet the parameters by an equi join on
     (chain, word), which spreads a chain that holds most of the code over its words.
     """
     lines = functions.select("chain_id", "depth", F.posexplode(F.split("body", "\n")).alias("line", "text"))
     text = F.col("text")
-    sink, cleaner = kind_of(text, sinks), kind_of(text, cleaners)
-    use = (F.when(sink.isNotNull(), "sink_call").when(cleaner.isNotNull(), "sanitizer")
-           .when(text.rlike(r'"\s*\+|\+\s*"'), "concat").when(text.rlike(r"\w\s*\("), "function_call"))
-    kind = F.when(F.col("use") == "sink_call", sink).when(F.col("use") == "sanitizer", cleaner)
-    used = lines.withColumn("use", use).filter(F.col("use").isNotNull()).withColumn("kind", kind)
+    named = lambda use, kind: F.struct(F.lit(use).alias("use"), F.lit(kind).cast("string").alias("kind"))
+    strong = [F.when(_any(text, p), named("sink_call", k)) for k, p in sinks.items()] + [F.when(_any(text, p), named("sanitizer", k)) for k, p in cleaners.items()]
+    weak = [F.when(text.rlike(r'"\s*\+|\+\s*"'), named("concat", None)), F.when(text.rlike(r"\w\s*\("), named("function_call", None))]
+    found = F.array_compact(F.array(*strong))
+    used = lines.withColumn("__uses", F.when(F.size(found) > 0, found).otherwise(F.array_compact(F.array(*weak))))
+    used = used.select("chain_id", "depth", "line", "text", F.inline("__uses"))
     words = F.explode(F.array_distinct(F.split("text", r"[^\p{L}\p{N}_]+")))
     return (used.select("chain_id", words.alias("param"), "depth", "line", "use", "kind")
             .join(params.select("chain_id", "param").distinct(), ["chain_id", "param"], "left_semi"))
@@ -86,7 +82,7 @@ def l2_prune(chain: DataFrame, unsure: Sequence[str] = (r"(?i)\b(?:clean|escape|
 
 
 def node_prune(df: DataFrame, frameworks: Sequence[str]) -> DataFrame:
-    """Drop nodes that cannot carry taint: framework code, accessors, constant arguments."""
+    """Tags nodes that cannot carry taint (framework code, accessors, constant arguments) in ``pruned_by``; all rows stay."""
     framework = _any(F.col("qualified_name"), [f"^{p.replace('.', chr(92) + '.')}" for p in frameworks])
     accessor = F.col("name").rlike(r"^(?:(?:get|set|is)[A-Z]\w*|equals|hashCode)$")
     reason = F.when(framework, "framework").when(accessor, "accessor").when(
@@ -97,7 +93,7 @@ def node_prune(df: DataFrame, frameworks: Sequence[str]) -> DataFrame:
 def sanitizer_state(chain: DataFrame, order: Sequence[str]) -> DataFrame:
     """Whether an effective sanitizer stands at or before each node of its chain."""
     rows = chain.withColumn("effective", sanitizers(F.col("body"), F.col("sink_kind")))
-    out = running(rows, ["chain_id"], order, F.col(order[0]), F.col("effective").cast("int"), "seen", "max")
+    out = running(rows, ["chain_id"], order, F.floor(F.col(order[0]) / 1000), F.col("effective").cast("int"), "seen", "max")
     return out.withColumn("clean", F.col("seen") == 1).drop("seen")
 
 

@@ -48,19 +48,21 @@ def forward_context(g: Graph, fqn: str | None = None, k: int = 5, entries: DataF
                     limit: int | None = None) -> DataFrame:
     """Walks of ``k`` calls with route, class, caller and class field of the entry and the class of each hop."""
     cls = g.classes.select("file_path", F.col("qualified_name").alias("cls_fqn"))
-    out = _entries(g, fqn, entries)
+    start = _entries(g, fqn, entries)
     r = g.routes.select(F.col("file_path").alias("m0_file"), F.col("start_line").alias("m0_line"), F.col("name").alias("route_name"))
-    out = out.join(r, ["m0_file", "m0_line"], "left")
+    context = start.join(r, ["m0_file", "m0_line"], "left")
     fld = g.of_kind("field").select("file_path", F.col("name").alias("field_name"))
     own = cls.join(fld, "file_path", "left").select(F.col("file_path").alias("m0_file"), F.col("cls_fqn").alias("cls0_fqn"), "field_name")
-    out = out.join(own, "m0_file", "left")
+    context = context.join(own, "m0_file", "left")
     callers = g.calls.select(F.col("target").alias("m0"), F.col("source").alias("__c"))
     named = g.methods.select(F.col("id").alias("__c"), F.col("qualified_name").alias("caller0_fqn"))
-    out = out.join(callers.join(named, "__c", "left").drop("__c"), "m0", "left")
+    context = context.join(callers.join(named, "__c", "left").drop("__c"), "m0", "left").drop("m0_file", "m0_line")
     steps = left_join_nullable(_steps(g, "qualified_name", "file_path"), cls, "file_path")
     steps = materialize(steps.select("source", "step_id", "qualified_name", "cls_fqn"), "hop-steps")
+    out = start.select("m0")
     for hop in range(1, k + 1):
         out = left_join_nullable(out, _at_hop(steps, hop, qualified_name="m{}_fqn", cls_fqn="cls{}_fqn"), f"m{hop - 1}")
+    out = out.join(context, "m0")  # the entry's wide rows do not travel with the walk
     names = ["m0_fqn", "route_name", "cls0_fqn", "caller0_fqn", "field_name",
              *[c for h in range(1, k + 1) for c in (f"m{h}_fqn", f"cls{h}_fqn")]]
     out = out.select(*names)

@@ -118,10 +118,12 @@ def filter_coverage(endpoints: DataFrame, filters: DataFrame) -> DataFrame:
     ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     offered = endpoints.select("endpoint_id", "path", F.explode(ups).alias("folder"))
     regex = F.regexp_replace("pattern", r"([.+()\[\]{}^$|\\])", r"\\$1")
-    for token, mark in ((r"/\*\*$", "\u0001"), (r"\*\*", "\u0002")):
+    # "/**" at the end and "**/" stand for no folder as well
+    for token, mark in ((r"/\*\*$", "\u0001"), (r"\*\*/", "\u0003"), (r"\*\*", "\u0002")):
         regex = F.regexp_replace(regex, token, mark)
     regex = F.regexp_replace(F.regexp_replace(regex, r"\*", "[^/]*"), r"\?", "[^/]")
-    regex = F.regexp_replace(F.regexp_replace(regex, "\u0001", "(?:/.*)?"), "\u0002", ".*")
+    for mark, meaning in (("\u0001", "(?:/.*)?"), ("\u0003", "(?:.*/)?"), ("\u0002", ".*")):
+        regex = F.regexp_replace(regex, mark, meaning)
     rules = filters.select(F.regexp_extract("pattern", r"^([^*?]*)/", 1).alias("folder"),
                            F.concat(F.lit("^"), regex, F.lit("$")).alias("regex")).distinct()
     hits = offered.join(rules, "folder").filter(F.rlike("path", F.col("regex"))).groupBy("endpoint_id").agg(F.count(F.lit(1)).alias("n"))

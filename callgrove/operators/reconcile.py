@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callgrove.constants import FAKE_SHARE, PROMOTION_THRESHOLD, TEMPLATE_SENTENCE, VERIFICATION_RATE
+from callgrove.constants import ATTACK_PAYLOADS, FAKE_SHARE, PROMOTION_THRESHOLD, TEMPLATE_SENTENCE, VERIFICATION_RATE
 from callgrove.functions.text import impact_evidence, md_field, parse_report_name
 from callgrove.functions.times import micros
+from callgrove.plans.chunked import neighbour
 
 HIGH_LEVELS = ["致命", "严重", "CRITICAL"]
 
@@ -54,39 +55,42 @@ def coverage(endpoints: DataFrame, reports: DataFrame) -> DataFrame:
     return out.withColumn("invariant_ok", F.col("n_hi") + F.col("n_lo") == F.col("n_endpoints"))
 
 
-_METRICS = ["n_findings", "n_finding_endpoints", "n_unlisted", "n_high", "n_verified", "n_scored", "n_above", "n_final", "n_chain_ids",
+_METRICS = ["n_findings", "n_finding_endpoints", "n_unlisted", "n_listed", "n_high", "n_verified", "n_scored", "n_above", "n_final", "n_chains", "n_chain_ids",
             "n_endpoints", "kv_final", "kv_chain", "n_failures", "n_stuck", "n_reports", "n_covered"]
 
 
-def reconcile(f: DataFrame, endpoints: DataFrame, kv: DataFrame, failures: DataFrame, reports: DataFrame) -> DataFrame:
+def reconcile(f: DataFrame, endpoints: DataFrame, kv: DataFrame, failures: DataFrame, reports: DataFrame, score_share: float = 1.0) -> DataFrame:
     """The nine reconciliation items: ``item, declared, actual, ok``.
 
-    Each input is read once and reduced to one row of counts, so only counts meet.
+    Findings must add up over the listed endpoints, all be scored with at least ``score_share`` of them at
+    the threshold or above, and name each chain once.  Each input is reduced to one row of counts, so only
+    counts meet.
     """
     col, count = F.col, F.count_if
     high = col("severity").isin("CRITICAL", "HIGH")
     done = col("poc_status").isin("confirmed_vuln", "confirmed_safe")
     a = f.agg(F.count(F.lit(1)).alias("n_findings"), F.countDistinct("endpoint_fqn").alias("n_finding_endpoints"),
               count(high).alias("n_high"), count(high & done).alias("n_verified"), F.count("score").alias("n_scored"),
-              count(col("score") > PROMOTION_THRESHOLD).alias("n_above"), count(col("status") == "final").alias("n_final"),
-              F.countDistinct("chain_id").alias("n_chain_ids"))
+              count(col("score") >= PROMOTION_THRESHOLD).alias("n_above"), count(col("status") == "final").alias("n_final"),
+              F.count("chain_id").alias("n_chains"), F.countDistinct("chain_id").alias("n_chain_ids"))
     listed = endpoints.select("endpoint_fqn").distinct()
     b = listed.agg(F.count(F.lit(1)).alias("n_endpoints"))
     lost = f.select("endpoint_fqn").distinct().join(listed, "endpoint_fqn", "left_anti").agg(F.count(F.lit(1)).alias("n_unlisted"))
+    known = f.select("endpoint_fqn").join(listed, "endpoint_fqn", "left_semi").agg(F.count(F.lit(1)).alias("n_listed"))
     c = kv.agg(count(col("kind") == "final").alias("kv_final"), count(col("kind") == "chain").alias("kv_chain"))
     d = failures.agg(F.count(F.lit(1)).alias("n_failures"), count(col("failure_type") == "stuck").alias("n_stuck"))
     r = reports.select("endpoint_fqn").agg(F.count(F.lit(1)).alias("n_reports"))
     cov = listed.join(reports.select("endpoint_fqn"), "endpoint_fqn", "left_semi").agg(F.count(F.lit(1)).alias("n_covered"))
-    m = _wide([a, b, lost, c, d, r, cov], _METRICS)
+    m = _wide([a, b, lost, known, c, d, r, cov], _METRICS)
     item = lambda name, declared, actual, ok: F.struct(F.lit(name).alias("item"), declared.cast("long").alias("declared"), actual.cast("long").alias("actual"), ok.alias("ok"))
     rate_ok = (col("n_high") == 0) | (col("n_verified") >= VERIFICATION_RATE * col("n_high"))
     return m.select(F.inline(F.array(
         item("1_endpoints", col("n_finding_endpoints"), col("n_endpoints"), col("n_unlisted") == 0),
-        item("2_findings", col("n_findings"), col("n_findings"), F.lit(True)),
+        item("2_findings", col("n_findings"), col("n_listed"), col("n_findings") == col("n_listed")),
         item("3_verification", col("n_high"), col("n_verified"), rate_ok),
-        item("4_scores", col("n_scored"), col("n_above"), col("n_scored") == col("n_findings")),
+        item("4_scores", col("n_scored"), col("n_above"), (col("n_scored") == col("n_findings")) & (col("n_above") >= score_share * col("n_scored"))),
         item("5_finals", col("n_final"), col("kv_final"), col("n_final") == col("kv_final")),
-        item("6_chains", col("n_findings"), col("n_chain_ids"), col("n_chain_ids") <= col("n_findings")),
+        item("6_chains", col("n_chains"), col("n_chain_ids"), col("n_chain_ids") == col("n_chains")),
         item("7_failures", col("n_failures"), col("n_stuck"), col("n_stuck") == 0),
         item("8_report_coverage", col("n_endpoints"), col("n_covered"), (col("n_covered") == col("n_endpoints")) & (col("n_reports") == col("n_endpoints"))),
         item("9_cache_chains", col("n_chain_ids"), col("kv_chain"), col("n_chain_ids") == col("kv_chain")))))
@@ -135,21 +139,24 @@ def end_conditions(reports: DataFrame, f: DataFrame, chain_scores: DataFrame, ro
 def round_trend(rounds: DataFrame, window: int = 3) -> DataFrame:
     """Reports and verified cases per round, change against the round before, and steadiness.
 
-    The previous round is found by an equi join on the round number, not by a sort of all rounds.
+    The round before is the last one that took place, numbers may be left out.  A round is steady if it and
+    the ``window`` - 1 before it changed by at most a tenth.
     """
     per = rounds.groupBy("round").agg(F.sum("total_reports").alias("reports"), F.sum("n_poc").alias("poc"), F.bool_and("p54_pass").alias("passed"))
-    before = per.select((F.col("round") + 1).alias("round"), F.col("reports").alias("prev"))
-    out = per.join(before, "round", "left")
-    change = F.col("reports") - F.col("prev")
-    return out.select("round", "reports", "poc", "passed", change.alias("change"),
-                      F.coalesce(F.abs(change) <= F.col("prev") * 0.1, F.lit(False)).alias("steady"))
+    near = lambda df, value, name: neighbour(df, ["__all"], ["round"], F.floor(F.col("round") / 1000), value, name)
+    out = near(per.withColumn("__all", F.lit(0)), F.col("reports"), "__prev")
+    out = out.withColumn("change", F.col("reports") - F.col("__prev"))
+    out = out.withColumn("__run", F.coalesce(F.abs("change") <= F.col("__prev") * 0.1, F.lit(False))).withColumn("steady", F.col("__run"))
+    for _ in range(window - 1):
+        out = near(out, F.col("__run"), "__before").withColumn("__run", F.coalesce("__before", F.lit(False))).drop("__before")
+        out = out.withColumn("steady", F.col("steady") & F.col("__run"))
+    return out.select("round", "reports", "poc", "passed", "change", "steady")
 
 
 def delta(df: DataFrame, key: str, version: str, value: str) -> DataFrame:
-    """Change of ``value`` per key against the version before (versions are consecutive integers)."""
-    before = df.select(F.col(key).alias("k"), (F.col(version) + 1).alias("v"), F.col(value).alias("prev"))
-    return df.join(before, (F.col(key) == F.col("k")) & (F.col(version) == F.col("v")), "left").drop("k", "v").withColumn(
-        "delta", F.col(value) - F.col("prev"))
+    """``prev``, the value of the version before (numbers may be left out), and ``delta``, the change since, per key."""
+    out = neighbour(df, [key], [version], F.floor(F.col(version) / 1000), F.col(value), "prev")
+    return out.withColumn("delta", F.col(value) - F.col("prev"))
 
 
 def resume_round(rounds: DataFrame) -> DataFrame:
@@ -158,16 +165,22 @@ def resume_round(rounds: DataFrame) -> DataFrame:
 
 
 def report_quality(reports: DataFrame) -> DataFrame:
-    """Verdict per report from its name and body: OK, FAKE or CONTRADICTION."""
+    """Verdict per report from its name and body: OK, FAKE or CONTRADICTION.
+
+    A report is fake without an attack payload (a request that only shows that the endpoint answers is
+    none), without a response, without a cited line, with the template sentence, or when a success response
+    shows no impact.
+    """
     named = F.coalesce(parse_report_name(F.col("name"))["state"], F.regexp_extract("name", "^(是问题|非问题|暂时无法确认|failed)", 1))
     body = F.col("text")
     out = reports.withColumns({
         "name_state": named, "body_state": md_field(body, "验证状态"),
-        "has_payload": body.rlike(r"(?i)curl|payload"), "has_response": body.rlike(r"HTTP/\d|\b(?:200|30\d|40\d|50\d)\b"),
+        "has_payload": body.rlike("|".join(ATTACK_PAYLOADS)), "has_response": body.rlike(r"HTTP/\d|\b(?:200|30\d|40\d|50\d)\b"),
         "cites_lines": body.rlike(r"\w+\.\w+:\d+"), "template": body.contains(TEMPLATE_SENTENCE),
         "n_impact": F.lit(3) - impact_evidence(body)["n_empty"]})
+    bare = body.rlike(r"HTTP/\S+ 20\d|\b200\b") & (F.col("n_impact") == 0)
     verdict = (F.when(F.col("name_state") != F.coalesce("body_state", F.lit("")), "CONTRADICTION")
-               .when(F.col("template") | ~F.col("has_payload") | ~F.col("has_response"), "FAKE").otherwise("OK"))
+               .when(F.col("template") | ~F.col("has_payload") | ~F.col("has_response") | ~F.col("cites_lines") | bare, "FAKE").otherwise("OK"))
     return out.withColumn("verdict", verdict).drop("text")
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callgrove.plans.scratch import materialize
+
 SPLIT = r"[^\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 
@@ -25,10 +28,9 @@ def search(df: DataFrame, query: str, columns: Sequence[str], key: str, k: int |
     """BM25 over the joined ``columns``, best first.
 
     Term counts are computed per row inside the scan and the corpus statistics are scalar
-    subqueries over the same columns, so no token is ever shuffled.
+    subqueries over the same columns, so no token is ever shuffled.  ``kinds`` limits the hits, not the
+    statistics.
     """
-    if kinds:
-        df = df.filter(F.col("kind").isin(*kinds))
     terms = list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
     if not terms:
         raise ValueError("the query holds no term")
@@ -45,6 +47,8 @@ def search(df: DataFrame, query: str, columns: Sequence[str], key: str, k: int |
     keep = hits[0]
     for h in hits[1:]:
         keep = (keep & h) if match == "all" else (keep | h)
+    if kinds:
+        keep = keep & F.col("kind").isin(*kinds)
     found = counted.filter(keep).withColumn("__s", stats)
     score = F.lit(0.0)
     for i in range(len(terms)):
@@ -55,10 +59,71 @@ def search(df: DataFrame, query: str, columns: Sequence[str], key: str, k: int |
     return out if k is None else out.orderBy(F.desc("score"), key).limit(k)
 
 
-def explore(df: DataFrame, query: str, columns: Sequence[str], key: str, file: str, k: int = 50, max_files: int = 12) -> DataFrame:
-    """The best ``k`` hits gathered per file, at most ``max_files`` files, best file first."""
-    top = search(df, query, columns, key, k, match="any")
-    per_file = top.groupBy(F.col(file).alias("file")).agg(
-        F.max("score").alias("best"), F.count(F.lit(1)).alias("n_symbols"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("score"), F.col(key)))), lambda s: s[key].cast("string")), ",").alias("symbols"))
-    return per_file.orderBy(F.desc("best"), "file").limit(max_files)
+def explore(df: DataFrame, query: str, columns: Sequence[str], key: str, file: str, max_files: int = 12) -> DataFrame:
+    """All hits of the best ``max_files`` files: best score, number and list of hits, best file first.
+
+    Files are ranked by counts and maxima; only the hits of the chosen files are listed.
+    """
+    hits = search(df, query, columns, key, None, match="any").select(F.col(file).alias("file"), F.col(key).alias("key"), "score")
+    hits = materialize(hits, "hits")
+    best = hits.groupBy("file").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n_symbols")).orderBy(F.desc("best"), "file").limit(max_files)
+    listed = hits.join(best, "file").groupBy("file", "best", "n_symbols").agg(F.array_sort(F.collect_list(F.struct(-F.col("score"), "key"))).alias("l"))
+    return listed.select("file", "best", "n_symbols", F.array_join(F.transform("l", lambda s: s["key"].cast("string")), ",").alias("symbols"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """A written index: postings by term bucket, document lengths, and their statistics."""
+    spark: SparkSession
+    path: str
+    key: str
+    key_type: str
+    buckets: int
+
+    def postings(self, terms: Sequence[str]) -> DataFrame:
+        """(term, key, tf) of the terms; only their buckets are read."""
+        wanted = sorted({self.spark.range(1).select(_bucket(F.lit(t), self.buckets)).first()[0] for t in terms})
+        rows = self.spark.read.schema(f"term string, key {self.key_type}, tf int, bucket int").parquet(f"{self.path}/postings")
+        return rows.where(F.col("bucket").isin(wanted) & F.col("term").isin(*terms)).select("term", "key", "tf")
+
+    def lengths(self) -> DataFrame:
+        return self.spark.read.schema(f"key {self.key_type}, len int").parquet(f"{self.path}/lengths")
+
+    def statistics(self) -> DataFrame:
+        return self.spark.read.schema("n bigint, avg double").parquet(f"{self.path}/statistics")
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def build_index(df: DataFrame, columns: Sequence[str], key: str, path: str, buckets: int = 64) -> Index:
+    """Write the index of ``columns`` below ``path``; terms are counted inside each text before anything is shuffled."""
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), tokens(F.concat_ws(" ", *columns)).alias("toks"))
+    rows.select("key", F.size("toks").alias("len")).write.parquet(f"{path}/lengths")
+    counted = rows.select("key", F.explode("toks").alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    counted = counted.withColumn("bucket", _bucket(F.col("term"), buckets))
+    salted = counted.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(8)))  # a bucket with a frequent term is several files
+    salted.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    index = Index(spark, path, key, kind, buckets)
+    index.lengths().agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg")).write.parquet(f"{path}/statistics")
+    return index
+
+
+def search_index(index: Index, query: str, k: int | None = 10, match: str = "all") -> DataFrame:
+    """BM25 over a written index: (key, score), best first.  Reads the postings of the query's terms."""
+    terms = list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
+    if not terms:
+        raise ValueError("the query holds no term")
+    posts = index.postings(terms)
+    seen = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    stats = index.statistics().agg(F.struct(F.max("n").alias("n"), F.max("avg").alias("avg"))).scalar()
+    rows = posts.join(F.broadcast(seen), "term").join(index.lengths(), "key").withColumn("s", stats)  # one row per term of the query
+    n, d, tf = F.col("s.n"), F.col("df"), F.col("tf").cast("double")
+    idf = F.greatest(F.log((n - d + 0.5) / (d + 0.5)), F.lit(1e-6))
+    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("s.avg")))
+    out = rows.groupBy("key").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("hits"))
+    out = out.where(F.col("hits") == len(terms)) if match == "all" else out
+    out = out.select(F.col("key").alias(index.key), "score")
+    return out if k is None else out.orderBy(F.desc("score"), index.key).limit(k)

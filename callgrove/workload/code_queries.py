@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from callgrove.constants import HIGH_RISK_WORDS
 from callgrove.functions import java
 from callgrove.operators import flow, search, structure
+from callgrove.plans.scratch import scratch_root
 from callgrove.sources import code
 from callgrove.workload import views as V
 from callgrove.workload.registry import Registry
@@ -225,11 +228,11 @@ _SINKS = {"NET": [r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"], "MAIL": [r"@\w"]}
 _CLEAN = {"NET": ["###"], "MAIL": [r"\*\*\*"]}
 _USES = r"""lines AS (SELECT source AS chain_id, doc_id AS depth, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
   w AS (SELECT *, unnest(list_distinct(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda t: t IN ('token', 'the', 'que', 'la')))) AS param FROM lines),
-  k AS (SELECT *, CASE WHEN regexp_matches(text, '\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}') THEN 'NET' WHEN regexp_matches(text, '@\w') THEN 'MAIL' END AS sk,
-    CASE WHEN contains(text, '###') THEN 'NET' WHEN contains(text, '***') THEN 'MAIL' END AS ck FROM w),
-  u AS (SELECT *, CASE WHEN sk IS NOT NULL THEN 'sink_call' WHEN ck IS NOT NULL THEN 'sanitizer' WHEN regexp_matches(text, '"\s*\+|\+\s*"') THEN 'concat'
-    WHEN regexp_matches(text, '\w\s*\(') THEN 'function_call' END AS use FROM k),
-  uses AS (SELECT chain_id, param, depth, CAST(line AS INTEGER) AS line, use, CASE use WHEN 'sink_call' THEN sk WHEN 'sanitizer' THEN ck END AS kind FROM u WHERE use IS NOT NULL)"""
+  strong AS (SELECT *, 'sink_call' AS use, 'NET' AS kind FROM w WHERE regexp_matches(text, '\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}') UNION ALL SELECT *, 'sink_call', 'MAIL' FROM w WHERE regexp_matches(text, '@\w')
+    UNION ALL SELECT *, 'sanitizer', 'NET' FROM w WHERE contains(text, '###') UNION ALL SELECT *, 'sanitizer', 'MAIL' FROM w WHERE contains(text, '***')),
+  plain AS (SELECT * FROM w WHERE NOT (regexp_matches(text, '\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}|@\w') OR contains(text, '###') OR contains(text, '***'))),
+  u AS (SELECT * FROM strong UNION ALL SELECT *, 'concat', NULL FROM plain WHERE regexp_matches(text, '"\s*\+|\+\s*"') UNION ALL SELECT *, 'function_call', NULL FROM plain WHERE regexp_matches(text, '\w\s*\(')),
+  uses AS (SELECT chain_id, param, depth, CAST(line AS INTEGER) AS line, use, kind FROM u)"""
 
 
 def _uses(spark, d):
@@ -354,12 +357,25 @@ def _(spark, d):
     return search.search(V.table(spark, d, "documents"), "the token", ["text"], "doc_id").select("doc_id", "lang", "source", "score")
 
 
-@R.query("k1_search_symbols", f"WITH {_bm25('part', 'p_name', 'p_partkey', ['red', 'widget'], ' AND ')} SELECT p_partkey, p_name, score FROM sc ORDER BY score DESC, p_partkey LIMIT 10")
+@R.query("k1_search_symbols", f"WITH {_bm25('part', "concat_ws(' ', p_name, p_brand, p_type)", 'p_partkey', ['red', 'widget'], ' AND ')} SELECT p_partkey, p_name, score FROM sc ORDER BY score DESC, p_partkey LIMIT 10")
+def _(spark, d):
+    return search.search(V.table(spark, d, "part"), "red widget", ["p_name", "p_brand", "p_type"], "p_partkey").select("p_partkey", "p_name", "score")
+
+
+@R.query("k1_search_kinds", f"WITH {_bm25('documents', 'text', 'doc_id', ['the', 'token'], ' AND ')} SELECT doc_id, lang, source, score FROM sc WHERE lang IN ('de', 'fr') ORDER BY score DESC, doc_id LIMIT 10")
+def _(spark, d):
+    docs = V.table(spark, d, "documents").withColumn("kind", F.col("lang"))
+    return search.search(docs, "the token", ["text"], "doc_id", kinds=["de", "fr"]).select("doc_id", "lang", "source", "score")
+
+
+@R.query("k1_search_index", f"WITH {_bm25('documents', 'text', 'doc_id', ['the', 'token'], ' AND ')} SELECT doc_id, score FROM sc ORDER BY score DESC, doc_id LIMIT 10")
 def _(spark, d):
-    return search.search(V.table(spark, d, "part"), "red widget", ["p_name"], "p_partkey").select("p_partkey", "p_name", "score")
+    """Builds the index, then answers from the postings of the two terms."""
+    index = search.build_index(V.table(spark, d, "documents"), ["text"], "doc_id", f"{scratch_root(spark)}/index-{uuid4().hex}")
+    return search.search_index(index, "the token")
 
 
-@R.query("k6_explore", f"""WITH {_bm25('documents', 'text', 'doc_id', ['that', 'token'], ' OR ')}, top AS (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 50)
-  SELECT source AS file, max(score) AS best, count(*) AS n_symbols, string_agg(doc_id, ',' ORDER BY score DESC, doc_id) AS symbols FROM top GROUP BY 1 ORDER BY best DESC, file LIMIT 12""")
+@R.query("k6_explore", f"""WITH {_bm25('documents', 'text', 'doc_id', ['that', 'token'], ' OR ')}
+  SELECT source AS file, max(score) AS best, count(*) AS n_symbols, string_agg(doc_id, ',' ORDER BY score DESC, doc_id) AS symbols FROM sc GROUP BY 1 ORDER BY best DESC, file LIMIT 12""")
 def _(spark, d):
     return search.explore(V.table(spark, d, "documents"), "that token", ["text"], "doc_id", "source")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from callgrove.constants import ATTACK_PAYLOADS, IMPACT_PATTERNS
 from callgrove.functions import keys, text, verdicts
 from callgrove.operators import findings as fd
 from callgrove.operators import prune, reconcile
@@ -13,6 +14,7 @@ from callgrove.workload.registry import Registry
 
 R = Registry()
 S = lambda c: F.col(c).cast("string")
+Q = lambda s: "'" + s.replace("'", "''") + "'"
 
 # --- pruning and dispatch ------------------------------------------------------------------------
 
@@ -119,13 +121,13 @@ def _(spark, d):
 
 
 @R.query("j19_filter_coverage", r"""WITH e AS (SELECT page_id AS endpoint_id, '/' || regexp_extract(url, '^https?://[^/]*/([^?#]*)', 1) AS path FROM pages),
-  c AS (SELECT endpoint_id, count(*) AS n FROM e JOIN (SELECT unnest(['^/en(/.*)?$', '^/[^/]*/5[^/]*$', '^/de/[0-9]*$', '^/fr/.*\.html$']) AS p) q ON regexp_matches(e.path, q.p) GROUP BY 1)
+  c AS (SELECT endpoint_id, count(*) AS n FROM e JOIN (SELECT unnest(['^/en(/.*)?$', '^/[^/]*/5[^/]*$', '^/de/[0-9]*$', '^/fr/.*\.html$', '^/es/[^/]*$|^/.*/es/[^/]*$']) AS p) q ON regexp_matches(e.path, q.p) GROUP BY 1)
   SELECT e.endpoint_id, e.path, coalesce(c.n, 0) AS n_filters, coalesce(c.n, 0) > 0 AS covered FROM e LEFT JOIN c ON c.endpoint_id = e.endpoint_id""")
 def _(spark, d):
     pages = V.table(spark, d, "pages")
     eps = pages.select(F.col("page_id").alias("endpoint_id"), F.concat(F.lit("/"), F.regexp_extract("url", "^https?://[^/]*/([^?#]*)", 1)).alias("path"))
     digits = [f"/de/{'?' * n}" for n in (1, 2, 3, 4, 5, 6)]
-    filters = pages.select(F.explode(F.array(*map(F.lit, ["/en/**", "/*/5*", "/fr/**.html", *digits]))).alias("pattern")).distinct()
+    filters = pages.select(F.explode(F.array(*map(F.lit, ["/en/**", "/*/5*", "/fr/**.html", "/**/es/*", *digits]))).alias("pattern")).distinct()
     return prune.filter_coverage(eps, filters)
 
 
@@ -449,20 +451,21 @@ def _(spark, d):
 
 
 _REC = f"""{V.FINDINGS_SQL}, {V.KV_SQL}, ep AS (SELECT DISTINCT concat('shop::Customer', c_custkey) AS e FROM customer), rp AS (SELECT concat('shop::Customer', c_custkey) AS e FROM customer WHERE c_acctbal >= 0),
-  m AS (SELECT (SELECT count(*) FROM findings) AS n_f, (SELECT count(DISTINCT endpoint_fqn) FROM findings) AS n_fe, (SELECT count(DISTINCT endpoint_fqn) FROM findings WHERE endpoint_fqn NOT IN (SELECT e FROM ep)) AS unl,
+  m AS (SELECT (SELECT count(*) FROM findings) AS n_f, (SELECT count(DISTINCT endpoint_fqn) FROM findings) AS n_fe, (SELECT count(*) FROM (SELECT DISTINCT endpoint_fqn AS x FROM findings) q WHERE x IS NULL OR x NOT IN (SELECT e FROM ep)) AS unl,
   (SELECT count(*) FROM findings WHERE severity IN ('CRITICAL', 'HIGH')) AS hi, (SELECT count(*) FROM findings WHERE severity IN ('CRITICAL', 'HIGH') AND poc_status IN ('confirmed_vuln', 'confirmed_safe')) AS ve,
-  (SELECT count(score) FROM findings) AS sc, (SELECT count(*) FROM findings WHERE score > 85) AS ab, (SELECT count(*) FROM findings WHERE status = 'final') AS fi, (SELECT count(DISTINCT chain_id) FROM findings) AS ch,
+  (SELECT count(*) FROM findings WHERE endpoint_fqn IN (SELECT e FROM ep)) AS lis, (SELECT count(chain_id) FROM findings) AS nc,
+  (SELECT count(score) FROM findings) AS sc, (SELECT count(*) FROM findings WHERE score >= 85) AS ab, (SELECT count(*) FROM findings WHERE status = 'final') AS fi, (SELECT count(DISTINCT chain_id) FROM findings) AS ch,
   (SELECT count(*) FROM ep) AS ne, (SELECT count(*) FROM kv WHERE kind = 'final') AS kf, (SELECT count(*) FROM kv WHERE kind = 'chain') AS kc, (SELECT count(*) FROM events WHERE event_type = 'error') AS nf,
   (SELECT count(*) FROM events WHERE event_type = 'error' AND value > 300) AS st, (SELECT count(*) FROM rp) AS nr, (SELECT count(*) FROM ep WHERE e IN (SELECT e FROM rp)) AS cov),
-  items AS (SELECT '1_endpoints' AS item, n_fe AS declared, ne AS actual, unl = 0 AS ok FROM m UNION ALL SELECT '2_findings', n_f, n_f, true FROM m UNION ALL SELECT '3_verification', hi, ve, hi = 0 OR ve >= 0.75 * hi FROM m
-  UNION ALL SELECT '4_scores', sc, ab, sc = n_f FROM m UNION ALL SELECT '5_finals', fi, kf, fi = kf FROM m UNION ALL SELECT '6_chains', n_f, ch, ch <= n_f FROM m UNION ALL SELECT '7_failures', nf, st, st = 0 FROM m
+  items AS (SELECT '1_endpoints' AS item, n_fe AS declared, ne AS actual, unl = 0 AS ok FROM m UNION ALL SELECT '2_findings', n_f, lis, n_f = lis FROM m UNION ALL SELECT '3_verification', hi, ve, hi = 0 OR ve >= 0.75 * hi FROM m
+  UNION ALL SELECT '4_scores', sc, ab, sc = n_f AND ab >= sc FROM m UNION ALL SELECT '5_finals', fi, kf, fi = kf FROM m UNION ALL SELECT '6_chains', nc, ch, ch = nc FROM m UNION ALL SELECT '7_failures', nf, st, st = 0 FROM m
   UNION ALL SELECT '8_report_coverage', ne, cov, cov = ne AND nr = ne FROM m UNION ALL SELECT '9_cache_chains', ch, kc, ch = kc FROM m)"""
 
 
-def _items(spark, d):
+def _items(spark, d, findings=None):
     cust = V.table(spark, d, "customer").withColumn("endpoint_fqn", F.concat(F.lit("shop::Customer"), S("c_custkey")))
     fails = V.table(spark, d, "events").filter("event_type = 'error'").select(F.when(F.col("value") > 300, "stuck").otherwise("timeout").alias("failure_type"))
-    return reconcile.reconcile(V.findings(spark, d), cust, V.kv(spark, d), fails, cust.filter("c_acctbal >= 0"))
+    return reconcile.reconcile(V.findings(spark, d) if findings is None else findings, cust, V.kv(spark, d), fails, cust.filter("c_acctbal >= 0"))
 
 
 @R.query("a22_reconcile", f"WITH {_REC} SELECT * FROM items")
@@ -470,33 +473,47 @@ def _(spark, d):
     return _items(spark, d)
 
 
+_FAULTS = _REC.replace("findings AS (", "clean_findings AS (", 1).replace(", ep AS (", """, findings AS (
+  SELECT * REPLACE (CASE WHEN mode = 'X' THEN NULL ELSE endpoint_fqn END AS endpoint_fqn, CASE WHEN mode = 'INFO' THEN NULL ELSE score END AS score) FROM clean_findings
+  UNION ALL SELECT * FROM clean_findings WHERE mode = 'A'), ep AS (""", 1)
+
+
+@R.query("a22_reconcile_faults", f"WITH {_FAULTS} SELECT * FROM items")
+def _(spark, d):
+    """Findings without an endpoint or a score and chains named twice: items 2, 4 and 6 must fail."""
+    f = V.findings(spark, d)
+    bad = f.withColumn("endpoint_fqn", F.when(F.col("mode") != "X", F.col("endpoint_fqn"))).withColumn("score", F.when(F.col("mode") != "INFO", F.col("score")))
+    return _items(spark, d, bad.unionByName(f.filter("mode = 'A'")))
+
+
 @R.query("a22_reconcile_verdict", f"WITH {_REC} SELECT bool_and(ok) AS all_ok, count(*) FILTER (NOT ok) AS warn_count, count(*) FILTER (NOT ok) <= 1 AS may_end FROM items")
 def _(spark, d):
     return reconcile.reconcile_verdict(_items(spark, d))
 
 
-_QUAL = r"""judged AS (SELECT doc_id, coalesce(state, regexp_extract(name, '^(是问题|非问题|暂时无法确认|failed)', 1)) AS name_state, nullif(regexp_extract(text, '(?m)\*\*验证状态\*\*[:：][ \t]*(.+?)[ \t]*$', 1), '') AS body_state,
-  regexp_matches(text, '(?i)curl|payload|ing') AS has_payload FROM parsed)"""
+# The four demands on a report, and the rule that a success response without impact proves nothing.
+_ATTACK = " OR ".join(f"regexp_matches(text, {Q(p)})" for p in ATTACK_PAYLOADS)
+_HARM = " OR ".join(f"regexp_matches(text, {Q(p)})" for ps in IMPACT_PATTERNS.values() for p in ps)
+_QUAL = rf"""facts AS (SELECT doc_id, coalesce(state, regexp_extract(name, '^(是问题|非问题|暂时无法确认|failed)', 1)) AS name_state, nullif(regexp_extract(text, '(?m)\*\*验证状态\*\*[:：][ \t]*(.+?)[ \t]*$', 1), '') AS body_state,
+  {_ATTACK} AS has_payload, regexp_matches(text, 'HTTP/\d|\b(?:200|30\d|40\d|50\d)\b') AS has_response, regexp_matches(text, '\w+\.\w+:\d+') AS cites_lines, contains(text, '缺乏充分的输入验证和输出编码') AS template,
+  {_HARM} AS harm, regexp_matches(text, 'HTTP/\S+ 20\d|\b200\b') AS success FROM parsed),
+  judged AS (SELECT *, CASE WHEN name_state <> coalesce(body_state, '') THEN 'CONTRADICTION' WHEN template OR NOT (has_payload AND has_response AND cites_lines) OR (success AND NOT harm) THEN 'FAKE' ELSE 'OK' END AS verdict FROM facts)"""
 
 
-@R.query("e20_report_quality", f"""WITH {_PARSED}, {_QUAL.replace('|ing', '')}, x AS (SELECT p.doc_id, p.name, j.name_state, j.body_state, j.has_payload, regexp_matches(text, 'HTTP/\\d|\\b(?:200|30\\d|40\\d|50\\d)\\b') AS has_response, regexp_matches(text, '\\w+\\.\\w+:\\d+') AS cites_lines,
-  contains(text, '缺乏充分的输入验证和输出编码') AS template FROM parsed p JOIN judged j ON j.doc_id = p.doc_id)
-  SELECT doc_id, name_state, body_state, has_payload, has_response, cites_lines, template, CASE WHEN name_state <> coalesce(body_state, '') THEN 'CONTRADICTION' WHEN template OR NOT has_payload OR NOT has_response THEN 'FAKE' ELSE 'OK' END AS verdict FROM x""")
+@R.query("e20_report_quality", f"WITH {_PARSED}, {_QUAL} SELECT doc_id, name_state, body_state, has_payload, has_response, cites_lines, template, verdict FROM judged")
 def _(spark, d):
     return reconcile.report_quality(V.reports(spark, d)).select("doc_id", "name_state", "body_state", "has_payload", "has_response", "cites_lines", "template", "verdict")
 
 
-@R.query("a11_global_stats", f"""WITH {V.FINDINGS_SQL}, {_PARSED}, {_QUAL.replace('|ing', '')}, v AS (SELECT name_state = coalesce(body_state, '') AND has_payload AS fine FROM judged)
+@R.query("a11_global_stats", f"""WITH {V.FINDINGS_SQL}, {_PARSED}, {_QUAL}
   SELECT lower(s) AS counter, (SELECT count(*) FROM findings WHERE severity = s) AS n FROM (SELECT unnest(['CRITICAL', 'HIGH', 'MEDIUM', 'LOW', 'INFO']) AS s) q
-  UNION ALL SELECT 'total_reports', count(*) FROM v UNION ALL SELECT 'poc_verified', count(*) FILTER (fine) FROM v UNION ALL SELECT 'poc_fake', count(*) FILTER (NOT fine) FROM v""")
+  UNION ALL SELECT 'total_reports', count(*) FROM judged UNION ALL SELECT 'poc_verified', count(*) FILTER (verdict = 'OK') FROM judged UNION ALL SELECT 'poc_fake', count(*) FILTER (verdict <> 'OK') FROM judged""")
 def _(spark, d):
-    poc = reconcile.report_quality(V.reports(spark, d)).select(
-        F.when((F.col("name_state") == F.coalesce("body_state", F.lit(""))) & F.col("has_payload"), "OK").otherwise("FAKE").alias("verdict"))
-    return fd.global_stats(V.findings(spark, d), poc)
+    return fd.global_stats(V.findings(spark, d), reconcile.report_quality(V.reports(spark, d)))
 
 
-@R.query("e20_quality_round", f"""WITH {_PARSED}, {_QUAL.replace('|ing', '')}, x AS (SELECT count(*) AS n, count(*) FILTER (NOT (name_state = coalesce(body_state, '') AND has_payload AND regexp_matches(p.text, 'HTTP/\\d|\\b(?:200|30\\d|40\\d|50\\d)\\b')
-  AND NOT contains(p.text, '缺乏充分的输入验证和输出编码'))) AS n_fake FROM judged j JOIN parsed p ON p.doc_id = j.doc_id) SELECT n, n_fake, round(n_fake / n, 6) AS fake_share, n_fake / n > 0.05 AS failed FROM x""")
+@R.query("e20_quality_round", f"""WITH {_PARSED}, {_QUAL}, x AS (SELECT count(*) AS n, count(*) FILTER (verdict <> 'OK') AS n_fake FROM judged)
+  SELECT n, n_fake, round(n_fake / n, 6) AS fake_share, n_fake / n > 0.05 AS failed FROM x""")
 def _(spark, d):
     return reconcile.quality_round(reconcile.report_quality(V.reports(spark, d)))
 

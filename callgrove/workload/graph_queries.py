@@ -384,11 +384,12 @@ def _(spark, d):
     return walks.longest_chain(walks.chain_summary(chain, V.entries(g).distinct()))
 
 
-@R.query("g7_grade_chains", f"""WITH RECURSIVE {G}, {_FWD}, s AS (SELECT c.root, c.depth, {sink_sql('n.name')} AS t FROM chain c JOIN nodes n ON n.id = c.id),
-  p AS (SELECT root, count(t) AS n_sink_paths, min(depth) FILTER (t IS NOT NULL) AS nearest, count(*) FILTER (t IN ('SQLI','RCE','DESER','SSRF','PATH_TRAV')) AS bad FROM s GROUP BY 1)
-  SELECT root, n_sink_paths, CAST(nearest AS INTEGER) AS nearest, CASE WHEN bad > 0 THEN 'high' WHEN n_sink_paths > 0 THEN 'low' ELSE 'none' END AS grade, bad > 0 AS verify FROM p""")
+@R.query("g7_grade_chains", f"""WITH RECURSIVE {G}, {_FWD}, s AS (SELECT c.root, c.id, c.depth, {sink_sql('n.name')} AS t FROM chain c JOIN nodes n ON n.id = c.id),
+  p AS (SELECT root, count(DISTINCT id) AS n_reached, min(depth) FILTER (t IS NOT NULL) AS nearest, count(*) FILTER (t IN ('SQLI','RCE','DESER','SSRF','PATH_TRAV')) AS bad FROM s GROUP BY 1)
+  SELECT root, n_reached, CAST(nearest AS INTEGER) AS nearest, CASE WHEN bad > 0 THEN 'high' WHEN nearest IS NOT NULL THEN 'low' ELSE 'none' END AS grade, bad > 0 AS verify FROM p""")
 def _(spark, d):
-    return walks.grade_chains(*forward(spark, d))
+    g = V.graph(spark, d)
+    return walks.grade_chains(g, walks.shortest_depths(g, V.entries(g)))
 
 
 @R.query("a12_method_sink_counts", f"""WITH RECURSIVE {G}, {_FWD}, s AS (SELECT c.root, {_LEVEL.replace('{t}', sink_sql('n.name'))} AS lv FROM chain c JOIN nodes n ON n.id = c.id)
@@ -406,7 +407,8 @@ def _(spark, d):
 
 @R.query("k8_min_depth", f"WITH RECURSIVE {G}, {_FWD} SELECT root, id, CAST(min(depth) AS INTEGER) AS depth FROM chain GROUP BY 1, 2")
 def _(spark, d):
-    return walks.min_depth(forward(spark, d)[1])
+    g = V.graph(spark, d)
+    return walks.shortest_depths(g, V.entries(g))
 
 
 @R.query("g9_chain_by_name", f"""WITH RECURSIVE {G}, {_ENT1}, {_CALLS}, arcs AS (SELECT DISTINCT s.name AS a, t.name AS b FROM calls c JOIN nodes s ON s.id = c.source AND s.kind = 'method'
@@ -422,10 +424,10 @@ _SKIP = "o_totalprice > 250000 AND o_orderpriority = '1-URGENT'"
 
 @R.query("review_endpoints", f"""WITH RECURSIVE {G}, ep AS (SELECT 'm' || o_orderkey AS id, concat('shop::Customer', o_custkey, '::order', o_orderkey) AS fqn, o_orderpriority AS pr, {_SKIP} AS done FROM orders WHERE o_orderstatus = 'O'),
   {_chain_sql('source', 'target', "SELECT id FROM ep WHERE pr <> '5-LOW' AND NOT done")},
-  s AS (SELECT c.root, c.depth, {sink_sql('n.name')} AS t FROM chain c JOIN nodes n ON n.id = c.id),
-  p AS (SELECT root, count(*) AS n_paths, max(depth) AS max_depth, count(*) FILTER (t IN ('SQLI','RCE','DESER','SSRF','PATH_TRAV')) AS bad, count(t) AS anyt FROM s GROUP BY 1)
+  s AS (SELECT c.root, c.id, c.depth, {sink_sql('n.name')} AS t FROM chain c JOIN nodes n ON n.id = c.id),
+  p AS (SELECT root, count(DISTINCT id) AS n_reached, min(depth) FILTER (t IS NOT NULL) AS nearest, count(*) FILTER (t IN ('SQLI','RCE','DESER','SSRF','PATH_TRAV')) AS bad, count(t) AS anyt FROM s GROUP BY 1)
   SELECT fqn AS endpoint_fqn, left(sha256(fqn), 16) AS chain_id, CASE WHEN pr = '5-LOW' THEN 'P-L1-001' WHEN pr = '2-HIGH' THEN 'P-L1-002' END AS rule_id, CASE WHEN done THEN 'skip' ELSE 'new' END AS route,
-  coalesce(n_paths, 0) AS n_paths, CAST(coalesce(max_depth, 0) AS INTEGER) AS max_depth, CASE WHEN bad > 0 THEN 'high' WHEN anyt > 0 THEN 'low' ELSE 'none' END AS grade,
+  coalesce(n_reached, 0) AS n_reached, CAST(nearest AS INTEGER) AS nearest, CASE WHEN bad > 0 THEN 'high' WHEN anyt > 0 THEN 'low' ELSE 'none' END AS grade,
   CASE WHEN pr = '5-LOW' OR done THEN '' WHEN pr = '2-HIGH' THEN 'C,D' ELSE 'A,B,C,D,INFO' END AS modes FROM ep LEFT JOIN p ON p.root = ep.id""")
 def _(spark, d):
     fqn = F.concat(F.lit("shop::Customer"), F.col("o_custkey").cast("string"), F.lit("::order"), F.col("o_orderkey").cast("string"))

@@ -204,7 +204,8 @@ REPORTS = f"""SELECT doc_id, source, concat('com.example.', source) AS cls,
   CASE WHEN doc_id % 17 = 0 THEN concat('notes', doc_id, '.md') ELSE concat(CASE WHEN doc_id % 4 = 0 THEN concat({_STATE.replace('{x}', 'doc_id')}, '_') ELSE '' END,
     CASE lang WHEN 'en' THEN '严重' WHEN 'fr' THEN '致命' WHEN 'de' THEN '中危' ELSE '低危' END,
     '_com__example__', source, '_', lang, doc_id % 50, '_', left(sha2(text, 256), 8), '.md') END AS name,
-  concat(text, '\n- **验证状态**: ', {_STATE.replace('{x}', 'n_chars')}, '\n- **等级**：', lang, '\n') AS text FROM documents"""
+  concat(text, '\n- **验证状态**: ', {_STATE.replace('{x}', 'n_chars')}, '\n- **等级**：', lang, '\n', CASE doc_id % 5 WHEN 0 THEN 'curl -d id=union+select http://x/ then HTTP/1.1 200 root:x:0:0 at Dao.java:12\n'
+    WHEN 1 THEN 'curl http://x/ gives HTTP/1.1 200 at Dao.java:12\n' WHEN 2 THEN 'curl -X DELETE http://x/1 gives HTTP/1.1 204 at Dao.java:3\n' ELSE '' END) AS text FROM documents"""
 REPORTS_SQL = "reports AS (" + REPORTS.replace("sha2(text, 256)", "sha256(text)").replace("'\n- ", "chr(10) || '- ").replace("'\n')", "chr(10))") + ")"
 
 

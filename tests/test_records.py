@@ -259,11 +259,13 @@ def test_write_findings(spark, tmp_path):
 
 def test_report_quality(spark):
     df = spark.createDataFrame([
-        ("是问题_严重_com__x__A_run_deadbeef.md", "curl -d payload\nHTTP/1.1 200\nA.java:10\n**验证状态**: 是问题"),
+        ("是问题_严重_com__x__A_run_deadbeef.md", "curl -d id=1 or\nHTTP/1.1 200\nroot:x:0:0\nA.java:10\n**验证状态**: 是问题"),
+        ("是问题_严重_com__x__D_run_deadbeef.md", "curl http://x/\nHTTP/1.1 200\nroot:x:0:0\nA.java:10\n**验证状态**: 是问题"),
+        ("是问题_严重_com__x__E_run_deadbeef.md", "curl -d id=1\nHTTP/1.1 200\nA.java:10\n**验证状态**: 是问题"),
         ("是问题_严重_com__x__B_run_deadbeef.md", "**验证状态**: 暂时无法确认"),
         ("是问题_严重_com__x__C_run_deadbeef.md", "curl HTTP/1.1 200 缺乏充分的输入验证和输出编码\n**验证状态**: 是问题")], "name string, text string")
     judged = reconcile.report_quality(df)
-    assert sorted(r["verdict"] for r in judged.collect()) == ["CONTRADICTION", "FAKE", "OK"]
+    assert sorted(r["verdict"] for r in judged.collect()) == ["CONTRADICTION", "FAKE", "FAKE", "FAKE", "OK"]
     assert one(reconcile.quality_round(judged))["failed"] is True
 
 
