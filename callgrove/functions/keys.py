@@ -19,9 +19,15 @@ def short_hash(text: Column, given: Column | None = None) -> Column:
 
 
 def kv_key(group: Column, commit: Column, kind: Column, entity: Column, sub: Column) -> Column:
-    """The key text of one cache row; ``sub`` is a hash, state or round, by kind."""
-    head = F.concat(F.lit("audit:"), group, F.lit(":commit:"), commit, F.lit(":"))
+    """The key text of one cache row; ``sub`` is a hash, state or round, by kind.
+
+    ``file_<field>`` and ``round_<field>`` are fields of a file's or a round's state; ``global`` keys belong to no group.
+    """
+    head = F.when(kind == "global", F.lit("audit:")).otherwise(F.concat(F.lit("audit:"), group, F.lit(":commit:"), commit, F.lit(":")))
+    field = F.regexp_extract(kind, r"^(?:file|round)_(\w+)$", 1)
     tail = (F.when(kind.isin("method", "judgment", "astmatch"), F.concat(kind, F.lit(":"), entity, F.lit("#"), sub))
+            .when(kind.startswith("file_"), F.concat(F.lit("file:"), entity, F.lit("#"), sub, F.lit(":"), field))
+            .when(kind.startswith("round_"), F.concat(F.lit("round:"), entity, F.lit(":"), field))
             .when(kind == "endpoint", F.concat(F.lit("endpoint:"), entity, F.lit("#meta")))
             .when(kind.isin("draft", "final"), F.concat(F.lit("finding:"), entity, F.lit(":"), kind))
             .when(kind == "score", F.concat(F.lit("score:"), entity, F.lit(":r"), sub))
@@ -37,11 +43,14 @@ def kv_parse(key: Column) -> Column:
     head = r"^audit:([^:]+):commit:([^:]+):"
     word = part(head + r"([\w-]+):", 3)
     state = part(head + r"finding:.+:(draft|final)$", 3)
-    kind = F.when(word == "finding", state).when(word == "subagent-killed", "killed").otherwise(word)
-    entity = (F.when(word == "finding", part(head + r"finding:(.+):(?:draft|final)$", 3))
+    shared, field = part(r"^audit:global:(.+)$", 1), part(r":(\w+)$", 1)
+    kind = (F.when(shared.isNotNull(), "global").when(word == "finding", state).when(word == "subagent-killed", "killed")
+            .when(word.isin("file", "round"), F.concat_ws("_", word, field)).otherwise(word))
+    entity = (F.when(shared.isNotNull(), shared).when(word == "file", part(head + r"file:([^#]+)#", 3)).when(word == "round", part(head + r"round:(.+):\w+$", 3))
+              .when(word == "finding", part(head + r"finding:(.+):(?:draft|final)$", 3))
               .when(word == "score", part(head + r"score:(.+):r\d+$", 3)).when(word == "env", None)
               .otherwise(part(head + r"[\w-]+:([^#]+)", 3)))
-    sub = F.when(word == "score", part(head + r"score:.+:r(\d+)$", 3)).otherwise(part(r"#(.+)$", 1))
+    sub = F.when(word == "score", part(head + r"score:.+:r(\d+)$", 3)).when(word == "file", part(r"#([^#:]+):\w+$", 1)).otherwise(part(r"#(.+)$", 1))
     return F.struct(part(head, 1).alias("group_id"), part(head, 2).alias("commit_hash"), kind.alias("kind"),
                     entity.alias("entity"), sub.alias("sub"))
 
@@ -61,7 +70,8 @@ def prefetch(chains: DataFrame, methods: DataFrame, group: str, commit: str) ->
     """Cache rows of all chains at once: one per method, and summary pages listing the methods.
 
     A page lists up to 1,000 methods in chain order, so a very long chain gives more pages instead
-    of one huge row.  A chain without methods gives one empty page.
+    of one huge row: the plain key is page 0 and ``#1``, ``#2``, .. follow; every page states their number
+    as ``pages``.  A chain without methods gives one empty page.
     """
     g, c = F.lit(group), F.lit(commit)
     m = methods.withColumn("sig_hash", short_hash(F.col("body"), F.col("sig_hash")))
@@ -72,12 +82,13 @@ def prefetch(chains: DataFrame, methods: DataFrame, group: str, commit: str) ->
     m = running(m, ["chain_id"], ["pos", "b", "key"], F.floor(F.col("pos") / PAGE), F.lit(1), "nth", "count")
     pages = m.groupBy("chain_id", F.floor((F.col("nth") - 1) / PAGE).alias("page")).agg(
         F.array_sort(F.collect_list(F.struct("pos", "fqn", "sig_hash", "key"))).alias("methods"))
-    pages = chains.select("chain_id").distinct().join(pages, "chain_id", "left")
+    many = pages.groupBy("chain_id").agg(F.count(F.lit(1)).alias("pages"))
+    pages = chains.select("chain_id").distinct().join(pages, "chain_id", "left").join(many, "chain_id", "left")
     page = F.coalesce("page", F.lit(0))
     key = kv_key(g, c, F.lit("prefetch"), F.col("chain_id"), F.lit(""))
     listed = F.coalesce(F.transform("methods", lambda x: F.struct(x["fqn"].alias("fqn"), x["sig_hash"].alias("sig_hash"), x["key"].alias("key"))),
                         F.array().cast("array<struct<fqn:string,sig_hash:string,key:string>>"))
-    value = F.to_json(F.struct("chain_id", g.alias("group_id"), c.alias("commit"), listed.alias("methods")))
+    value = F.to_json(F.struct("chain_id", g.alias("group_id"), c.alias("commit"), F.coalesce("pages", F.lit(1)).alias("pages"), listed.alias("methods")))
     summary = pages.select("chain_id", F.when(page > 0, F.concat(key, F.lit("#"), page.cast("string"))).otherwise(key).alias("key"),
                            F.lit("prefetch").alias("kind"), value.alias("value"))
     return rows.unionByName(summary)

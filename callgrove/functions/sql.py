@@ -35,14 +35,18 @@ def register_functions(spark: SparkSession) -> list[str]:
     return [head.split("(")[0] for head in bodies]
 
 
-def mapped_texts_sql(sources: DataFrame) -> DataFrame:
-    """LATERAL form for SQL users: one row per mapping annotation of each text."""
-    return sources.sparkSession.sql(r"""
-        SELECT file, m.kind, trim(m.args) AS args FROM {sources},
-        LATERAL (SELECT inline(zip_with(
-          regexp_extract_all(text, '@(Post|Get|Put|Delete|Patch|Request)Mapping\\s*\\(([^)]*)\\)', 1),
-          regexp_extract_all(text, '@(Post|Get|Put|Delete|Patch|Request)Mapping\\s*\\(([^)]*)\\)', 2),
-          (k, a) -> struct(k AS kind, a AS args)))) AS m""", sources=sources)
+_MAPPED = r"'@(Post|Get|Put|Delete|Patch|Request)Mapping\\s*\\(((?:[^()\"]|\"[^\"]*\"|\\([^()]*\\))*)\\)'"
+_PATHS = r"""'(?:^|[,\\s])(?:path|value)\\s*=\\s*(\\{[^=]*\\}|\"[^\"]*\")|^(\\{[^=]*\\}|\"[^\"]*\")'"""
+
+
+def register_endpoint_function(spark: SparkSession) -> str:
+    """Create the table function ``mapped_endpoints(text)``: a row per mapping annotation and path (kind, args, path)."""
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION mapped_endpoints(text STRING) RETURNS TABLE (kind STRING, args STRING, path STRING) RETURN
+        SELECT kind, args, p.path FROM (
+          SELECT m.kind, trim(m.args) AS args FROM (SELECT inline(zip_with(regexp_extract_all(text, {_MAPPED}, 1), regexp_extract_all(text, {_MAPPED}, 2),
+            (k, a) -> struct(k AS kind, a AS args)))) AS m) q,
+        LATERAL (SELECT explode(CASE WHEN args RLIKE {_PATHS} THEN regexp_extract_all(regexp_extract(args, {_PATHS}, 0), '\"([^\"]*)\"', 1) ELSE array('') END) AS path) AS p""")
+    return "mapped_endpoints"
 
 
 def run_sql(spark: SparkSession, sql: str, args: dict, **tables: DataFrame) -> DataFrame:

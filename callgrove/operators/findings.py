@@ -17,6 +17,8 @@ from callgrove.schemas import schema
 
 REQUIRED = ["chain_id", "endpoint", "fqn", "vuln_type", "severity", "evidence", "summary", "mode", "confidence"]
 # --- fixed values: vulnerability types of a mode ---
+# Kinds of chain nodes.
+NODE_TYPES = ["endpoint", "service", "dao", "data", "external", "framework"]
 MODE_TYPES = {"B": ["MISSING_AUTH", "AUTH_BYPASS", "PRIVILEGE_ESCALATION"]}
 JUDGMENT_STATES = {"D2_auth_state": ["present", "missing", "bypassable"], "D3_business_rule": ["enforced", "missing", "conditional"]}
 
@@ -49,9 +51,14 @@ def validate_findings(f: DataFrame) -> DataFrame:
         for field, states in JUDGMENT_STATES.items():
             if field in f.schema["judgment"].dataType.names:
                 checks.append(F.when(~col("judgment")[field].isin(states), f"enum:{field}"))
-    known = set(schema("finding").names)
+    if has("chain") and "node_type" in getattr(getattr(f.schema["chain"].dataType, "elementType", None), "names", []):
+        checks.append(F.when(F.exists("chain", lambda n: ~n["node_type"].isin(NODE_TYPES)), "enum:node_type"))
+    known = {*schema("finding").names, "file", "line_no", "unknown_keys"}
     checks += [F.lit(f"unknown_key:{c}") for c in f.columns if c not in known]
-    return f.withColumn("errors", F.array_compact(F.array(*checks)))
+    errors = F.array_compact(F.array(*checks))
+    if has("unknown_keys"):
+        errors = F.concat(errors, F.transform(F.coalesce("unknown_keys", F.array().cast("array<string>")), lambda k: F.concat(F.lit("unknown_key:"), k)))
+    return f.withColumn("errors", errors)
 
 
 def record_score(scores: DataFrame, new: DataFrame, order: Sequence[str]) -> DataFrame:

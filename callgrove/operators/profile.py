@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callgrove.functions.java import module_prefix
 from callgrove.sources.graph import Graph
 
 
@@ -22,3 +23,14 @@ def kind_counts(g: Graph) -> DataFrame:
     count = lambda df, scope, c: df.groupBy(F.lit(scope).alias("scope"), F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     out = count(g.nodes, "node", "kind").unionAll(count(g.edges, "edge", "kind"))
     return out if g.files is None else out.unionAll(count(g.files, "language", "language"))
+
+
+def risk_breakdown(endpoints: DataFrame) -> DataFrame:
+    """Endpoints by risk."""
+    return endpoints.groupBy("risk").agg(F.count(F.lit(1)).alias("n"))
+
+
+def endpoint_sinks(endpoints: DataFrame, sinks: DataFrame) -> DataFrame:
+    """Endpoints and sinks per module, both with a ``file``; modules without a sink count zero."""
+    per = lambda df, n: df.groupBy(module_prefix(F.col("file")).alias("module")).agg(F.count(F.lit(1)).alias(n))
+    return per(endpoints, "n_endpoints").join(per(sinks, "n_sinks"), "module", "left").na.fill(0, ["n_sinks"])

@@ -14,20 +14,25 @@ from pyspark.sql import functions as F
 from callgrove.plans.chunked import neighbour, running
 
 SPAN = 500
+BLOCK = 128  # lines
 
 
 def enclosing_method(points: DataFrame, methods: DataFrame) -> DataFrame:
     """Innermost method around each ``(file, line)``.
 
-    Methods are laid out line by line and only the innermost one of a line is kept (an aggregate
-    with map-side combine), so the work grows with the lines of code, not with point-method pairs.
+    Methods and points meet by equi join on blocks of lines, and only the innermost method of a line is
+    kept.  Methods whose end lies before their start hold no line; one that ends far beyond its file is laid
+    out only up to the file's last point.
     """
+    block = lambda c: F.floor(F.col(c) / BLOCK)
     spots = points.select("file", "line").distinct()
-    m = methods.select("id", F.col("file_path").alias("file"), "start_line", "end_line")
-    m = m.join(spots.select("file").distinct(), "file", "left_semi")
-    laid = m.select("file", F.explode(F.sequence("start_line", "end_line")).alias("line"),
+    m = methods.select("id", F.col("file_path").alias("file"), "start_line", "end_line").filter("start_line <= end_line")
+    m = m.join(spots.groupBy("file").agg(F.min("line").alias("lo"), F.max("line").alias("hi")), "file").filter("start_line <= hi AND end_line >= lo")
+    m = m.withColumn("a", F.greatest("start_line", "lo")).withColumn("b", F.least("end_line", "hi"))
+    laid = m.select("file", F.explode(F.sequence(block("a"), block("b"))).alias("block"), "start_line", "end_line",
                     F.struct((F.col("end_line") - F.col("start_line")).alias("span"), (-F.col("start_line")).alias("late"), "id").alias("m"))
-    inner = laid.join(spots, ["file", "line"], "left_semi").groupBy("file", "line").agg(F.min("m").alias("m"))
+    near = laid.join(spots.withColumn("block", block("line")), ["file", "block"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    inner = near.groupBy("file", "line").agg(F.min("m").alias("m"))
     return points.join(inner, ["file", "line"], "left").withColumn("method_id", F.col("m.id")).drop("m")
 
 
@@ -84,6 +89,18 @@ def rel_has(a: DataFrame, b: DataFrame) -> DataFrame:
     return _from_merged(a, seen.filter(F.col("reach") <= F.col("end")))
 
 
+def rel_inside_neighbor(a: DataFrame, b: DataFrame, field: str | None = None) -> DataFrame:
+    """Nodes of ``a`` whose parent is a node of ``b``; ``field`` asks that they stand in that field of it."""
+    a = a if field is None else a.filter(F.col("field") == field)
+    return a.join(b.select(F.col("id").alias("__up")), F.col("parent") == F.col("__up"), "left_semi")
+
+
+def rel_has_neighbor(a: DataFrame, b: DataFrame, field: str | None = None) -> DataFrame:
+    """Nodes of ``a`` of which a node of ``b`` is a child; ``field`` asks that it stands in that field."""
+    b = b if field is None else b.filter(F.col("field") == field)
+    return a.join(b.select(F.col("parent").alias("__up")), F.col("id") == F.col("__up"), "left_semi")
+
+
 def rel_follows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Nodes of ``a`` that start at or after the end of some node of ``b``."""
     first = b.groupBy("file").agg(F.min("end").alias("edge"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +37,12 @@ def read_pom(spark: SparkSession, path: str, glob: str = "pom.xml") -> DataFrame
 
 def read_preset(spark: SparkSession, path: str) -> DataFrame | None:
     """The preset document, or None when there is no such file."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    return spark.read.option("multiLine", True).schema(schema("preset")).json(path)
+    try:
+        return spark.read.option("multiLine", True).schema(schema("preset")).json(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def _pair(kind: str, value):
@@ -59,6 +62,25 @@ def detect_preset(sources: DataFrame) -> DataFrame:
     return counts.withColumn("framework", F.when(F.col("kind") == "import", known))
 
 
+def preset_draft(sources: DataFrame, poms: DataFrame, types: DataFrame, most_annotations: int = 50) -> DataFrame:
+    """A preset document to be confirmed by hand, one row: ids of the build files, main framework and package, candidates.
+
+    ``types(framework, vuln_type)`` gives the whitelist.  Annotations are a ranked suggestion of ``most_annotations``.
+    """
+    counts = detect_preset(sources)
+    main = counts.where("kind = 'package'").agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("base_package"))
+    by_framework = counts.where("framework IS NOT NULL").groupBy("framework").agg(F.sum("n").alias("n"))
+    primary = by_framework.agg(F.min_by("framework", F.struct(-F.col("n"), "framework")).alias("primary"))
+    notes = counts.where("kind = 'annotation'").orderBy(F.desc("n"), "value").limit(most_annotations)
+    notes = notes.agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("n"), "value"))), lambda s: s["value"]).alias("annotations"))
+    listed = types.groupBy("framework").agg(F.array_sort(F.collect_set("vuln_type")).alias("whitelist"))
+    build = poms.agg(F.min("group_id").alias("group_id"), F.min("artifact_id").alias("artifact_id"))
+    one = lambda df: F.struct(*[F.col(c) for c in df.columns])
+    parts = [df.select(one(df).alias("v")).scalar() for df in (build, primary, main, notes)]
+    doc = sources.sparkSession.range(1).select(*[p.alias(f"p{i}") for i, p in enumerate(parts)]).select("p0.*", "p1.*", "p2.*", "p3.*")
+    return doc.join(listed, doc["primary"] == listed["framework"], "left").drop("framework")
+
+
 def api_operations(endpoints: DataFrame) -> DataFrame:
     """Path, verb and the operation object as JSON text; the last mapping of a (path, verb) wins."""
     last = endpoints.groupBy("path", "http_method").agg(

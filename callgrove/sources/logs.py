@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from callgrove.schemas import schema
 
 
-def read_jsonl(spark: SparkSession, path: str, shape: T.StructType, line_numbers: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Good and malformed lines of JSONL files; blank lines are skipped.
+def read_jsonl(spark: SparkSession, path: str, shape: T.StructType, line_numbers: bool = False, closed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Good and malformed lines of JSONL files; blank lines are skipped.  ``closed`` adds the keys that ``shape`` lacks as unknown_keys.
 
     Large logs are read line by line in splittable blocks, and a warning names the file and shows
     the line.  ``line_numbers=True`` reads each file as one text to number its lines: for small logs.
@@ -18,7 +18,7 @@ def read_jsonl(spark: SparkSession, path: str, shape: T.StructType, line_numbers
     if line_numbers:
         return parse_jsonl(_whole(spark, path), shape)
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.lit(None).cast("int").alias("line_no"), F.col("value").alias("line"))
-    return _parse_lines(lines.filter(F.trim("line") != ""), shape)
+    return _parse_lines(lines.filter(F.trim("line") != ""), shape, closed)
 
 
 def _whole(spark: SparkSession, path: str) -> DataFrame:
@@ -30,19 +30,22 @@ def parse_jsonl(texts: DataFrame, shape: T.StructType) -> tuple[DataFrame, DataF
     return _parse_lines(lines.select("file", (F.col("n") + 1).alias("line_no"), "line"), shape)
 
 
-def _parse_lines(lines: DataFrame, shape: T.StructType) -> tuple[DataFrame, DataFrame]:
+def _parse_lines(lines: DataFrame, shape: T.StructType, closed: bool = False) -> tuple[DataFrame, DataFrame]:
     wide = T.StructType([*shape.fields, T.StructField("_bad", T.StringType())])
     parsed = lines.withColumn("r", F.from_json("line", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = F.col("r").isNull() | F.col("r._bad").isNotNull()
-    good = parsed.filter(~bad).select("file", "line_no", *[F.col(f"r.{n}").alias(n) for n in shape.names])
+    unknown = F.array_except(F.json_object_keys("line"), F.array(*map(F.lit, shape.names)))
+    more = [unknown.alias("unknown_keys")] if closed else []
+    good = parsed.filter(~bad).select("file", "line_no", *[F.col(f"r.{n}").alias(n) for n in shape.names], *more)
     where = F.when(F.col("line_no").isNotNull(), F.concat(F.lit(":"), F.col("line_no").cast("string"))).otherwise("")
     warn = F.concat(F.lit("malformed JSON at "), "file", where)
     return good, parsed.filter(bad).select("file", "line_no", "line", warn.alias("warning"))
 
 
-def read_log(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """JSONL straight through the JSON reader, for logs whose records carry their own time."""
-    return spark.read.schema(schema(name)).option("mode", "DROPMALFORMED").json(path)
+def read_log(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """Good records of a log by its schema, and the lines that are none."""
+    good, bad = read_jsonl(spark, path, schema(name))
+    return good.drop("file", "line_no"), bad
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:

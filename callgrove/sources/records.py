@@ -12,12 +12,16 @@ from callgrove.sources.logs import read_jsonl
 
 
 def read_findings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return read_jsonl(spark, path, schema("finding"))
+    """Good and malformed findings; unknown_keys names what the schema does not allow."""
+    return read_jsonl(spark, path, schema("finding"), closed=True)
 
 
-def write_findings(df: DataFrame, path: str) -> None:
-    """One JSON document per promoted chain, below ``chain_id=..`` folders."""
-    df.repartition("chain_id").write.mode("append").partitionBy("chain_id").json(path)
+def write_findings(df: DataFrame, path: str, folders: bool = False, buckets: int = 64) -> None:
+    """Promoted chains as JSON lines in at most ``buckets`` folders; ``folders=True`` makes a ``chain_id=..`` folder for each."""
+    if folders:
+        df.repartition("chain_id").write.mode("append").partitionBy("chain_id").json(path)
+    else:
+        df.withColumn("bucket", F.pmod(F.xxhash64("chain_id"), F.lit(buckets))).repartition("bucket").write.mode("append").partitionBy("bucket").json(path)
 
 
 def read_reports(spark: SparkSession, high: str, low: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from uuid import uuid4
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,19 +34,26 @@ def distinct_records(stream: DataFrame, key: list[str], ts: str = "ts", delay: s
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 
-def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str, name: str, home: str | None = None) -> DataFrame:
     """Process what is available and return the sink as a table with a ``batch`` column.
 
-    A batch overwrites its own folder, so a retried batch leaves no second copy.
+    With ``home``, a folder of the job's own, a later call goes on where the last one ended; without it the
+    job starts anew in a scratch folder.  A batch overwrites its own folder, so a retried batch leaves no
+    second copy.  A source without files gives an empty table.
     """
     spark = stream.sparkSession
-    home = f"{scratch_root(spark)}/{name}-{uuid4().hex}"
+    home = home or f"{scratch_root(spark)}/{name}-{uuid4().hex}"
     write = lambda df, batch: df.write.mode("overwrite").parquet(f"{home}/rows/batch={batch}")
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/checkpoint")
              .trigger(availableNow=True).foreachBatch(write).start())
     query.awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
-    return spark.read.schema(schema).parquet(f"{home}/rows")
+    try:
+        return spark.read.schema(schema).parquet(f"{home}/rows")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # no batch was needed
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def latest(table: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from callgrove.constants import HIGH_RISK_WORDS
 from callgrove.functions import java
-from callgrove.operators import flow, search, structure
+from callgrove.operators import flow, profile, search, structure
 from callgrove.plans.scratch import scratch_root
 from callgrove.sources import code
 from callgrove.workload import views as V
@@ -86,7 +86,7 @@ def _(spark, d):
 
 @R.query("a8_risk_breakdown", f"WITH {ENDPOINTS_SQL} SELECT risk, count(*) AS n FROM endpoints GROUP BY 1")
 def _(spark, d):
-    return endpoints(spark, d).groupBy("risk").agg(F.count(F.lit(1)).alias("n"))
+    return profile.risk_breakdown(endpoints(spark, d))
 
 
 @R.query("e3_normalize_path", """WITH x AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN '' WHEN 'N' THEN concat('/api', l_suppkey) ELSE concat('api', l_suppkey, '/') END AS prefix,
@@ -126,13 +126,21 @@ def _(spark, d):
     return code.detect_preset(V.sources(spark, d))
 
 
+@R.query("e34_preset_draft", f"""WITH {V.JAVA_SQL}, a AS (SELECT unnest(list_distinct(regexp_extract_all(text, '@([A-Z]\\w*)', 1))) AS value FROM sources), n AS (SELECT value, count(*) AS n FROM a GROUP BY 1 ORDER BY n DESC, value LIMIT 3)
+  SELECT 'com.shop' AS group_id, 'site' AS artifact_id, 'spring-boot' AS "primary", 'site.page' AS base_package, (SELECT string_agg(value, ',' ORDER BY n DESC, value) FROM n) AS annotations, 'IDOR,SQLI' AS whitelist""")
+def _(spark, d):
+    poms = V.sources(spark, d).select(F.lit("<project><groupId>com.shop</groupId><artifactId>site</artifactId></project>").alias("text")).select(*code.pom_fields(F.col("text")))
+    types = V.table(spark, d, "region").select(F.lit("spring-boot").alias("framework"), F.when(F.col("r_regionkey") % 2 == 0, "SQLI").otherwise("IDOR").alias("vuln_type"))
+    draft = code.preset_draft(V.sources(spark, d), poms, types, 3)
+    return draft.withColumns({c: F.array_join(c, ",") for c in ("annotations", "whitelist")})
+
+
 @R.query("e36_j17_endpoint_sinks", f"""WITH {ENDPOINTS_SQL}, x AS (SELECT regexp_extract(file, '(?:^|/)(lessons/[^/]+)/', 1) AS module, count(*) AS n_endpoints FROM endpoints GROUP BY 1),
-  s AS (SELECT regexp_extract(file, '(?:^|/)(lessons/[^/]+)/', 1) AS module, count(*) AS n_sinks FROM sources WHERE contains(text, 'track(') GROUP BY 1)
-  SELECT x.module, n_endpoints, n_sinks FROM x JOIN s ON s.module = x.module""")
+  s AS (SELECT regexp_extract(file, '(?:^|/)(lessons/[^/]+)/', 1) AS module, count(*) AS n_sinks FROM sources WHERE contains(text, 'track(') AND page_id % 2 = 0 GROUP BY 1)
+  SELECT x.module, n_endpoints, coalesce(n_sinks, 0) AS n_sinks FROM x LEFT JOIN s ON s.module = x.module""")
 def _(spark, d):
-    by = lambda df, n: df.groupBy(java.module_prefix(F.col("file")).alias("module")).agg(F.count(F.lit(1)).alias(n))
-    sinks = V.sources(spark, d).filter(F.col("text").contains("track("))
-    return by(endpoints(spark, d), "n_endpoints").join(by(sinks, "n_sinks"), "module")
+    sinks = V.sources(spark, d).filter(F.col("text").contains("track(") & (F.col("page_id") % 2 == 0))
+    return profile.endpoint_sinks(endpoints(spark, d), sinks)
 
 
 @R.query("e2_class_prefix", f"WITH {ENDPOINTS_SQL} SELECT * FROM pref")
@@ -306,6 +314,32 @@ _relation("j23_rel_follows", 'b."end" <= a.start', structure.rel_follows)
 _relation("j23_rel_precedes", 'b.start >= a."end"', structure.rel_precedes)
 
 
+_TREE = """tree AS (SELECT concat('c', c_custkey) AS id, concat('n', c_nationkey) AS parent, c_mktsegment AS kind, CASE WHEN c_acctbal < 0 THEN 'body' ELSE 'name' END AS field FROM customer
+  UNION ALL SELECT concat('o', o_orderkey), concat('c', o_custkey), o_orderstatus, CASE WHEN o_totalprice > 200000 THEN 'body' ELSE 'name' END FROM orders)"""
+
+
+def _tree(spark, d):
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    field = lambda hit: F.when(hit, "body").otherwise("name").alias("field")
+    c = V.table(spark, d, "customer").select(tag("c", "c_custkey").alias("id"), tag("n", "c_nationkey").alias("parent"), F.col("c_mktsegment").alias("kind"), field(F.col("c_acctbal") < 0))
+    return c.unionByName(V.table(spark, d, "orders").select(tag("o", "o_orderkey").alias("id"), tag("c", "o_custkey").alias("parent"), F.col("o_orderstatus").alias("kind"), field(F.col("o_totalprice") > 200000)))
+
+
+@R.query("j23_inside_neighbor", f"""WITH {_TREE} SELECT a.id, a.kind FROM tree a WHERE a.kind = 'P' AND a.parent IN (SELECT id FROM tree WHERE kind = 'BUILDING')
+  UNION ALL SELECT a.id, 'in body' FROM tree a WHERE a.field = 'body' AND a.parent IN (SELECT id FROM tree WHERE kind = 'BUILDING')""")
+def _(spark, d):
+    t = _tree(spark, d)
+    up = t.filter("kind = 'BUILDING'")
+    return structure.rel_inside_neighbor(t.filter("kind = 'P'"), up).select("id", "kind").unionAll(
+        structure.rel_inside_neighbor(t, up, "body").select("id", F.lit("in body")))
+
+
+@R.query("j23_has_neighbor", f"""WITH {_TREE} SELECT a.id, a.kind FROM tree a WHERE a.id IN (SELECT parent FROM tree WHERE kind = 'P' AND field = 'body')""")
+def _(spark, d):
+    t = _tree(spark, d)
+    return structure.rel_has_neighbor(t, t.filter("kind = 'P'"), "body").select("id", "kind")
+
+
 @R.query("j23_rel_next_to", f"""WITH {_AST}, l AS (SELECT *, lag(kind) OVER (PARTITION BY parent ORDER BY start, id) AS near FROM ast)
   SELECT id, parent, start FROM l WHERE kind = '1-URGENT' AND near = '5-LOW'""")
 def _(spark, d):

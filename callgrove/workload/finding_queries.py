@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from callgrove.constants import ATTACK_PAYLOADS, IMPACT_PATTERNS
 from callgrove.functions import keys, text, verdicts
 from callgrove.operators import findings as fd
 from callgrove.operators import prune, reconcile
+from callgrove.plans.scratch import scratch_root
 from callgrove.sources import records
 from callgrove.workload import views as V
 from callgrove.workload.registry import Registry
@@ -140,6 +143,18 @@ def _(spark, d):
     return fd.validate_findings(f.drop("ts", "n")).withColumn("n", F.regexp_extract("summary", r"(\d+)$", 1).cast("long")).select("n", F.array_join("errors", ",").alias("errors"))
 
 
+@R.query("e22_closed_keys", f"""WITH {V.FINDINGS_SQL} SELECT n, concat_ws(',', CASE WHEN status = 'final' THEN 'enum:node_type' END, CASE WHEN mode = 'X' THEN 'unknown_key:bogus' END) AS errors FROM findings""")
+def _(spark, d):
+    """Records are written as JSON lines and read again: keys that the schema lacks must be told."""
+    home = f"{scratch_root(spark)}/closed-{uuid4().hex}"
+    node = F.array(F.struct(F.lit("a::b").alias("fqn"), F.lit(0).alias("depth"), F.when(F.col("status") == "final", "gateway").otherwise("dao").alias("node_type")))
+    f = V.findings(spark, d).withColumn("chain", node).withColumn("bogus", F.when(F.col("mode") == "X", 1))
+    f.drop("ts", "n").write.json(home)
+    good, _ = records.read_findings(spark, home)
+    told = F.filter("errors", lambda e: e.isin("enum:node_type") | e.startswith("unknown_key:"))
+    return fd.validate_findings(good).select(F.regexp_extract("summary", r"(\d+)$", 1).cast("long").alias("n"), F.array_join(told, ",").alias("errors"))
+
+
 @R.query("e23_mode_checks", """SELECT n, concat_ws(',', CASE WHEN a = 'unclear' THEN 'enum:D2_auth_state' END, CASE WHEN b = 'unclear' THEN 'enum:D3_business_rule' END) AS errors FROM (
   SELECT o_orderkey AS n, CASE o_orderstatus WHEN 'F' THEN 'missing' WHEN 'O' THEN 'present' ELSE 'unclear' END AS a, CASE WHEN o_totalprice > 250000 THEN 'enforced' ELSE 'unclear' END AS b FROM orders) q""")
 def _(spark, d):
@@ -553,7 +568,8 @@ def _(spark, d):
 
 # --- cache -------------------------------------------------------------------------------------------
 
-@R.query("e14_kv_parse", f"""WITH {V.KV_SQL} SELECT n, key, group_id, commit_hash, kind, CASE WHEN kind <> 'env' THEN entity END AS entity, CASE WHEN kind IN ('method', 'judgment', 'astmatch', 'score') THEN sub END AS sub FROM kv""")
+@R.query("e14_kv_parse", f"""WITH {V.KV_SQL} SELECT n, key, CASE WHEN kind <> 'global' THEN group_id END AS group_id, CASE WHEN kind <> 'global' THEN commit_hash END AS commit_hash, kind, CASE WHEN kind <> 'env' THEN entity END AS entity,
+  CASE WHEN kind IN ('method', 'judgment', 'astmatch', 'score', 'file_status', 'file_chain_count') THEN sub END AS sub FROM kv""")
 def _(spark, d):
     return records.read_kv(V.kv(spark, d).select("n", "key")).select("n", "key", "group_id", "commit_hash", "kind", "entity", "sub")
 

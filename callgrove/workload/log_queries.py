@@ -185,7 +185,7 @@ def _(spark, d):
     rows = V.table(spark, d, "events").filter("event_type = 'error'").select(F.col("ts").cast("timestamp").alias("ts"), S("user_id").alias("role"), F.lit("timeout").alias("failure_type"))
     log_sources.append_jsonl(rows, home)
     log_sources.append_jsonl(rows, home)
-    back = log_sources.read_log(spark, home, "failures")
+    back, _bad = log_sources.read_log(spark, home, "failures")
     return back.groupBy(F.col("role").cast("long").alias("worker")).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))
 
 
@@ -226,10 +226,10 @@ def _(spark, d):
 def _(spark, d):
     home = _home(spark, "rounds")
     log_sources.write_rounds(V.rounds(spark, d), home)
-    return log_sources.read_log(spark, home, "rounds").select("round", "total_reports", "p54_pass")
+    return log_sources.read_log(spark, home, "rounds")[0].select("round", "total_reports", "p54_pass")
 
 
-@R.query("s16_write_kv", f"WITH {V.KV_SQL} SELECT kind, commit_hash, count(*) AS n, count(DISTINCT key) AS n_keys FROM kv GROUP BY 1, 2")
+@R.query("s16_write_kv", f"WITH {V.KV_SQL} SELECT kind, CASE WHEN kind <> 'global' THEN commit_hash END AS commit_hash, count(*) AS n, count(DISTINCT key) AS n_keys FROM kv GROUP BY 1, 2")
 def _(spark, d):
     home = _home(spark, "kv")
     records.write_kv(V.kv(spark, d).withColumnRenamed("body", "value"), home)
@@ -402,10 +402,13 @@ def _(spark, d):
         java_schema_type(p_type) AS t, level_rank('致命') AS r FROM {part}""", part=V.table(spark, d, "part"))
 
 
-@R.query("x2_mapped_texts", f"""WITH {V.JAVA_SQL}, m AS (SELECT file, unnest(regexp_extract_all(text, '@(Post|Get|Put|Delete|Patch|Request)Mapping\\s*\\(([^)]*)\\)')) AS s FROM sources)
-  SELECT file, regexp_extract(s, '^@(\\w+)Mapping', 1) AS kind, trim(regexp_extract(s, '\\(([^)]*)\\)', 1)) AS args FROM m""")
+@R.query("x2_mapped_endpoints", f"""WITH {V.JAVA_SQL}, m AS (SELECT file, unnest(regexp_extract_all(text, '@(Post|Get|Put|Delete|Patch|Request)Mapping\\s*\\((?:[^()"]|"[^"]*"|\\([^()]*\\))*\\)')) AS s FROM sources),
+  a AS (SELECT file, regexp_extract(s, '^@(\\w+)Mapping', 1) AS kind, trim(regexp_extract(s, '(?s)Mapping\\s*\\((.*)\\)$', 1)) AS args FROM m),
+  p AS (SELECT *, string_split(regexp_replace(args, '(produces|consumes)\\s*=\\s*"[^"]*"', ''), '"') AS bits FROM a)
+  SELECT file, kind, args, unnest(list_filter(bits, lambda x, i: i % 2 = 0)) AS path FROM p""")
 def _(spark, d):
-    return sqlf.mapped_texts_sql(V.sources(spark, d))
+    sqlf.register_endpoint_function(spark)
+    return spark.sql("SELECT s.file, e.kind, e.args, e.path FROM {sources} AS s, LATERAL mapped_endpoints(s.text) AS e", sources=V.sources(spark, d).select("file", "text"))
 
 
 # --- streaming --------------------------------------------------------------------------------------

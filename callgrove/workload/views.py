@@ -239,12 +239,14 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- cache rows: one per order, of every kind -------------------------------------------------------
 
 KV = """SELECT o_orderkey AS n, 'shop' AS group_id, concat('h', o_custkey % 7) AS commit_hash,
-  CASE o_orderkey % 11 WHEN 0 THEN 'method' WHEN 1 THEN 'chain' WHEN 2 THEN 'prefetch' WHEN 3 THEN 'judgment' WHEN 4 THEN 'astmatch' WHEN 5 THEN 'draft' WHEN 6 THEN 'final'
-    WHEN 7 THEN 'score' WHEN 8 THEN 'env' WHEN 9 THEN 'killed' ELSE 'force-rescan' END AS kind,
+  CASE o_orderkey % 17 WHEN 0 THEN 'method' WHEN 1 THEN 'chain' WHEN 2 THEN 'prefetch' WHEN 3 THEN 'judgment' WHEN 4 THEN 'astmatch' WHEN 5 THEN 'draft' WHEN 6 THEN 'final'
+    WHEN 7 THEN 'score' WHEN 8 THEN 'env' WHEN 9 THEN 'killed' WHEN 10 THEN 'force-rescan' WHEN 11 THEN 'file_status' WHEN 12 THEN 'file_chain_count'
+    WHEN 13 THEN 'round_counters' WHEN 14 THEN 'stats' WHEN 15 THEN 'sink' ELSE 'global' END AS kind,
   concat('shop::Customer', o_custkey, '::order', o_orderkey) AS entity, CAST(o_orderkey % 30 AS STRING) AS sub, o_orderdate AS written_at,
   CAST(o_totalprice AS STRING) AS body FROM orders"""
-KV_SQL = "kv_rows AS (" + KV.replace("AS STRING", "AS VARCHAR") + """), kv AS (SELECT *, concat('audit:shop:commit:', commit_hash, ':',
-  CASE WHEN kind IN ('method', 'judgment', 'astmatch') THEN concat(kind, ':', entity, '#', sub) WHEN kind IN ('draft', 'final') THEN concat('finding:', entity, ':', kind)
+KV_SQL = "kv_rows AS (" + KV.replace("AS STRING", "AS VARCHAR") + """), kv AS (SELECT *, concat(CASE WHEN kind = 'global' THEN 'audit:' ELSE concat('audit:shop:commit:', commit_hash, ':') END,
+  CASE WHEN kind = 'file_status' THEN concat('file:', entity, '#', sub, ':status') WHEN kind = 'file_chain_count' THEN concat('file:', entity, '#', sub, ':chain_count')
+  WHEN kind = 'round_counters' THEN concat('round:', entity, ':counters') WHEN kind IN ('method', 'judgment', 'astmatch') THEN concat(kind, ':', entity, '#', sub) WHEN kind IN ('draft', 'final') THEN concat('finding:', entity, ':', kind)
   WHEN kind = 'score' THEN concat('score:', entity, ':r', sub) WHEN kind = 'env' THEN 'env:reachability' WHEN kind = 'killed' THEN concat('subagent-killed:', entity)
   ELSE concat(kind, ':', entity) END) AS key FROM kv_rows)"""
 

@@ -85,8 +85,8 @@ def test_review(spark, graph):
     none = spark.createDataFrame([], "chain_id string, status string")
     got = {r["endpoint_fqn"]: r for r in review_endpoints(graph, eps, none, ["@GetMapping"]).collect()}
     a, b = got["pkg::C::m"], got["pkg::S::m"]
-    assert (a["route"], a["n_paths"], a["max_depth"], a["grade"], a["modes"]) == ("new", 4, 3, "high", ["A", "B", "C", "D", "INFO"])
-    assert (b["rule_id"], b["n_paths"], b["grade"], b["modes"]) == ("P-L1-001", 0, "none", [])
+    assert (a["route"], a["n_reached"], a["nearest"], a["grade"], a["modes"]) == ("new", 4, 2, "high", ["A", "B", "C", "D", "INFO"])
+    assert (b["rule_id"], b["n_reached"], b["grade"], b["modes"]) == ("P-L1-001", 0, "none", [])
 
 
 def test_reverse_chain(graph, ids):

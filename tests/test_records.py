@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from callgrove.functions import java, keys, text, verdicts
-from callgrove.functions.sql import mapped_texts_sql, register_functions, run_sql
+from callgrove.functions.sql import register_endpoint_function, register_functions, run_sql
 from callgrove.operators import findings as fd
-from callgrove.operators import flow, logs, prune, reconcile
+from callgrove.operators import flow, logs, prune, reconcile, structure
 from callgrove.schemas import schema
 from callgrove.sources import code, records
 from callgrove.sources import logs as log_sources
@@ -100,7 +100,7 @@ def test_jsonl_skips_blank_and_names_the_bad_line(spark, tmp_path):
         assert one(bad)["warning"].endswith("f.jsonl:3" if numbered else "f.jsonl")
     log_sources.append_jsonl(spark.createDataFrame([("c",)], "chain_id string"), str(tmp_path / "out"))
     log_sources.append_jsonl(spark.createDataFrame([("d",)], "chain_id string"), str(tmp_path / "out"))
-    assert log_sources.read_log(spark, str(tmp_path / "out"), "finding").count() == 2
+    assert log_sources.read_log(spark, str(tmp_path / "out"), "finding")[0].count() == 2
 
 
 def test_chat_layouts(spark, tmp_path):
@@ -253,7 +253,10 @@ def test_validation(spark):
 
 
 def test_write_findings(spark, tmp_path):
-    records.write_findings(spark.createDataFrame([("c1", "x"), ("c2", "y")], "chain_id string, summary string"), str(tmp_path / "out"))
+    df = spark.createDataFrame([("c1", "x"), ("c2", "y")], "chain_id string, summary string")
+    records.write_findings(df, str(tmp_path / "flat"), buckets=2)
+    assert sorted(tuple(r) for r in spark.read.json(str(tmp_path / "flat")).select("chain_id", "summary").collect()) == [("c1", "x"), ("c2", "y")]
+    records.write_findings(df, str(tmp_path / "out"), folders=True)
     assert sorted(p.name for p in (tmp_path / "out").glob("chain_id=*")) == ["chain_id=c1", "chain_id=c2"]
 
 
@@ -318,7 +321,8 @@ def test_sql_surface(spark, ctl):
     register_functions(spark)
     row = spark.sql("SELECT sink_type('executeQuery') a, java_schema_type('Long') b, path_risk('/XSS/x') c, level_rank('严重') d, join_path('api', 'x') e, short_hash('hello world') f").first()
     assert tuple(row) == ("SQLI", "integer", "MEDIUM", 2, "/api/x", "b94d27b9934d3e08")
-    assert mapped_texts_sql(ctl).count() == 4
+    register_endpoint_function(spark)
+    assert spark.sql("SELECT e.* FROM {t} AS t, LATERAL mapped_endpoints(t.text) AS e", t=ctl).select("kind", "args").distinct().count() == 4
     assert run_sql(spark, "SELECT count(*) AS n FROM {t} WHERE file = :f", {"f": "B.java"}, t=ctl).first()["n"] == 1
 
 
@@ -366,3 +370,46 @@ def test_expiring_stream_and_duplicates(spark, tmp_path):
     stream = spark.readStream.schema(kv.schema).parquet(str(tmp_path / "in"))
     once = jobs.distinct_records(stream, ["id"], "written_at")
     assert rows(jobs.run_to_table(jobs.expire_stream(once), "append", "e"), "id") == [(2,)]
+
+
+def test_a_stream_goes_on_where_it_ended(spark, tmp_path):
+    rows_in = lambda a, b: spark.range(a, b).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema("id bigint").parquet(str(tmp_path / "in"))
+    (tmp_path / "in").mkdir()
+    home = str(tmp_path / "home")
+    assert jobs.run_to_table(read(), "append", "r", home).count() == 0
+    rows_in(0, 5)
+    assert jobs.run_to_table(read(), "append", "r", home).count() == 5
+    rows_in(5, 8)
+    again = [jobs.run_to_table(read(), "append", "r", home) for _ in range(2)][-1]
+    assert sorted(r["id"] for r in again.collect()) == list(range(8))
+
+
+def test_one_chain_of_many_methods(spark):
+    n = 100_000
+    chain = spark.range(n).selectExpr("'c' AS chain_id", "CAST(id AS INT) AS depth", "'SQL' AS sink_kind", "CASE WHEN id = 70000 THEN 'x.setString(1)' ELSE 'y' END AS body")
+    clean = flow.sanitizer_state(chain, ["depth"])
+    assert clean.filter("clean").count() == n - 70000
+    methods = spark.range(n).selectExpr("'c' AS chain_id", "id AS pos", "concat('m', id) AS fqn", "CAST(NULL AS STRING) AS sig_hash", "'b' AS body", "'f' AS file", "1 AS line")
+    pages = keys.prefetch(chain.select("chain_id").distinct(), methods, "g", "h").filter("kind = 'prefetch'")
+    got = pages.select(F.get_json_object("value", "$.pages").cast("int").alias("p"), F.from_json("value", "methods array<struct<fqn:string>>").alias("v")).collect()
+    assert {r["p"] for r in got} == {100} and sorted(m["fqn"] for r in got for m in r["v"]["methods"]) == sorted(f"m{i}" for i in range(n))
+
+
+def test_inverted_and_endless_ranges_hold_no_line(spark):
+    methods = spark.createDataFrame([("a", "f", 10, 5), ("b", "f", 1, 2_000_000_000), ("c", "f", 6, 8)], "id string, file_path string, start_line int, end_line int")
+    points = spark.createDataFrame([("f", 7), ("f", 300), ("g", 1)], "file string, line int")
+    assert rows(structure.enclosing_method(points, methods), "line", "method_id") == [(1, None), (7, "c"), (300, "b")]
+
+
+def test_paths_and_parameters_of_mappings(spark):
+    text = """@RestController
+class C {
+@GetMapping(produces = "text/html", value = {"/1", "/2", "/3", "/4"})
+public String a(@PathVariable(name="id") Long id, @RequestParam final Map<String, List<String>> all, @RequestHeader("X, y") String h, @RequestBody(required = false) List<Map<String, Form>> b) {}
+}"""
+    out = java.extract_endpoints(spark.createDataFrame([("C.java", text)], "file string, text string")).collect()
+    assert [r["path"] for r in out] == ["/1", "/2", "/3", "/4"]
+    assert [(p["name"], p["in"], p["type"]) for p in out[0]["params"]] == [("id", "path", "integer"), ("all", "query", "string"), ("X, y", "header", "string")]
+    assert out[0]["body"] == "List<Map<String, Form>>"
+    assert java.extract_endpoints(spark.createDataFrame([("C.java", text)], "file string, text string"), mode="ref").filter("path <> '/'").count() == 3
