@@ -49,10 +49,10 @@ def pattern_hits(text: Column, patterns: Mapping[str, list[str]]) -> dict[str, C
 
 def impact_evidence(text: Column) -> Column:
     """Matches and first example per impact class, and how many classes have none."""
-    hits = pattern_hits(text, IMPACT_PATTERNS)
+    hits = pattern_hits(text, IMPACT_PATTERNS)  # the counts decide the rest, so each class is searched once
     first = lambda label: F.coalesce(*[F.nullif(F.regexp_extract(text, f"({r})", 1), F.lit("")) for r in IMPACT_PATTERNS[label]])
-    example = lambda label: F.when(text.rlike(any_of(IMPACT_PATTERNS[label])), first(label))
-    empty = sum((F.when(text.rlike(any_of(r)), 0).otherwise(1) for r in IMPACT_PATTERNS.values()), F.lit(0))
+    example = lambda label: F.when(hits[label] > 0, first(label))
+    empty = sum((F.when(h > 0, 0).otherwise(1) for h in hits.values()), F.lit(0))
     return F.struct(*[h.alias(f"n_{k}") for k, h in hits.items()], *[example(k).alias(f"eg_{k}") for k in hits], empty.alias("n_empty"))
 
 

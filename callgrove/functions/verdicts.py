@@ -29,9 +29,13 @@ def classify_output(text: Column) -> Column:
     return F.when((low == "") | low.rlike("|".join(f"(?:{p})" for p in ERROR_OUTPUTS)), "ARTHAS_ERROR").otherwise("OK")
 
 
-def classify_result(http_code: Column, state: Column, output: Column) -> Column:
-    """Outcome of one remote call from its HTTP code, job state and text."""
-    return (F.when(http_code.isNull(), "CONNECTION_ERROR").when(http_code.isin(401, 403), "AUTH_FAILURE")
+def classify_result(http_code: Column, state: Column, output: Column, error_kind: Column | None = None) -> Column:
+    """Outcome of one remote call from its HTTP code, job state and text.
+
+    ``error_kind`` is what kept a call from an answer; ``timeout`` tells a slow one from a lost connection.
+    """
+    late = F.lit(False) if error_kind is None else F.coalesce(error_kind == "timeout", F.lit(False))
+    return (F.when(http_code.isNull() & late, "TIMEOUT").when(http_code.isNull(), "CONNECTION_ERROR").when(http_code.isin(401, 403), "AUTH_FAILURE")
             .when(http_code == 404, "AGENT_OFFLINE").when(http_code >= 500, "CONNECTION_ERROR")
             .when(state == "SUCCEEDED", classify_output(output)).when(state.isin("SCHEDULED", "PROCESSING"), "TIMEOUT")
             .otherwise("ARTHAS_ERROR"))

@@ -109,6 +109,11 @@ def api_assets(endpoints: DataFrame, f: DataFrame, chains: DataFrame) -> DataFra
     return out.withColumn("n_high_risk", F.col("n_critical") + F.col("n_high"))
 
 
+def chains_by_class(chains: DataFrame) -> DataFrame:
+    """Chains of each API by class, one row per (endpoint, class)."""
+    return chains.groupBy("endpoint_fqn", "chain_class").agg(F.count(F.lit(1)).alias("n_chains"))
+
+
 def high_risk_detail(f: DataFrame) -> DataFrame:
     return f.filter(F.col("severity").isin("CRITICAL", "HIGH")).select("endpoint_fqn", "chain_id", "vuln_type", "severity", "score")
 

@@ -245,6 +245,12 @@ def _(spark, d):
 _LV = ", ".join(f"coalesce(count(*) FILTER (severity = '{s}'), 0) AS n_{s.lower()}" for s in ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"))
 
 
+@R.query("a10_chains_by_class", """SELECT concat('shop::Customer', o_custkey) AS endpoint_fqn, o_orderstatus AS chain_class, count(*) AS n_chains FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2""")
+def _(spark, d):
+    chains = V.table(spark, d, "orders").join(V.table(spark, d, "lineitem").select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return fd.chains_by_class(chains.select(F.concat(F.lit("shop::Customer"), S("o_custkey")).alias("endpoint_fqn"), F.col("o_orderstatus").alias("chain_class")))
+
+
 @R.query("a10_api_assets", f"""WITH {V.FINDINGS_SQL}, l AS (SELECT endpoint_fqn, {_LV}, count(DISTINCT vuln_type) AS n_types FROM findings GROUP BY 1),
   c AS (SELECT concat('shop::Customer', o_custkey) AS endpoint_fqn, count(*) AS n_chains, count(DISTINCT o_orderstatus) AS n_classes FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
   e AS (SELECT concat('shop::Customer', c_custkey) AS endpoint_fqn FROM customer)

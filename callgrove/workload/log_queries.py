@@ -338,11 +338,11 @@ _CODE = "CASE WHEN event_id % 10 = 0 THEN 401 WHEN event_id % 10 = 1 THEN 404 WH
 _ST = "CASE event_type WHEN 'view' THEN 'SCHEDULED' WHEN 'click' THEN 'FAILED' ELSE 'SUCCEEDED' END"
 
 
-@R.query("e31_classify_result", f"""WITH q AS (SELECT event_id, {_CODE} AS c, {_ST} AS s, {_OUT} AS o FROM events), r AS (SELECT event_id, CASE WHEN c IS NULL THEN 'CONNECTION_ERROR' WHEN c = 401 THEN 'AUTH_FAILURE' WHEN c = 404 THEN 'AGENT_OFFLINE' WHEN c >= 500 THEN 'CONNECTION_ERROR'
+@R.query("e31_classify_result", f"""WITH q AS (SELECT event_id, {_CODE} AS c, {_ST} AS s, {_OUT} AS o FROM events), r AS (SELECT event_id, CASE WHEN c IS NULL AND event_id % 2 = 0 THEN 'TIMEOUT' WHEN c IS NULL THEN 'CONNECTION_ERROR' WHEN c = 401 THEN 'AUTH_FAILURE' WHEN c = 404 THEN 'AGENT_OFFLINE' WHEN c >= 500 THEN 'CONNECTION_ERROR'
   WHEN s = 'SUCCEEDED' THEN CASE WHEN o = '' OR regexp_matches(lower(o), {Q(_ERR)}) THEN 'ARTHAS_ERROR' ELSE 'OK' END WHEN s = 'SCHEDULED' THEN 'TIMEOUT' ELSE 'ARTHAS_ERROR' END AS status FROM q)
   SELECT event_id, status, CAST(CASE status WHEN 'OK' THEN 0 WHEN 'CONNECTION_ERROR' THEN 10 WHEN 'TIMEOUT' THEN 11 WHEN 'AUTH_FAILURE' THEN 12 WHEN 'AGENT_OFFLINE' THEN 13 ELSE 20 END AS INTEGER) AS exit_code FROM r""")
 def _(spark, d):
-    st = verdicts.classify_result(F.expr(_CODE), F.expr(_ST), F.expr(_OUT))
+    st = verdicts.classify_result(F.expr(_CODE), F.expr(_ST), F.expr(_OUT), F.when(F.col("event_id") % 2 == 0, "timeout").otherwise("refused"))
     return V.table(spark, d, "events").select("event_id", st.alias("status")).withColumn("exit_code", verdicts.exit_code(F.col("status")))
 
 
