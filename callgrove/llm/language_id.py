@@ -82,19 +82,19 @@ def _sums(df: DataFrame, text: str, lang: str, size: int, seed: int) -> DataFram
     return found.mapInArrow(run, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
 
 
-def learn(df: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 4000, size: int = 1024, seed: int = 7) -> dict[str, np.ndarray]:
+def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 4000, size: int = 1024, seed: int = 7) -> dict[str, np.ndarray]:
     """Prototypes of the languages in ``lang``.
 
-    Learns from about ``per_language`` texts of each language: rows are kept by a hash of their text at a
-    rate taken from the language's count, so the sample is bounded however large the table is.  What comes
-    to the driver is one vector for each language.
+    Learns from about ``per_language`` texts of each language: rows are kept by a hash of their key and text
+    at a rate taken from the language's count, so the sample is bounded however large the table is.  What
+    comes to the driver is one vector for each language.
     """
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = rows.groupBy(F.col(lang).cast("string").alias("lang")).count().collect()
     if not counts:
         return {}
     rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = rows.where(draw < F.element_at(rates, F.col(lang).cast("string")))
     out: dict[str, np.ndarray] = {}
     for r in _sums(sample, text, lang, size, seed).collect():

@@ -59,7 +59,7 @@ def op6_secret_scan(spark, sf_dir):
 @R.query("op7_language_id")
 def op7_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    prototypes = language_id.learn(docs.where(~language_id.held_out()).select("text", "lang"))
+    prototypes = language_id.learn(docs.where(~language_id.held_out()).select("doc_id", "text", "lang"))
     found = language_id.identify(docs, prototypes)
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
