@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callgrove.llm.marks import mark, without
 from callgrove.llm.texts import SPACED, map_rows, mix, utf8, word_hashes
 from callgrove.plans.scratch import materialize
 
@@ -111,10 +112,10 @@ def _signatures(df: DataFrame, text: str, key: str, words: int) -> DataFrame:
 
 
 def _sets(df: DataFrame, text: str, key: str, ids: DataFrame, words: int) -> DataFrame:
-    """Full sets of the rows with the given ids, one row per id."""
-    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text")).join(ids, "id", "left_semi")
-    made = map_rows(rows, ["id"], "text", {"hashes": "array<bigint>"}, lambda: lambda v: (np.sort(shingles(v, words).view(np.int64)),))
-    return made
+    """Full sets of the rows with the given ids, and of a few more that share a mark with one; texts are not shuffled."""
+    rows = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = mark(rows, ids, "id").where("__marked")
+    return map_rows(rows, ["id"], "text", {"hashes": "array<bigint>"}, lambda: lambda v: (np.sort(shingles(v, words).view(np.int64)),))
 
 
 def components(links: DataFrame, name: str = "component") -> DataFrame:
@@ -249,7 +250,7 @@ def drop_near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id",
     """``df`` with one row of each group, all columns; rows repeated with one id count once."""
     found = materialize(near_duplicates(df, text, key, words, percent), "decisions")
     dropped = found.where(~F.col("kept") & F.col(key).isNotNull()).select(key).distinct()
-    out = df.join(dropped, key, "left_anti")
+    out = without(df, dropped, key)
     if found.groupBy(key).count().where(f"count > 1 AND `{key}` IS NOT NULL").limit(1).count():
         first = Window.partitionBy(key).orderBy(F.xxhash64(*[c for c in df.columns if c != key]))
         out = out.withColumn("__nth", F.row_number().over(first)).where(f"__nth = 1 OR `{key}` IS NULL").drop("__nth")

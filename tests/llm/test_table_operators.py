@@ -376,3 +376,19 @@ def test_sketches_estimate_similarity():
     assert abs((signer.sketch(a) == signer.sketch(b)).mean() - true) < 0.2
     small = a[:3]
     assert set(signer.sketch(small).tolist()) <= set(small.tolist()) and len(signer.keys(a[:1])) == minhash_dedup.BANDS
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_marks_miss_no_id(spark, monkeypatch, bits):
+    from callgrove.llm import marks
+
+    monkeypatch.setattr(marks, "BITS", bits)
+    df = spark.range(-500, 500).selectExpr("CASE WHEN id <> 3 THEN id END AS k", "id AS __id", "'x' AS word")
+    ids = spark.range(-40, 60).selectExpr("CASE WHEN id % 7 <> 0 THEN id END AS k")
+    rows = marks.mark(df, ids, "k").collect()
+    wanted = {i for i in range(-40, 60) if i % 7}
+    assert len(rows) == 1000 and {r.k for r in rows if r["__marked"]} >= wanted - {3} and not any(r["__marked"] for r in rows if r.k is None)
+    kept = marks.without(df, ids, "k")
+    assert kept.columns == df.columns
+    assert sorted(r["__id"] for r in kept.collect()) == [i for i in range(-500, 500) if i not in wanted or i == 3]
+    assert marks.without(df, ids.limit(0), "k").count() == 1000
