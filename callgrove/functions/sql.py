@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from callgrove.constants import HIGH_RISK_WORDS, JAVA_TYPES, SEVERITIES, SEVERITY_NAMES, SINK_NAMES
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgrove.operators.lookup import sink_type
@@ -73,7 +73,8 @@ def forward_5hop(g: Graph, fqn: str | None = None, entries: DataFrame | None = N
     return forward_context(g, fqn, 5, entries)
 
 
-def forward_4hop(g: Graph, fqn: str | None = None, entries: DataFrame | None = None, limit: int = 1000) -> DataFrame:
+def forward_4hop(g: Graph, fqn: str | None = None, entries: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Four calls deep, all walks or the first ``limit`` in order (the published report has 1,000)."""
     return forward_context(g, fqn, 4, entries, limit)
 
 

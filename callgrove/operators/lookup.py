@@ -30,9 +30,10 @@ def find_methods(g: Graph, like: str) -> DataFrame:
     return g.methods.filter(F.col("name").ilike(f"%{like}%")).select("id", "name", "qualified_name")
 
 
-def routes(g: Graph, limit: int = 3000) -> DataFrame:
-    return (g.routes.orderBy("file_path", "start_line", "id").limit(limit)
-            .select("id", "name", "file_path", "start_line"))
+def routes(g: Graph, limit: int | None = None) -> DataFrame:
+    """All routes, or the first ``limit`` in source order (interactive tools show 3,000)."""
+    rows = g.routes.select("id", "name", "file_path", "start_line")
+    return rows if limit is None else rows.orderBy("file_path", "start_line", "id").limit(limit)
 
 
 def routes_by_verb(g: Graph, verb: str) -> DataFrame:
@@ -151,11 +152,13 @@ def route_methods(g: Graph) -> DataFrame:
     return r.join(m, ["file_path", "start_line"])
 
 
-def callees(g: Graph, node_id: str | None = None, limit: int | None = 20) -> DataFrame:
+def callees(g: Graph, node_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Methods called, all or the first ``limit`` per caller (interactive tools show 20)."""
     return _neighbours(g, "source", "target", node_id, limit)
 
 
-def callers(g: Graph, node_id: str | None = None, limit: int | None = 20) -> DataFrame:
+def callers(g: Graph, node_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Methods that call, all or the first ``limit`` per method called (interactive tools show 20)."""
     return _neighbours(g, "target", "source", node_id, limit)
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from callgrove.constants import IMPACT_PATTERNS
 from callgrove.functions import sql as sqlf
 from callgrove.functions import text, verdicts
-from callgrove.operators import findings as fd
 from callgrove.operators import logs, reconcile
 from callgrove.operators.profile import kind_counts, profile
 from callgrove.operators.prune import applicable_types
