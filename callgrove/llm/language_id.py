@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callgrove.llm.texts import keep_rows, map_rows
+from callgrove.llm.texts import keep_rows, map_rows, small_batches
 
 UNKNOWN = "und"
 
@@ -79,7 +79,7 @@ def _sums(df: DataFrame, text: str, lang: str, size: int, seed: int) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([name] * size), pa.array(range(size), pa.int32()), pa.array(x)], ["lang", "at", "value"])
 
     found = df.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    return found.mapInArrow(run, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
+    return small_batches(found).mapInArrow(run, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
 
 
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 4000, size: int = 1024, seed: int = 7) -> dict[str, np.ndarray]:

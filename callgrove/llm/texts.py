@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SLICE = 1 << 20
+BATCH_ROWS = 500
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
@@ -85,6 +86,15 @@ def utf8(value: pa.StringScalar) -> np.ndarray:
     return np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering Spark's default of 10,000 rows in an Arrow batch to ``BATCH_ROWS``: whole texts are
+    long, and a task holds a batch in the JVM and in Python at once.  A number set by the user stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def map_rows(df: DataFrame, keep: list[str], column: str, fields: dict[str, str], start: Callable[[], Callable]) -> DataFrame:
     """Columns ``keep`` plus ``fields`` (name to type), computed row by row from ``column``.
 
@@ -101,7 +111,7 @@ def map_rows(df: DataFrame, keep: list[str], column: str, fields: dict[str, str]
             made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, [*keep, *fields])
 
-    return df.select(*dict.fromkeys([*keep, column])).mapInArrow(run, schema)
+    return small_batches(df).select(*dict.fromkeys([*keep, column])).mapInArrow(run, schema)
 
 
 def keep_rows(df: DataFrame, column: str, start: Callable[[], Callable]) -> DataFrame:
@@ -111,7 +121,7 @@ def keep_rows(df: DataFrame, column: str, start: Callable[[], Callable]) -> Data
         for batch in batches:
             yield batch.filter(pa.array([bool(f(v)) for v in batch.column(column)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 def change_rows(df: DataFrame, column: str, start: Callable[[], Callable]) -> DataFrame:
@@ -123,4 +133,4 @@ def change_rows(df: DataFrame, column: str, start: Callable[[], Callable]) -> Da
             made = pa.array([f(v) for v in batch.column(at)], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), made)
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
