@@ -1,11 +1,13 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts and test items are sequences of words (letters and digits, lower-cased).  An item is laid out as
-overlapping windows; a window of m words with a budget of k edits is cut into k + 1 pieces, so a passage
-within the budget holds at least one piece unchanged.  Texts are searched for the pieces' first words by
-hash; each hit is verified on the words around it with Myers' bit-parallel edit distance.
-
-The windows are collected on the driver in blocks of at most ``block_items`` items and ``block_chars``
+Texts and test items are sequences of words (letters and digits, lower-cased).  A window of ``span`` words
+begins at every word of an item; a window of m words with a budget of k edits is cut into k + 1 pieces, so
+a passage within the budget holds at least one piece unchanged.  Texts are searched for the pieces' first
+words by hash; each hit is verified on the words around it with Myers' bit-parallel edit distance.  With
+the default 24 words and 4 edits every unchanged passage of 20 words of a longer item is found, and every
+passage of 24 words with up to 4 edits, wherever it begins; shorter passages of longer items are not.
+
+Windows are no rows: of an item the words and the places of its pieces are held.  Items are collected on the driver in blocks of at most ``block_items`` items and ``block_chars``
 characters and sent to the tasks; a larger benchmark is worked off in several passes, so its size is not
 limited.
 
@@ -56,7 +58,7 @@ class Window:
 
     def pieces(self) -> list[int]:
         """Where the pieces begin."""
-        return [i * len(self.words) // (self.budget + 1) for i in range(self.budget + 1)]
+        return _pieces(len(self.words), self.budget)
 
     def distance(self, words: list[int]) -> tuple[int, int]:
         """Least number of word edits to any stretch of ``words``, and where the first such stretch ends."""
@@ -81,29 +83,45 @@ class Window:
         return best
 
 
+def _budget(m: int, rate: float) -> int:
+    return min(int(rate * m), max(0, m // GRAM - 1))
+
+
+def _pieces(m: int, budget: int) -> list[int]:
+    """Where the pieces of a window of ``m`` words begin."""
+    return [i * m // (budget + 1) for i in range(budget + 1)]
+
+
 def windows_of(item: int, words: list[int], span: int, rate: float, least: int) -> list[Window]:
-    """Windows of ``span`` words at half their length, the last one flush with the end; short items as a whole."""
+    """Windows of ``span`` words, one from every word; short items as a whole."""
     if len(words) < least:
         return []
-    starts = range(0, len(words) - span + 1, span // 2) if len(words) > span else [0]
-    starts = dict.fromkeys([*starts, max(0, len(words) - span)])
-    out = []
-    for s in starts:
-        part = words[s:s + span]
-        out.append(Window(item, part, min(int(rate * len(part)), max(0, len(part) // GRAM - 1))))
-    return out
+    parts = [words[s:s + span] for s in range(max(0, len(words) - span) + 1)]
+    return [Window(item, part, _budget(len(part), rate)) for part in parts]
 
 
 class Matcher:
+    """Searches texts for the windows of items; these are made as they are verified, from the items' words."""
+
     def __init__(self, items: list[tuple[int, np.ndarray]], span: int, rate: float, least: int):
         self.ids = [i for i, _ in items]
-        self.windows = [w for k, (_, words) in enumerate(items) for w in windows_of(k, words.tolist(), span, rate, least)]
-        self.at: dict[int, list[tuple[int, int]]] = {}
-        for k, w in enumerate(self.windows):
-            grams = _grams(np.array(w.words, np.uint64)).tolist()
-            for begin in w.pieces():
-                self.at.setdefault(grams[begin], []).append((k, begin))
-        self.keys = np.array(sorted(self.at), np.uint64)
+        self.words = [words for _, words in items]
+        self.sizes = [min(span, len(words)) for words in self.words]
+        self.budgets = [_budget(m, rate) for m in self.sizes]
+        self.begins = [_pieces(m, b) for m, b in zip(self.sizes, self.budgets, strict=True)]
+        grams, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for k, words in enumerate(self.words):
+            if len(words) >= least:
+                windows = np.arange(len(words) - self.sizes[k] + 1)
+                at = np.unique(np.add.outer(windows, self.begins[k])).astype(np.int32)
+                grams.append(_grams(words)[at])
+                item.append(np.full(len(at), k, np.int32))
+                place.append(at)
+        grams = np.concatenate(grams)
+        order = np.argsort(grams, kind="stable")
+        self.item, self.place = np.concatenate(item)[order], np.concatenate(place)[order]
+        self.keys, first = np.unique(grams[order], return_index=True)
+        self.first = np.append(first, len(grams))
 
     def find(self, value, any_one: bool = False) -> list[tuple[int, int, int]]:
         """Item number, edits and word where the match ends, best of each item; with ``any_one`` the first found."""
@@ -113,22 +131,41 @@ class Matcher:
             return []
         near = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
         best: dict[int, tuple[int, int]] = {}
-        seen: set[tuple[int, int]] = set()
+        seen: set[tuple[int, int, int]] = set()
         for p in np.flatnonzero(self.keys[near] == grams).tolist():
-            for k, begin in self.at[int(grams[p])]:
-                w = self.windows[k]
-                if (k, p - begin) in seen:  # another piece of the same alignment
+            places = slice(self.first[near[p]], self.first[near[p] + 1])
+            for k, q in zip(self.item[places].tolist(), self.place[places].tolist(), strict=True):
+                edits, end = best.get(k, (math.inf, 0))
+                if edits == 0 and end < p + GRAM:  # what holds this piece is not better and ends later
                     continue
-                seen.add((k, p - begin))
-                lo = max(0, p - begin - w.budget)
-                hi = p - begin + len(w.words) + w.budget
-                edits, end = w.distance(words[lo:hi].tolist())
-                if edits <= w.budget and (edits, lo + end) < best.get(w.item, (math.inf, 0)):
-                    best[w.item] = (edits, lo + end)
-                    if any_one:
-                        return [(w.item, edits, lo + end)]
+                if self._verify(k, q, p, words, best, seen) and any_one:
+                    return [(k, *best[k])]
         return [(i, e, end) for i, (e, end) in sorted(best.items())]
 
+    def _verify(self, k: int, q: int, p: int, words: np.ndarray, best: dict, seen: set) -> bool:
+        """Word q of item k stands at word p: judges the windows that have a piece there, and says whether one is within its budget."""
+        item, m, budget = self.words[k], self.sizes[k], self.budgets[k]
+        starts = [q - b for b in self.begins[k] if 0 <= q - b <= len(item) - m and (k, p - q, q - b) not in seen]
+        if not starts:  # other pieces of the same alignment
+            return False
+        seen.update((k, p - q, s) for s in starts)
+        low, high = starts[-1], starts[0] + m
+        around = set(words[max(0, p - q + low - budget):p - q + high + budget].tolist())
+        part = item[low:high].tolist()
+        missing = [0]
+        for w in part:
+            missing.append(missing[-1] + (w not in around))
+        hit = False
+        for s in starts:
+            if missing[s - low + m] - missing[s - low] > budget:  # each is an edit
+                continue
+            begin = max(0, p - q + s - budget)
+            edits, end = Window(k, part[s - low:s - low + m], budget).distance(words[begin:p - q + s + m + budget].tolist())
+            if edits <= budget:
+                hit = True
+                best[k] = min(best.get(k, (math.inf, 0)), (edits, begin + end))
+        return hit
+
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_items: int, block_chars: int):
     """Items of the benchmark as word hashes, block by block."""

@@ -289,6 +289,48 @@ def test_leak_query_over_whole_tables(spark):
     assert {(r.doc_id, r.item_id) for r in R.jobs["op9_decontaminate"](spark, SF).collect()} == expect
 
 
+def stretches(words, item, span=24):
+    """Edits and end of the best place of any stretch of ``span`` words of the item, by plain distances to all of the text."""
+    budget = lambda m: min(m // 5, max(0, m // 4 - 1)) if len(item) >= 8 else 0
+    parts = [item[s:s + span] for s in range(max(0, len(item) - span) + 1)] if item else []
+    found = [plain_distance(p, words) for p in parts]
+    return min((f for f, p in zip(found, parts, strict=True) if f[0] <= budget(len(p))), default=None)
+
+
+def matcher(*items):
+    return decontaminate.Matcher([(i, decontaminate._words(pa.scalar(t))) for i, t in enumerate(items)], 24, 0.2, 8)
+
+
+def test_passages_are_found_wherever_they_begin():
+    for n in (25, 59, 300):
+        item = prose(700 + n, n).split()
+        one = matcher(" ".join(item))
+        for size in (19, 20, 24, 26):
+            for at in range(n - size + 1):
+                text = f"{'before ' * 30}{' '.join(item[at:at + size])}{' after' * 30}"
+                assert bool(one.find(pa.scalar(text))) == (size >= 20) == bool(one.find(pa.scalar(text), any_one=True)), (n, size, at)
+
+
+def test_edits_and_ends_match_plain_distances():
+    items = [prose(800 + n, n).split() for n in (8, 12, 24, 27, 45, 70)] + [["a", "b"] * 20]
+    search = matcher(*map(" ".join, items))
+    hits = 0
+    for k in range(60):
+        r = random.Random(k)
+        words = prose(900 + k, 20).split()
+        for item in r.sample(items, 2):
+            at = r.randrange(len(item))
+            part = item[at // 2:at // 2 + r.randint(8, 60)]
+            for _ in range(r.randint(0, 5)):
+                i = r.randrange(len(part))
+                part = part[:i] + r.choice([[], ["odd"], [part[i], "more"]]) + part[i + 1:]
+            words += part + prose(k, 6).split()
+        expect = [(i, *f) for i, item in enumerate(items) if (f := stretches(words, item))]
+        assert search.find(pa.scalar(" ".join(words))) == expect
+        hits += len(expect)
+    assert hits > 40
+
+
 # near duplicates
 
 def plain_groups(docs, words=4, percent=80):
