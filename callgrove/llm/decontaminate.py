@@ -11,8 +11,8 @@ Windows are no rows: of an item the words and the places of its pieces are held.
 characters and sent to the tasks; a larger benchmark is worked off in several passes, so its size is not
 limited.
 
-Defined results: null and empty texts match nothing; items with fewer than ``least`` words are too short
-to tell from ordinary prose and match nothing; texts of any length are searched in full; of equal
+Defined results: null and empty texts match nothing, and so do items without a word; items with fewer than
+``least`` words match as a whole and without an edit, a single word wherever it stands; texts of any length are searched in full; of equal
 distances the first place counts; repeated rows are judged one by one, repeated items count once for each
 item_id; an empty table gives an empty table, an empty benchmark no matches.  Other columns of ``df`` pass
 through the filter as they are; the search reads only the named ones.
@@ -39,10 +39,10 @@ def _words(value) -> np.ndarray:
     return word_hashes(utf8(pc.utf8_lower(value)), ALNUM) if value.is_valid else np.zeros(0, np.uint64)
 
 
-def _grams(words: np.ndarray) -> np.ndarray:
-    """Hash of each run of GRAM words."""
-    n = len(words) - GRAM + 1
-    return mix(sum((words[i:n + i] * _STEPS[i] for i in range(1, GRAM)), words[:n] * _STEPS[0])) if n > 0 else np.zeros(0, np.uint64)
+def _grams(words: np.ndarray, size: int = GRAM) -> np.ndarray:
+    """Hash of each run of ``size`` words, GRAM at most."""
+    n = len(words) - size + 1
+    return mix(sum((words[i:n + i] * _STEPS[i] for i in range(1, size)), words[:n] * _STEPS[0])) if n > 0 else np.zeros(0, np.uint64)
 
 
 @dataclass
@@ -93,9 +93,9 @@ def _pieces(m: int, budget: int) -> list[int]:
 
 
 def windows_of(item: int, words: list[int], span: int, rate: float, least: int) -> list[Window]:
-    """Windows of ``span`` words, one from every word; short items as a whole."""
+    """Windows of ``span`` words, one from every word; short items as a whole, below ``least`` words without edits."""
     if len(words) < least:
-        return []
+        return [Window(item, words, 0)] if words else []
     parts = [words[s:s + span] for s in range(max(0, len(words) - span) + 1)]
     return [Window(item, part, _budget(len(part), rate)) for part in parts]
 
@@ -106,12 +106,15 @@ class Matcher:
     def __init__(self, items: list[tuple[int, np.ndarray]], span: int, rate: float, least: int):
         self.ids = [i for i, _ in items]
         self.words = [words for _, words in items]
-        self.sizes = [min(span, len(words)) for words in self.words]
-        self.budgets = [_budget(m, rate) for m in self.sizes]
+        self.sizes = [len(words) if len(words) < least else min(span, len(words)) for words in self.words]
+        self.budgets = [0 if len(words) < least else _budget(m, rate) for words, m in zip(self.words, self.sizes, strict=True)]
         self.begins = [_pieces(m, b) for m, b in zip(self.sizes, self.budgets, strict=True)]
+        self.short: dict[int, dict[int, list[int]]] = {}  # items of fewer than GRAM words, by size and hash
         grams, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for k, words in enumerate(self.words):
-            if len(words) >= least:
+            if 0 < len(words) < GRAM:
+                self.short.setdefault(len(words), {}).setdefault(int(_grams(words, len(words))[0]), []).append(k)
+            elif len(words):
                 windows = np.arange(len(words) - self.sizes[k] + 1)
                 at = np.unique(np.add.outer(windows, self.begins[k])).astype(np.int32)
                 grams.append(_grams(words)[at])
@@ -126,11 +129,16 @@ class Matcher:
     def find(self, value, any_one: bool = False) -> list[tuple[int, int, int]]:
         """Item number, edits and word where the match ends, best of each item; with ``any_one`` the first found."""
         words = _words(value)
+        best: dict[int, tuple[int, int]] = {}
+        for size, items in self.short.items():
+            grams = _grams(words, size)
+            at = np.flatnonzero(np.isin(grams, np.array(list(items), np.uint64)))
+            for gram, first in zip(*np.unique(grams[at], return_index=True), strict=True):
+                best.update((k, (0, int(at[first]) + size)) for k in items[int(gram)])
         grams = _grams(words)
-        if not len(grams) or not len(self.keys):
-            return []
+        if not len(grams) or not len(self.keys) or any_one and best:
+            return [(i, e, end) for i, (e, end) in sorted(best.items())]
         near = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
-        best: dict[int, tuple[int, int]] = {}
         seen: set[tuple[int, int, int]] = set()
         for p in np.flatnonzero(self.keys[near] == grams).tolist():
             places = slice(self.first[near[p]], self.first[near[p] + 1])

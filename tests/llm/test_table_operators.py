@@ -331,6 +331,24 @@ def test_edits_and_ends_match_plain_distances():
     assert hits > 40
 
 
+def test_short_items_match_as_a_whole_and_unchanged():
+    items = ["two words", "Which river is longest?", "one", "what is the boiling point", "a b c", "", "how many moons has planet mars"]
+    search = matcher(*items)
+    for text, expect in [("x TWO, words y two words", [(0, 0, 3)]), ("two odd words", []), ("ask: which river is longest", [(1, 0, 5)]), ("which river is the longest", []), ("one", [(2, 0, 1)]),
+                         ("ones a b c one", [(2, 0, 5), (4, 0, 4)]), ("what is the boiling point", [(3, 0, 5)]), ("how many moons has planet Mars now", [(6, 0, 6)]), ("how many moons has mars", []), ("", [])]:
+        assert search.find(pa.scalar(text)) == expect, text
+        words = re.findall("[a-z]+", text.lower())
+        assert expect == [(i, *f) for i, t in enumerate(items) if (f := stretches(words, re.findall("[a-z]+", t.lower())))]
+        assert bool(search.find(pa.scalar(text), any_one=True)) == bool(expect)
+
+
+def test_short_items_are_found_by_the_filters(spark):
+    df = spark.createDataFrame(documents([(1, "so which river is longest of all"), (2, "no river"), (3, None)]), DOCUMENTS)
+    bench = spark.createDataFrame([(7, "Which river is longest?")], "item_id int, text string")
+    assert [(r.doc_id, r.item_id, r.edits, r.end_word) for r in decontaminate.find_leaks(df, bench).collect()] == [(1, 7, 0, 5)]
+    assert sorted(r.doc_id for r in decontaminate.remove_leaks(df, bench).collect()) == [2, 3]
+
+
 # near duplicates
 
 def plain_groups(docs, words=4, percent=80):
