@@ -13,8 +13,8 @@ limited.
 
 Defined results: null and empty texts match nothing, and so do items without a word; items with fewer than
 ``least`` words match as a whole and without an edit, a single word wherever it stands; texts of any length are searched in full; of equal
-distances the first place counts; repeated rows are judged one by one, repeated items count once for each
-item_id; an empty table gives an empty table, an empty benchmark no matches.  Other columns of ``df`` pass
+distances the first place counts; repeated rows are judged one by one, repeated items (id and text) count
+once, and different texts of one id are items of their own; an empty table gives an empty table, an empty benchmark no matches.  Other columns of ``df`` pass
 through the filter as they are; the search reads only the named ones.
 """
 
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgrove.llm.texts import ALNUM, keep_rows, map_rows, mix, utf8, word_hashes
+from callgrove.plans.scratch import materialize
 
 GRAM = 4
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -176,8 +177,9 @@ class Matcher:
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str, block_items: int, block_chars: int):
-    """Items of the benchmark as word hashes, block by block."""
+    """Items of the benchmark as word hashes, block by block; repeated ones are dropped before blocks are counted and dealt."""
     rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("text IS NOT NULL")
+    rows = materialize(rows.distinct(), "benchmark")
     n, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, math.ceil(n / block_items), math.ceil(chars / block_chars))
     for b in range(blocks):

@@ -349,6 +349,14 @@ def test_short_items_are_found_by_the_filters(spark):
     assert sorted(r.doc_id for r in decontaminate.remove_leaks(df, bench).collect()) == [2, 3]
 
 
+def test_repeated_items_count_once_and_do_not_fill_a_block(spark):
+    text = prose(60, 30)
+    bench = spark.createDataFrame([(1, text)] * 50 + [(2, prose(61, 30)), (None, text), (None, text)], "item_id int, text string")
+    assert max(len(b) for b in decontaminate._blocks(bench, "item_id", "text", 20, 10_000)) == 3
+    df = spark.createDataFrame(documents([(1, text)]), DOCUMENTS)
+    assert sorted(str(r.item_id) for r in decontaminate.find_leaks(df, bench, block_items=20).collect()) == ["1", "None"]
+
+
 # near duplicates
 
 def plain_groups(docs, words=4, percent=80):
