@@ -3,7 +3,7 @@
 All wordings are read into one generalised suffix automaton over words.  A text is streamed through it:
 at each word the automaton holds the longest run of words ending there that occurs in some wording.  Runs
 that cannot be extended to the right are maximal matches; those of one wording are chained in order, and a
-wording is reported when the chain covers enough of it.
+wording is reported wherever a chain covers enough of it.
 
 Defined results: null and empty texts have no words and no license; texts of any length are streamed in
 full; repeated rows are judged one by one; the longer chain wins a tie of two wordings and both are
@@ -138,27 +138,40 @@ class SuffixAutomaton:
             runs.append((before + 1 - length, before + 1, s))
         return places, runs
 
-    def covered(self, runs, slack: int) -> dict[int, tuple[float, int, int]]:
-        """For each wording the best chain of matches, as share covered, first and last word.
+    def covered(self, runs, slack: int, share: float) -> tuple[dict[int, float], list[tuple[int, int, int]]]:
+        """The best share covered of each wording, and first word, end and wording of every chain that reaches ``share``.
 
         A chain goes forward in the text and in the wording; between two matches up to ``slack`` words of
         the text may stand that are not in the wording.  As matches come in text order, a chain is carried
-        on or begun anew at each match.
+        on or closed and begun anew at each match: anew if the match covers all the chain does, and if a
+        chain that reaches the share would go back by more than ``slack`` words.
         """
-        best: dict[int, tuple[float, int, int]] = {}
+        best: dict[int, float] = {}
+        spans: list[tuple[int, int, int]] = []
         open_: dict[int, tuple[int, int, int, int]] = {}  # wording: words covered, start, end in text, end in wording
+
+        def close(k):
+            words, begun, end, _ = open_[k]
+            best[k] = max(best.get(k, 0.0), min(1.0, words / self.sizes[k]))
+            if words / self.sizes[k] >= share:
+                spans.append((begun, end, k))
+
         for start, end, s in runs:
             for k, place in self.states[s].ends.items():
                 n, first = end - start, place + 1 - (end - start)
-                words, begun, text_end, own_end = open_.get(k, (0, start, start, 0))
-                lap = max(0, text_end - start, own_end - first)
-                if start - text_end > slack + max(0, first - own_end) or lap >= n:
-                    words, begun, lap = 0, start, 0
+                words, begun, lap = 0, start, 0
+                if k in open_:
+                    words, begun, text_end, own_end = open_[k]
+                    twice = max(0, text_end - start)
+                    lap = max(twice, own_end - first)
+                    back = words / self.sizes[k] >= share and own_end - first > twice + slack
+                    if start - text_end > slack + max(0, first - own_end) or lap >= min(n, words) or back:
+                        close(k)
+                        words, begun, lap = 0, start, 0
                 open_[k] = (words + n - lap, begun, end, place + 1)
-                share = (words + n - lap) / self.sizes[k]
-                if share > best.get(k, (0.0, 0, 0))[0]:
-                    best[k] = (min(1.0, share), begun, end)
-        return best
+        for k in open_:
+            close(k)
+        return best, spans
 
 
 def scan_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), wordings=WORDINGS, phrases=PHRASES,
@@ -166,8 +179,8 @@ def scan_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     """License notices in every whole text, one row per row of ``df``.
 
     Adds n_words; n_base, first_word, last_word and base_labels of the phrases; labels, which adds wordings
-    whose chain of matches of ``least`` words covers ``share`` of them; spans of the chains as
-    ``label:first word:end``; and score, the best share covered (1 where a phrase stands).
+    whose chain of matches of ``least`` words covers ``share`` of them; spans of all such chains, every copy of a
+    notice, as ``label:first word:end``; and score, the best share covered (1 where a phrase stands).
     """
     def start():
         sam = SuffixAutomaton(list(wordings), dict(phrases))
@@ -175,12 +188,11 @@ def scan_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
         def judge(value):
             words = word_hashes(utf8(value), ALNUM)
             places, runs = sam.matches(words, least)
-            found = {k: v for k, v in sam.covered(runs, slack).items()}
+            found, chains = sam.covered(runs, slack, share)
             base = sorted({label for _, label in places})
-            good = {k: v for k, v in found.items() if v[0] >= share}
-            labels = sorted({*base, *(sam.labels[k] for k in good)})
-            spans = sorted({(a, b, sam.labels[k]) for k, (_, a, b) in good.items()})
-            score = 1.0 if places else max([0.0, *(v[0] for v in found.values())])
+            labels = sorted({*base, *(sam.labels[k] for _, _, k in chains)})
+            spans = sorted({(a, b, sam.labels[k]) for a, b, k in chains})
+            score = 1.0 if places else max([0.0, *found.values()])
             starts = [p for p, _ in places]
             return (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(labels),
                     ",".join(f"{label}:{a}:{b}" for a, b, label in spans), score)

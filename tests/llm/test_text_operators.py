@@ -53,6 +53,22 @@ def test_licenses_match_plain_search(spark):
     assert labels[3] == "cc-by-nc" and labels[4] == "cc-by-sa" and labels[10] == "" and labels[9] == "gpl"
 
 
+def test_every_copy_of_a_notice_has_its_span(spark):
+    mit, apache = next(w for n, w in license_scan.WORDINGS if n == "mit" and len(w) > 100), license_scan.WORDINGS[2][1]
+    n, m = len(mit.split()), len(apache.split())
+    apart = "".join(f"{prose(k, 40)} {mit} {prose(90 + k, 11)} {apache}\n" for k in range(50))
+    cut = " ".join(mit.split()[2:-3])  # a copy that is not whole, and one that is too short
+    rows = license_rows(spark, [(1, apart), (2, f"{mit}\n" * 50), (3, f"{cut} {cut} {mit} {prose(5, 9)} {' '.join(mit.split()[:20])} {mit}"), (4, f"of the Software {mit}"), (5, mit)])
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("mit")] for r in rows}
+    step = 40 + n + 11 + m
+    assert got[1] == [f"mit:{k * step + 40}:{k * step + 40 + n}" for k in range(50)]
+    assert sum(s.startswith("apache") for s in next(r.spans for r in rows if r.doc_id == 1).split(",")) >= 50
+    assert got[2] == [f"mit:{k * n}:{k * n + n}" for k in range(50)]
+    c = n - 5
+    assert got[3] == [f"mit:0:{c}", f"mit:{c}:{2 * c}", f"mit:{2 * c}:{2 * c + n}", f"mit:{2 * c + n + 9 + 20}:{2 * c + 2 * n + 29}"]
+    assert got[4] == [f"mit:3:{n + 3}"] and got[5] == [f"mit:0:{n}"] and all(r.labels in ("mit", "apache,mit") and r.score == 1 for r in rows)
+
+
 def test_matching_statistics_are_longest_suffixes():
     sam = license_scan.SuffixAutomaton([("a", "a b c a b d"), ("b", "b c b c e")], {"c a": "x"})
     text = "a b c b c e a b d z c a b".split()
