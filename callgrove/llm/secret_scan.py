@@ -3,7 +3,9 @@
 Assignments, access keys and long hex strings are taken by pattern.  Longer base64 and hex strings are
 decoded, and reported only if what they hold has the structure of a key: nested lengths of a DER key
 that add up, length-prefixed fields of an SSH key, a signed token whose header names an algorithm, a PEM
-block around such a key.
+block around such a key.  Line ends inside a PEM block or a base64 key may be written as in JSON or source
+text (backslash n, quotes around each line); PEM header lines are skipped, and a body they name as
+encrypted is confirmed by its whole blocks.
 
 Defined results: null and empty texts hold no secrets; texts of any length are read in full; spans that
 start together are ordered by kind; repeated rows are judged one by one; an empty table gives an empty
@@ -33,7 +35,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX, LEAST_ENCODED = 6, 20, 24, 40
 
-_PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
+_PEM = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*)PRIVATE KEY-----")
+_LINE_END = re.compile(r"\\+[rn]|\\+(?=/)")
+_QUOTE = re.compile(r"""\\*["'`]|[+.,;&](?=\s*\\*["'`])|\\(?=\s)""")
+_HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:")
+_CIPHER = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,\s*((?:[0-9A-Fa-f]{2})+)")
+_KEY_START = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[rn]))M[A-Za-z0-9+/]{15,}")
+_PIECE = re.compile(r"[A-Za-z0-9+/]+")
+_BETWEEN = re.compile(r"""(?:\\+[rn]|\\*["'`]|[+.,;&](?=\s*\\*["'`])|\\(?=\s)|\s)+""")
 _ENCODED = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _HEX_BYTES = np.array([chr(b) in "0123456789abcdef" for b in range(256)])
@@ -77,7 +86,7 @@ def is_der_key(data: bytes) -> bool:
     whole = _value(data, 0)
     if not whole or whole[0] != 0x30 or whole[2] != len(data):
         return False
-    tags, open_ = [], [(whole[1], whole[2], 0)]
+    tags, inner, open_ = [], [], [(whole[1], whole[2], 0)]
     while open_:
         at, end, depth = open_.pop()
         while at < end:
@@ -86,6 +95,8 @@ def is_der_key(data: bytes) -> bool:
                 return False
             if depth == 0:
                 tags.append((part[0], part[2] - part[1]))
+            elif depth == 1 and len(tags) == 2:
+                inner.append(part[0])
             if part[0] & 0x20:
                 open_.append((part[1], part[2], depth + 1))
             at = part[2]
@@ -93,7 +104,8 @@ def is_der_key(data: bytes) -> bool:
         return False
     numbered = tags[0][0] == 0x02 and tags[0][1] == 1  # version, then the key or its algorithm
     public = tags[0][0] == 0x30 and tags[1][0] == 0x03  # algorithm, then a bit string
-    return numbered or public
+    encrypted = [t for t, _ in tags] == [0x30, 0x04] and inner == [0x06, 0x30]  # algorithm with parameters (a digest has none), then the key
+    return numbered or public or encrypted
 
 
 def is_ssh_key(data: bytes) -> bool:
@@ -118,6 +130,41 @@ def _decoded(text: str) -> bytes | None:
         return None
 
 
+def is_pem_key(body: str) -> bool:
+    """What stands between the marks of a private key holds one, or whole blocks of the cipher that its header names."""
+    lines = [x.strip() for x in _QUOTE.sub("", _LINE_END.sub(lambda m: "" if m[0][-1] == "\\" else "\n", body)).splitlines()]
+    data = _decoded("".join(x for line in lines if not _HEADER.match(line) for x in line.split()))
+    if not data:
+        return False
+    cipher = next((m for line in lines if (m := _CIPHER.match(line))), None)
+    return len(data) % (len(cipher[1]) // 2) == 0 if cipher else is_der_key(data) or is_ssh_key(data)
+
+
+def _wrapped(text: str) -> list[tuple[int, int]]:
+    """Base64 keys that go on over lines; the first bytes tell how long they are."""
+    out, done = [], 0
+    for m in _KEY_START.finditer(text):
+        head = _decoded(m[0][:16])
+        if m.start() < done or not head or head[0] != 0x30:
+            continue
+        more = head[1] & 0x7F if head[1] > 0x80 else 0
+        size = 2 + more + int.from_bytes(head[2:2 + more], "big") if more else 2 + head[1]
+        if more > 4 or head[1] == 0x80 or head[2 + more] not in (0x02, 0x30):
+            continue
+        need, parts, at = -(-size * 4 // 3), [], m.start()
+        while (piece := _PIECE.match(text, at)) and need >= len(piece[0]):
+            parts.append(piece[0])
+            need -= len(piece[0])
+            at = piece.end()
+            if not need or len(piece[0]) < 16 or not (gap := _BETWEEN.match(text, at)):
+                break
+            at = gap.end()
+        if not need and is_der_key(_decoded("".join(parts)) or b""):
+            done = at + len(re.compile("={0,2}").match(text, at)[0])
+            out.append((m.start(), done))
+    return out
+
+
 def is_signed_token(text: str) -> bool:
     """Header and body of a signed token are JSON objects and the header names an algorithm."""
     try:
@@ -159,14 +206,16 @@ def find_secrets(text: str) -> list[Span]:
     spans += [Span(int(place(a)), int(place(b)), "hex") for a, b in _runs(_HEX_BYTES[data], LEAST_HEX)]
     blocks = []
     if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            body = _decoded(re.sub(r"\s", "", m[2]))
-            if body and (is_der_key(body) or is_ssh_key(body)):
-                blocks.append((m.start(), m.end()))
+        marks = list(_PEM.finditer(text))
+        for m, e in zip(marks, marks[1:], strict=False):
+            if (m[1], e[1]) == ("BEGIN", "END") and m[2] == e[2] and is_pem_key(text[m.end():e.start()]):
+                blocks.append((m.start(), e.end()))
     spans += [Span(a, b, "pem") for a, b in blocks]
     for a, b in _runs(code, LEAST_ENCODED):
         a, b = int(place(a)), int(place(b))
         spans += [Span(a + x, a + y, kind) for x, y, kind in _confirmed(text[a:b]) if not any(s <= a + x and a + y <= e for s, e in blocks)]
+    taken = blocks + [(s.start, s.end) for s in spans if s.kind in ("der", "jwt", "ssh")]
+    spans += [Span(a, b, "der") for a, b in _wrapped(text) if not any(s < b and a < e for s, e in taken)]
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 

@@ -190,6 +190,43 @@ def test_nested_lengths():
     assert secret_scan.is_signed_token(JWT) and not secret_scan.is_signed_token("eyJhIjox.eyJhIjox.x")
 
 
+OID = der(0x06, bytes.fromhex("2a864886f70d01050d"))
+LOCKED = der(0x30, der(0x30, OID, der(0x30, der(4, b"\x07" * 16))), der(4, b"\x44" * 144))
+DIGEST = der(0x30, der(0x30, OID, b"\5\0"), der(4, b"\x44" * 64))
+
+
+def pem(data, name="", end="\n", header="", width=64):
+    lines = [*header.splitlines(), *re.findall(f".{{1,{width}}}", b64(data))]
+    return f"-----BEGIN {name}PRIVATE KEY-----{end}" + "".join(x + end for x in lines) + f"-----END {name}PRIVATE KEY-----"
+
+
+def test_private_keys_as_they_are_kept():
+    dek = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    source = "\"-----BEGIN PRIVATE KEY-----\\n\" +\n" + "".join(f'    "{x}\\n" +\n' for x in re.findall(".{1,64}", b64(RSA))) + "    \"-----END PRIVATE KEY-----\""
+    keys = [json.dumps({"type": "service_account", "private_key": pem(RSA)}), json.dumps(json.dumps({"private_key": pem(RSA)})), pem(RSA, end="\\r\\n"), source,
+            pem(bytes(range(256)) * 4, "RSA ", header=dek), json.dumps({"k": pem(bytes(range(256)) * 4, "RSA ", header=dek)}), pem(RSA, "RSA ", header="Comment: a-key\n\n"), pem(LOCKED, "ENCRYPTED "),
+            json.dumps({"k": pem(LOCKED, "ENCRYPTED ")}).replace("/", "\\/"), pem(RSA, end="\r\n   ")]
+    for text in keys:
+        begin, end = text.index("-----BEGIN"), text.rindex("KEY-----") + 8
+        assert [s for s in secret_scan.find_secrets(f"é {text} é") if s.kind not in secret_scan.BASE_KINDS] == [(begin + 2, end + 2, "pem")], text
+    for end in ("\n", "\r\n", "\n    ", "\\n", "\\n\" +\n  \""):
+        for data in (RSA, LOCKED):
+            for width in (32, 64, 76):
+                text = end.join(re.findall(f".{{1,{width}}}", b64(data)))
+                for before, after in (("key:\n", "\nend of it"), ("key: ", ""), ("\\n", "\\n rest")):
+                    found = [s for s in secret_scan.find_secrets(before + text + after) if s.kind not in secret_scan.BASE_KINDS]
+                    assert found == [(len(before), len(before + text), "der")], (end, width, before)
+                    assert secret_scan.redact(before + text + after) == before + "[SECRET]" + after
+    assert secret_scan.is_der_key(LOCKED) and not secret_scan.is_der_key(DIGEST) and not secret_scan.is_der_key(LOCKED[:-1])
+
+
+def test_what_is_no_private_key_stays():
+    dek = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    for text in (pem(b"only some text, no key at all " * 9), pem(bytes(range(255)), "RSA ", header=dek), "-----BEGIN PRIVATE KEY-----\\n" * 3000,
+                 b64(DIGEST), "\n".join(re.findall(".{1,64}", b64(RSA[:-9]))) + "\nno more", "\n".join(["MIIEpAIBAAKCAQEA" * 4] * 3000)):
+        assert not [s for s in secret_scan.find_secrets(text) if s.kind not in secret_scan.BASE_KINDS], text[:80]
+
+
 def test_redaction_leaves_no_secret_and_no_clean_text_changed(spark):
     df = spark.createDataFrame(documents([*SECRETS, (99, "clean text")]), DOCUMENTS)
     out = {(r.doc_id, i): r.text for i, r in enumerate(secret_scan.redact_secrets(df).collect())}
