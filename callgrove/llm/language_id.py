@@ -14,7 +14,8 @@ nothing.  Only the named columns are read, so further columns never clash.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,10 @@ class Bundler:
 
     def bundle(self, text: str) -> np.ndarray | None:
         """None if the text has no letter."""
+        return self.measure(text)[0]
+
+    def measure(self, text: str) -> tuple[np.ndarray | None, int]:
+        """The bundled vector and the number of trigrams."""
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
         new = np.unique(codes[self.kind[codes] == 0])
         self.kind[new] = [1 if chr(c).isalpha() else 2 for c in new.tolist()]
@@ -58,13 +63,13 @@ class Bundler:
         codes = np.concatenate(([32], codes, [32]))
         codes = codes[np.concatenate(([True], (codes[1:] != 32) | (codes[:-1] != 32)))]
         if len(codes) < 3:
-            return None
+            return None, 0
         keys, counts = np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
         out = np.zeros(self.size)
         for at in range(0, len(keys), 4096):
             block = np.stack([self._gram(k) for k in keys[at:at + 4096].tolist()]).astype(np.float32)
             out += counts[at:at + 4096].astype(np.float32) @ block
-        return out
+        return out, len(codes) - 2
 
 
 def _sums(df: DataFrame, text: str, lang: str, size: int, seed: int) -> DataFrame:
@@ -82,6 +87,17 @@ def _sums(df: DataFrame, text: str, lang: str, size: int, seed: int) -> DataFram
     return small_batches(found).mapInArrow(run, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
 
 
+def _sample(df: DataFrame, text: str, lang: str, key: str, per_language: int, seed: int) -> DataFrame | None:
+    """About ``per_language`` rows of each language, by a hash of their key and text; None without languages."""
+    rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    counts = rows.groupBy(F.col(lang).cast("string").alias("lang")).count().collect()
+    if not counts:
+        return None
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return rows.where(draw < F.element_at(rates, F.col(lang).cast("string")))
+
+
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 4000, size: int = 1024, seed: int = 7) -> dict[str, np.ndarray]:
     """Prototypes of the languages in ``lang``.
 
@@ -89,34 +105,66 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     at a rate taken from the language's count, so the sample is bounded however large the table is.  What
     comes to the driver is one vector for each language.
     """
-    rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = rows.groupBy(F.col(lang).cast("string").alias("lang")).count().collect()
-    if not counts:
+    if (sample := _sample(df, text, lang, key, per_language, seed)) is None:
         return {}
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(draw < F.element_at(rates, F.col(lang).cast("string")))
     out: dict[str, np.ndarray] = {}
     for r in _sums(sample, text, lang, size, seed).collect():
         out.setdefault(r["lang"], np.zeros(size))[r["at"]] = r["value"]
     return {k: v / n for k, v in sorted(out.items()) if (n := np.linalg.norm(v))}
 
 
+def learn_bounds(df: DataFrame, prototypes: dict[str, np.ndarray], share: float, text: str = "text", lang: str = "lang", key: str = "doc_id",
+                 per_language: int = 4000, least_texts: int = 100, seed: int = 7) -> list[float]:
+    """The least cosine of a text by powers of two of its trigrams: ``share`` of the median of learned texts of that size.
+
+    Sizes with fewer than ``least_texts`` texts are joined with the next larger ones, the largest with those before;
+    with fewer texts in all there are no bounds.  What comes to the driver is one count for each size and thousandth.
+    """
+    sample = _sample(df, text, lang, key, per_language, seed) if prototypes else None
+    if sample is None:
+        return []
+    judge = _judge(prototypes, seed)
+
+    def start():
+        one = judge(sized=True)
+        return lambda value: (lambda r: (r[2].bit_length(), round(1000 * r[1])))(one(value))
+
+    found = map_rows(sample.select(text), [], text, {"_size": "bigint", "_cosine": "bigint"}, start).where("_size > 0")
+    rows = found.groupBy("_size", "_cosine").count().collect()
+    groups: list[tuple[list[int], Counter]] = []
+    for size in range(1, max((r["_size"] for r in rows), default=0) + 1):
+        if not groups or groups[-1][1].total() >= least_texts:
+            groups.append(([], Counter()))
+        groups[-1][0].append(size)
+        groups[-1][1].update({r["_cosine"]: r["count"] for r in rows if r["_size"] == size})
+    if len(groups) > 1 and groups[-1][1].total() < least_texts:
+        sizes, counts = groups.pop()
+        groups[-1][0].extend(sizes)
+        groups[-1][1].update(counts)
+    if not groups or groups[-1][1].total() < least_texts:
+        return []
+    out = [0.0]
+    for sizes, counts in groups:
+        cosines = sorted(counts.elements())
+        out += [share * cosines[len(cosines) // 2] / 1000] * len(sizes)
+    return out
+
+
 def _judge(prototypes: dict[str, np.ndarray], seed: int):
-    """A function that starts a judge of one text in a task: the language and its cosine."""
+    """A function that starts a judge of one text in a task: the language and its cosine, with ``sized`` its trigrams, too."""
     names = sorted(prototypes)
     table = np.stack([prototypes[n] for n in names]) if names else None
 
-    def start():
+    def start(sized: bool = False):
         bundler = Bundler(table.shape[1], seed) if names else None
 
         def judge(value):
-            x = bundler.bundle(value.as_py()) if names and value.is_valid else None
+            x, n = bundler.measure(value.as_py()) if names and value.is_valid else (None, 0)
             if x is None or not (norm := math.sqrt(x @ x)):
-                return UNKNOWN, 0.0
+                return (UNKNOWN, 0.0, n)[:2 + sized]
             cosines = table @ x / norm
             best = int(np.argmax(cosines))
-            return names[best], float(min(1.0, max(0.0, cosines[best])))
+            return (names[best], float(min(1.0, max(0.0, cosines[best]))), n)[:2 + sized]
 
         return judge
 
@@ -129,8 +177,13 @@ def identify(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text
     return map_rows(df, list(keep), text, {"lang_pred": "string", "score": "double"}, _judge(prototypes, seed))
 
 
-def keep_identified(df: DataFrame, prototypes: dict[str, np.ndarray], least: float, text: str = "text", seed: int = 7) -> DataFrame:
-    """Rows of ``df``, all columns, whose text has a language with a cosine of at least ``least``.
+def least_cosine(trigrams: int, bounds: Sequence[float], short: int = 128) -> float:
+    """The bound of a text; below ``short`` trigrams it falls with their number, as few of them say little."""
+    return bounds[min(trigrams.bit_length(), len(bounds) - 1)] * min(1.0, trigrams / short)
+
+
+def keep_identified(df: DataFrame, prototypes: dict[str, np.ndarray], least: float, text: str = "text", seed: int = 7, bounds: Sequence[float] = ()) -> DataFrame:
+    """Rows of ``df``, all columns, whose text has a language with a cosine of at least ``least``, or of its size's bound if there are ``bounds``.
 
     With no prototypes nothing can be told and all texts with a letter are kept.
     """
@@ -139,11 +192,11 @@ def keep_identified(df: DataFrame, prototypes: dict[str, np.ndarray], least: flo
     def start():
         if not prototypes:
             return lambda value: value.is_valid and any(map(str.isalpha, value.as_py()))
-        one = judge()
+        one = judge(sized=True)
 
         def keep(value):
-            name, score = one(value)
-            return name != UNKNOWN and score >= least
+            name, score, n = one(value)
+            return name != UNKNOWN and score >= (least_cosine(n, bounds) if bounds else least)
 
         return keep
 
