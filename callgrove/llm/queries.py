@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgrove.llm import decontaminate, language_id, license_scan, minhash_dedup, mixture, neighbours, secret_scan, token_counts, url_filter, warc
+from callgrove.llm import (
+    decontaminate,
+    language_id,
+    license_scan,
+    minhash_dedup,
+    mixture,
+    neighbours,
+    periodic_runs,
+    secret_scan,
+    sentence_pieces,
+    token_counts,
+    turn_repair,
+    url_filter,
+    warc,
+)
 from callgrove.llm.oracles import SQL
 from callgrove.workload.registry import Registry
 
@@ -77,3 +91,55 @@ def op9_decontaminate(spark, sf_dir):
 @R.query("op10_near_duplicates", SQL.get("op10_near_duplicates"))
 def op10_near_duplicates(spark, sf_dir):
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def echoed(docs: DataFrame) -> DataFrame:
+    """Documents whose id has a checksum that ends in 0 repeat their words from one place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    rows = docs.withColumn("__words", words).withColumn("__n", F.size("__words")).withColumn("__g", F.floor(h / 10))
+    rows = rows.withColumn("__a", F.when(F.col("__n") > 0, F.col("__g") % F.col("__n")).cast("int"))
+    rows = rows.withColumn("__p", F.expr("CAST(1 + (__n - __a) DIV (3 + __g % 8) AS INT)"))
+    text = F.expr("array_join(transform(sequence(0, __n - 1), i -> __words[CASE WHEN i < __a THEN i ELSE __a + (i - __a) % __p END]), ' ')")
+    return rows.withColumn("text", F.when(F.col("__n") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
+
+
+@R.query("op11_periodic_runs")
+def op11_periodic_runs(spark, sf_dir):
+    docs = periodic_runs.with_runs(echoed(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    out = periodic_runs.collapse(docs, ["doc_id", "runs"])
+    best = periodic_runs.longest("runs")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return out.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations of which some rows are lost, emptied, cut off, repeated or given the wrong role, by a checksum of id and turn."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    way = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn")).cast("binary")) % 20
+    text = F.when(way == 1, "").when(way == 2, F.regexp_replace(said("text"), "[.!?]", "")).otherwise(said("text"))
+    kept = rows.select("conv_id", "turn", F.when(way == 4, "user").otherwise(said("role")).alias("role"), text.alias("text"), way.alias("__way")).where("__way <> 0")
+    return kept.withColumn("__copy", F.explode(F.when(F.col("__way") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("__way", "__copy")
+
+
+@R.query("op12_turn_repair")
+def op12_turn_repair(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    found = turn_repair.summarize(turn_repair.repair_conversations(damaged(rows)))
+    ids = rows.select("conv_id").distinct()
+    none = {"audit": F.lit(""), "sha256": F.sha2(F.lit("").cast("binary"), 256)}
+    value = lambda c: F.coalesce(c, none.get(c, F.lit(0).cast("bigint")))
+    return ids.join(found, ids.conv_id.eqNullSafe(found.conv), "left").select(
+        "conv_id", *[value(c).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit")], value("sha256").alias("repaired_sha256"))
+
+
+@R.query("op13_sentence_pieces")
+def op13_sentence_pieces(spark, sf_dir):
+    model = sentence_pieces.read_model()
+    out = sentence_pieces.decode(sentence_pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

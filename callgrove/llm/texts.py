@@ -32,13 +32,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-def byte_table(word: Callable[[int], bool]) -> np.ndarray:
-    """For each byte, the byte that stands for it inside words (A-Z lower-cased) plus one, or 0 between words."""
-    return np.array([(ord(chr(b).lower()) if 65 <= b <= 90 else b) + 1 if word(b) else 0 for b in range(256)], dtype=np.uint16)
+def byte_table(word: Callable[[int], bool], lower: bool = True) -> np.ndarray:
+    """For each byte, the byte that stands for it inside words (A-Z lower-cased with ``lower``) plus one, or 0 between words."""
+    return np.array([(ord(chr(b).lower()) if lower and 65 <= b <= 90 else b) + 1 if word(b) else 0 for b in range(256)], dtype=np.uint16)
 
 
-#: Words between white space; words of ASCII letters and digits and all other characters above ASCII.
+#: Words between white space (the second keeps upper case); words of ASCII letters and digits and all other characters above ASCII.
 SPACED = byte_table(lambda b: b != 32 and not 9 <= b <= 13)
+CASED = byte_table(lambda b: b != 32 and not 9 <= b <= 13, lower=False)
 ALNUM = byte_table(lambda b: b >= 128 or chr(b).isalnum())
 
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -62,11 +63,9 @@ def _slice_hashes(codes: np.ndarray) -> np.ndarray:
     return mix((total[ends] - total[starts]) * _power("down", len(codes))[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(text: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each word of a text given as UTF-8 bytes; equal words have equal hashes."""
-    if len(text) <= SLICE:
-        return _slice_hashes(table[text])
-    out, at = [], 0
+def slices(text: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where slices of about ``SLICE`` bytes begin and end; none ends inside a word."""
+    at = 0
     while at < len(text):
         end = min(at + SLICE, len(text))
         if end < len(text):
@@ -75,9 +74,15 @@ def word_hashes(text: np.ndarray, table: np.ndarray) -> np.ndarray:
                 end = min(end + SLICE, len(text))
                 gap = np.flatnonzero(table[text[at:end]] == 0)
             end = at + int(gap[-1]) + 1 if len(gap) and end < len(text) else end
-        out.append(_slice_hashes(table[text[at:end]]))
+        yield at, end
         at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def word_hashes(text: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each word of a text given as UTF-8 bytes; equal words have equal hashes."""
+    if len(text) <= SLICE:
+        return _slice_hashes(table[text])
+    return np.concatenate([_slice_hashes(table[text[a:b]]) for a, b in slices(text, table)])
 
 
 def utf8(value: pa.StringScalar) -> np.ndarray:
