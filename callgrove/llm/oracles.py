@@ -67,42 +67,45 @@ def _wild(c: str) -> str:
     return f"CASE WHEN regexp_matches({c}, '^[0-9]+/?$') THEN '*' WHEN regexp_matches({c}, '^[0-9]+\\.[a-z]+$') THEN '*.*' ELSE {c} END"
 
 
+_LEVELS = 8
+
+
 def _templates(i: int) -> str:
     above = ", ".join(["host", *[f"t{k}" for k in range(1, i)]])
     below = f"k{i + 1}"
-    stats = ["bad", *[f"f_{s}" for s in _SHAPES]]
-    features = ", ".join(f"sum(n) FILTER ({below} = '{s}') AS f_{s}" for s in _SHAPES)
-    filled = ", ".join(f"coalesce(f_{s}, 0) AS f_{s}" for s in _SHAPES)
+    stats = [f"f_{s}" for s in _SHAPES]
+    features = ", ".join(f"coalesce(sum(n) FILTER ({below} = '{s}'), 0) AS f_{s}" for s in _SHAPES)
     firsts = ", ".join(f"first_value({x}) OVER w AS lead_{x}" for x in ["n", *stats])
     far = "greatest(" + ", ".join(f"abs({x} / n - lead_{x} / lead_n)" for x in stats) + ")"
     bound = "sqrt(0.5 * ln(2 / 0.05)) * (1 / sqrt(n) + 1 / sqrt(lead_n))"
-    every = ", ".join(f"f_{s}" for s in _SHAPES)
-    most = ", ".join(f"CASE WHEN f_{s} = greatest({every}) THEN '{s}' END" for s in _SHAPES)
+    most = ", ".join(f"CASE WHEN f_{s} = greatest({', '.join(stats)}) THEN '{s}' END" for s in _SHAPES)
     prev = f"c{i - 1}"
     return f"""
-b{i} AS (SELECT {above}, s{i}, sum(n) AS n, sum(bad) AS bad, {features} FROM {prev} GROUP BY ALL),
-bb{i} AS (SELECT {above}, s{i}, n, bad, {filled} FROM b{i}),
-ba{i} AS (SELECT *, coalesce({most}) || (bad * 2 > n) AS alike FROM bb{i}),
+b{i} AS MATERIALIZED (SELECT {above}, s{i}, sum(n) AS n, {features} FROM {prev} GROUP BY ALL),
+a{i} AS (SELECT *, coalesce({most}) AS alike FROM b{i}),
 g{i} AS (SELECT *, count(*) OVER (PARTITION BY {above}) AS kinds, sum(n) OVER (PARTITION BY {above}) AS every, first_value(s{i}) OVER w AS lead, {firsts}
-  FROM ba{i} WINDOW w AS (PARTITION BY {above}, alike ORDER BY n DESC, s{i} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
-m{i} AS (SELECT {above}, s{i}, CASE WHEN kinds >= 16 AND kinds >= 0.5 * every THEN '*' WHEN {far} < {bound} THEN lead ELSE s{i} END AS t{i} FROM g{i}),
-c{i} AS (SELECT * FROM {prev} JOIN m{i} USING ({above}, s{i}))"""
+  FROM a{i} WINDOW w AS (PARTITION BY {above}, alike ORDER BY n DESC, s{i} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+m{i} AS (SELECT {above}, s{i}, CASE WHEN kinds >= 16 AND kinds >= 0.5 * every THEN '*' WHEN n >= 8 AND {far} < {bound} THEN lead ELSE s{i} END AS t{i} FROM g{i}),
+c{i} AS MATERIALIZED (SELECT * FROM {prev} JOIN m{i} USING ({above}, s{i}))"""
+
 
+_SEGMENTS = ", ".join(f"s{i}" for i in range(1, _LEVELS + 1))
+_TEMPLATE = ", ".join(f"t{i}" for i in range(1, _LEVELS + 1))
 
+# A template is rejected if nearly all of its URLs that a rule speaks of are blocked; it speaks for those without a rule.
 SQL["op2_url_filter"] = f"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r AS (SELECT *, {_case(_RULES, 0)} AS rule, {_case(_RULES, 1)} AS said, string_split(path, '/') AS seg FROM p),
-s AS (SELECT *, coalesce(seg[2], '') AS p1, coalesce(seg[3], '') AS p2, coalesce(array_to_string(seg[4:], '/'), '') AS p3 FROM r),
-t AS (SELECT *, {_wild('p1')} AS s1, {_wild('p2')} AS s2, {_wild('p3')} AS s3 FROM s),
-c0 AS (SELECT host, s1, s2, s3, count(*) AS n, count(*) FILTER (said = 'block') AS bad, {_shape('s2')} AS k2, {_shape('s3')} AS k3, 'none' AS k4 FROM t GROUP BY ALL),
-{_templates(1)},
-{_templates(2)},
-{_templates(3)},
-j AS (SELECT host, t1, t2, t3, (sum(bad) + 0.5::DOUBLE) / (sum(n) + 5.0::DOUBLE) AS purity FROM c3 GROUP BY ALL HAVING purity >= 0.8),
-x AS (SELECT host, s1, s2, s3, concat_ws('/', host, t1, t2, t3) AS template, purity FROM c3 JOIN j USING (host, t1, t2, t3))
+s AS (SELECT *, {", ".join(f"coalesce(seg[{i + 1}], '') AS p{i}" for i in range(1, _LEVELS))}, coalesce(array_to_string(seg[{_LEVELS + 1}:], '/'), '') AS p{_LEVELS} FROM r),
+t AS MATERIALIZED (SELECT page_id, host, path, rule, said, {", ".join(f"{_wild(f'p{i}')} AS s{i}" for i in range(1, _LEVELS + 1))} FROM s),
+c0 AS MATERIALIZED (SELECT host, {_SEGMENTS}, count(*) AS n, count(said) AS ruled, count(*) FILTER (said = 'block') AS blocked,
+  {", ".join(f"{_shape(f's{i}')} AS k{i}" for i in range(2, _LEVELS + 1))}, 'none' AS k{_LEVELS + 1} FROM t GROUP BY ALL),
+{",".join(_templates(i) for i in range(1, _LEVELS + 1))},
+j AS (SELECT host, {_TEMPLATE}, (sum(blocked) + 5 * 0.1::DOUBLE) / (sum(ruled) + 5.0::DOUBLE) AS purity FROM c{_LEVELS} GROUP BY ALL HAVING purity >= 0.8),
+x AS (SELECT host, {_SEGMENTS}, rtrim(concat_ws('/', host, {_TEMPLATE}), '/') AS template, purity FROM c{_LEVELS} JOIN j USING (host, {_TEMPLATE}))
 SELECT page_id, host, path, rule, coalesce(said, CASE WHEN purity IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, template, purity
-FROM t LEFT JOIN x USING (host, s1, s2, s3)
+FROM t LEFT JOIN x USING (host, {_SEGMENTS})
 """
 
 SQL["op4_warc_archive"] = """
