@@ -19,13 +19,15 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgrove.llm.texts import change_rows, map_rows
+from callgrove.llm.texts import change_rows, map_rows, slices
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "der", "ssh", "jwt")
@@ -34,6 +36,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX, LEAST_ENCODED = 6, 20, 24, 40
+MOST_PARTS = 64
 
 _PEM = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*)PRIVATE KEY-----")
 _LINE_END = re.compile(r"\\+[rn]|\\+(?=/)")
@@ -43,6 +46,7 @@ _CIPHER = re.compile(r"DEK-Info:\s*[A-Z0-9-]+,\s*((?:[0-9A-Fa-f]{2})+)")
 _KEY_START = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\[rn]))M[A-Za-z0-9+/]{15,}")
 _PIECE = re.compile(r"[A-Za-z0-9+/]+")
 _BETWEEN = re.compile(r"""(?:\\+[rn]|\\*["'`]|[+.,;&](?=\s*\\*["'`])|\\(?=\s)|\s)+""")
+_PADDING = re.compile("={0,2}")
 _ENCODED = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 _HEX_BYTES = np.array([chr(b) in "0123456789abcdef" for b in range(256)])
@@ -66,7 +70,7 @@ def _runs(mask: np.ndarray, least: int) -> list[tuple[int, int]]:
     return list(zip(starts[long].tolist(), ends[long].tolist(), strict=True))
 
 
-def _value(data: bytes, at: int) -> tuple[int, int, int] | None:
+def _value(data: bytes | _Bytes, at: int) -> tuple[int, int, int] | None:
     """Tag, start and end of the DER value at ``at``, if its length fits."""
     if at + 2 > len(data):
         return None
@@ -81,17 +85,20 @@ def _value(data: bytes, at: int) -> tuple[int, int, int] | None:
     return (tag, at, at + size) if at + size <= len(data) else None
 
 
-def is_der_key(data: bytes) -> bool:
-    """A sequence that fills ``data``, starts with a small integer or a sequence, and whose parts' lengths add up at every level."""
+def is_der_key(data: bytes | _Bytes) -> bool:
+    """A sequence that fills ``data``, starts with a small integer or a sequence, and whose parts' lengths add up at every level.
+
+    Keys have about ten parts; what has more than ``MOST_PARTS`` is none, so the work on a candidate is bounded.
+    """
     whole = _value(data, 0)
     if not whole or whole[0] != 0x30 or whole[2] != len(data):
         return False
-    tags, inner, open_ = [], [], [(whole[1], whole[2], 0)]
+    tags, inner, open_, n = [], [], [(whole[1], whole[2], 0)], 0
     while open_:
         at, end, depth = open_.pop()
         while at < end:
-            part = _value(data, at)
-            if not part or part[2] > end:
+            part, n = _value(data, at), n + 1
+            if not part or part[2] > end or n > MOST_PARTS:
                 return False
             if depth == 0:
                 tags.append((part[0], part[2] - part[1]))
@@ -140,27 +147,61 @@ def is_pem_key(body: str) -> bool:
     return len(data) % (len(cipher[1]) // 2) == 0 if cipher else is_der_key(data) or is_ssh_key(data)
 
 
+class _Bytes:
+    """What unpadded base64 text holds, decoded where it is asked for."""
+
+    def __init__(self, text: str, start: int, size: int):
+        self.text, self.start, self.size = text, start, size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at):
+        if not isinstance(at, slice):
+            return self[at:at + 1][0]
+        low, high = at.start or 0, min(self.size, self.size if at.stop is None else at.stop)
+        first = low // 3
+        body = self.text[self.start + 4 * first:self.start + min(4 * -(-high // 3), -(-self.size * 4 // 3))]
+        return (_decoded(body) or b"")[low - 3 * first:high - 3 * first]
+
+
+def _stated(head: bytes | None) -> int | None:
+    """Number of bytes of a DER sequence that begins with ``head`` and holds a number or a sequence first."""
+    if not head or head[0] != 0x30 or head[1] == 0x80:
+        return None
+    more = head[1] & 0x7F if head[1] > 0x80 else 0
+    if more > 4 or head[2 + more] not in (0x02, 0x30):
+        return None
+    return 2 + more + int.from_bytes(head[2:2 + more], "big") if more else 2 + head[1]
+
+
 def _wrapped(text: str) -> list[tuple[int, int]]:
-    """Base64 keys that go on over lines; the first bytes tell how long they are."""
-    out, done = [], 0
+    """Base64 keys that go on over lines; the first bytes tell how long they are.
+
+    The lines of a run are measured once, however many of them begin like a key, and a key is decoded only as far as its nested
+    lengths are right.
+    """
+    out, done, stop = [], 0, 0
     for m in _KEY_START.finditer(text):
-        head = _decoded(m[0][:16])
-        if m.start() < done or not head or head[0] != 0x30:
+        size = _stated(_decoded(m[0][:16])) if m.start() >= done else None
+        if size is None:
             continue
-        more = head[1] & 0x7F if head[1] > 0x80 else 0
-        size = 2 + more + int.from_bytes(head[2:2 + more], "big") if more else 2 + head[1]
-        if more > 4 or head[1] == 0x80 or head[2 + more] not in (0x02, 0x30):
-            continue
-        need, parts, at = -(-size * 4 // 3), [], m.start()
-        while (piece := _PIECE.match(text, at)) and need >= len(piece[0]):
-            parts.append(piece[0])
-            need -= len(piece[0])
-            at = piece.end()
-            if not need or len(piece[0]) < 16 or not (gap := _BETWEEN.match(text, at)):
-                break
-            at = gap.end()
-        if not need and is_der_key(_decoded("".join(parts)) or b""):
-            done = at + len(re.compile("={0,2}").match(text, at)[0])
+        if m.start() >= stop or m.start() not in number:
+            starts, parts, at = [], [], m.start()
+            while piece := _PIECE.match(text, at):
+                starts.append(at)
+                parts.append(piece[0])
+                at = stop = piece.end()
+                if len(piece[0]) < 16 or not (gap := _BETWEEN.match(text, at)):
+                    break
+                at = gap.end()
+            number, upto, joined = {a: i for i, a in enumerate(starts)}, [0, *accumulate(map(len, parts))], "".join(parts)
+        i = number[m.start()]
+        end = upto[i] + -(-size * 4 // 3)
+        j = bisect_left(upto, end)
+        if j < len(upto) and upto[j] == end and is_der_key(_Bytes(joined, upto[i], size)):
+            last = starts[j - 1] + len(parts[j - 1])
+            done = last + len(_PADDING.match(text, last)[0])
             out.append((m.start(), done))
     return out
 
@@ -177,8 +218,9 @@ def is_signed_token(text: str) -> bool:
 def _confirmed(text: str) -> list[tuple[int, int, str]]:
     """Structured secrets inside one run of code characters."""
     out = [(m.start(), m.end(), "jwt") for m in _TOKEN.finditer(text) if is_signed_token(m[0])]
+    tokens = Stretches((a, b) for a, b, _ in out)
     for m in _ENCODED.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b, _ in out):
+        if tokens.touch(m.start(), m.end()):
             continue
         if re.fullmatch(r"([0-9a-f]{2}|[0-9A-F]{2})+", m[0]):
             data = bytes.fromhex(m[0])
@@ -191,31 +233,69 @@ def _confirmed(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+class Stretches:
+    """Stretches of a text, those that overlap as one, for questions in logarithmic time."""
+
+    def __init__(self, parts):
+        self.starts, self.ends = [], []
+        for a, b in sorted(parts):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touch(self, a: int, b: int) -> bool:
+        """Whether one overlaps a to b."""
+        i = bisect_right(self.ends, a)
+        return i < len(self.ends) and self.starts[i] < b
+
+    def hold(self, a: int, b: int) -> bool:
+        """Whether a to b lies in one."""
+        i = bisect_right(self.starts, a) - 1
+        return i >= 0 and b <= self.ends[i]
+
+
+class _Places:
+    """The code point at a byte; only a count for each stretch of bytes is held."""
+
+    def __init__(self, data: np.ndarray, width: int = 1 << 14):
+        self.data, self.width = data, width
+        counts = [np.count_nonzero((data[a:a + width] & 0xC0) != 0x80) for a in range(0, len(data), width)]
+        self.before = [0, *accumulate(counts)]
+
+    def __call__(self, i: int) -> int:
+        k = i // self.width
+        return int(self.before[k] + np.count_nonzero((self.data[k * self.width:i] & 0xC0) != 0x80))
+
+
 def find_secrets(text: str) -> list[Span]:
     """All spans of a text in code points, end exclusive, in order of start and kind."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    ascii_only = len(data) == len(text)
-    place = (lambda i: i) if ascii_only else np.concatenate((np.zeros(1, np.int64), np.cumsum((data & 0xC0) != 0x80))).__getitem__
+    place = int if len(data) == len(text) else _Places(data)
     spans = []
     lower = text.lower()
     if any(w in lower for w in ASSIGN_WORDS):
         spans += [Span(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_ASSIGN]
+    del lower
     if "AKIA" in text:
         spans += [Span(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
-    code = _CODE_BYTES[data]
-    spans += [Span(int(place(a)), int(place(b)), "hex") for a, b in _runs(_HEX_BYTES[data], LEAST_HEX)]
-    blocks = []
+    pems = []
     if "-----BEGIN " in text:
         marks = list(_PEM.finditer(text))
         for m, e in zip(marks, marks[1:], strict=False):
             if (m[1], e[1]) == ("BEGIN", "END") and m[2] == e[2] and is_pem_key(text[m.end():e.start()]):
-                blocks.append((m.start(), e.end()))
-    spans += [Span(a, b, "pem") for a, b in blocks]
-    for a, b in _runs(code, LEAST_ENCODED):
-        a, b = int(place(a)), int(place(b))
-        spans += [Span(a + x, a + y, kind) for x, y, kind in _confirmed(text[a:b]) if not any(s <= a + x and a + y <= e for s, e in blocks)]
-    taken = blocks + [(s.start, s.end) for s in spans if s.kind in ("der", "jwt", "ssh")]
-    spans += [Span(a, b, "der") for a, b in _wrapped(text) if not any(s < b and a < e for s, e in taken)]
+                pems.append((m.start(), e.end()))
+    spans += [Span(a, b, "pem") for a, b in pems]
+    inside = Stretches(pems)
+    for low, high in slices(data, _CODE_BYTES):
+        part = data[low:high]
+        spans += [Span(place(low + a), place(low + b), "hex") for a, b in _runs(_HEX_BYTES[part], LEAST_HEX)]
+        for a, b in _runs(_CODE_BYTES[part], LEAST_ENCODED):
+            a, b = place(low + a), place(low + b)
+            spans += [Span(a + x, a + y, kind) for x, y, kind in _confirmed(text[a:b]) if not inside.hold(a + x, a + y)]
+    taken = Stretches([*pems, *((s.start, s.end) for s in spans if s.kind in ("der", "jwt", "ssh"))])
+    spans += [Span(a, b, "der") for a, b in _wrapped(text) if not taken.touch(a, b)]
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 
