@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callgrove.llm.texts import keep_rows, map_rows, small_batches
+from callgrove.llm.texts import SLICE, keep_rows, map_rows, small_batches
 
 UNKNOWN = "und"
 
@@ -56,20 +56,23 @@ class Bundler:
 
     def measure(self, text: str) -> tuple[np.ndarray | None, int]:
         """The bundled vector and the number of trigrams."""
-        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        new = np.unique(codes[self.kind[codes] == 0])
-        self.kind[new] = [1 if chr(c).isalpha() else 2 for c in new.tolist()]
-        codes = np.where(self.kind[codes] == 1, codes, 32).astype(np.int64)
-        codes = np.concatenate(([32], codes, [32]))
-        codes = codes[np.concatenate(([True], (codes[1:] != 32) | (codes[:-1] != 32)))]
-        if len(codes) < 3:
-            return None, 0
-        keys, counts = np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
-        out = np.zeros(self.size)
-        for at in range(0, len(keys), 4096):
-            block = np.stack([self._gram(k) for k in keys[at:at + 4096].tolist()]).astype(np.float32)
-            out += counts[at:at + 4096].astype(np.float32) @ block
-        return out, len(codes) - 2
+        out, n, text = np.zeros(self.size), 0, text.lower()
+        last = np.array([32])  # the codes before the next trigram's last one
+        for at in range(0, len(text) + 1, SLICE):
+            codes = np.frombuffer(text[at:at + SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)
+            new = np.unique(codes[self.kind[codes] == 0])
+            self.kind[new] = [1 if chr(c).isalpha() else 2 for c in new.tolist()]
+            codes = np.concatenate([last, np.where(self.kind[codes] == 1, codes, 32), [32] * (at + SLICE > len(text))]).astype(np.int64)
+            codes = codes[np.concatenate(([True], (codes[1:] != 32) | (codes[:-1] != 32)))]
+            last = codes[-2:]
+            if len(codes) < 3:
+                continue
+            n += len(codes) - 2
+            keys, counts = np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
+            for i in range(0, len(keys), 4096):
+                block = np.stack([self._gram(k) for k in keys[i:i + 4096].tolist()]).astype(np.float32)
+                out += counts[i:i + 4096].astype(np.float32) @ block
+        return (out, n) if n else (None, 0)
 
 
 def _sums(df: DataFrame, text: str, lang: str, size: int, seed: int) -> DataFrame:

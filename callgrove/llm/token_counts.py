@@ -22,7 +22,7 @@ import math
 import regex
 from pyspark.sql import DataFrame
 
-from callgrove.llm.texts import map_rows
+from callgrove.llm.texts import SLICE, map_rows
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Optional space, then letters, digits or other signs; or white space.
@@ -92,17 +92,28 @@ class PrefixTrie(dict):
         return -best[-1][1]
 
 
-def count_tokens(df: DataFrame, vocabulary: dict[bytes, float], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Adds n_pretokens and n_tokens of every whole text, one row per row of ``df``."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+def counter(vocabulary: dict[bytes, float]):
+    """A function that gives the pre-tokens and tokens of an Arrow text; the text is cut into pre-tokens slice by slice."""
+    trie, cut = PrefixTrie(vocabulary), regex.compile(PRE_TOKENS)
 
-    def start():
-        trie, cut = PrefixTrie(shared.value), regex.compile(PRE_TOKENS)
+    def judge(value):
+        text, at, end, n, tokens = value.as_py() or "", 0, 0, 0, 0
+        while at < len(text):
+            end = min(max(end + SLICE, 2 * end - at), len(text))
+            words = cut.findall(text, at, end)
+            if end < len(text):
+                if len(words) == 1:
+                    continue
+                end -= len(words.pop())  # it may go on
+            n += len(words)
+            tokens += sum(map(trie.__getitem__, words))
+            at = end
+        return n, tokens
 
-        def judge(value):
-            words = cut.findall(value.as_py() or "")
-            return len(words), sum(map(trie.__getitem__, words))
+    return judge
 
-        return judge
 
-    return map_rows(df, list(keep), text, {"n_pretokens": "bigint", "n_tokens": "bigint"}, start)
+def count_tokens(df: DataFrame, vocabulary: dict[bytes, float], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Adds n_pretokens and n_tokens of every whole text, one row per row of ``df``."""
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    return map_rows(df, list(keep), text, {"n_pretokens": "bigint", "n_tokens": "bigint"}, lambda: counter(shared.value))

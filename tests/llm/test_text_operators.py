@@ -4,11 +4,15 @@ import base64
 import json
 import math
 import os
+import random
 import re
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from callgrove.llm import language_id, license_scan, secret_scan, token_counts
+from callgrove.llm import language_id, license_scan, secret_scan, texts, token_counts
 from callgrove.llm.queries import R
 from tests.llm.conftest import documents, DOCUMENTS, prose
 
@@ -279,3 +283,50 @@ def test_held_out_accuracy(spark):
 
     assert rows and all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows)
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
+
+
+# long and repetitive texts
+
+def test_key_like_lines_are_read_once():
+    line = base64.b64encode(bytes([0x30, 0x83, 0x7F, 0xFF, 0xFF, 0x02]) + bytes(42)).decode()
+    exact = lambda n: base64.b64encode(bytes([0x30, 0x83]) + (48 * n - 5).to_bytes(3, "big") + b"\x02\x01\x00" + bytes([0x81] * 40)).decode()
+    assert line[0] == "M" and len(line) == 64 == len(exact(3))
+    key = "\n".join(re.findall(".{1,64}", b64(RSA)))
+    for text in ((line + "\n") * 20_000 + key, "\n".join(exact(n) for n in range(2000, 0, -1)) + "\n \n!" + key, " ".join(f"{pem(RSA)} {JWT}" for _ in range(400)), f"{JWT}=" * 800):
+        began = time.process_time()
+        spans = [s for s in secret_scan.find_secrets(text) if s.kind not in secret_scan.BASE_KINDS]
+        assert time.process_time() - began < 30
+        if text.endswith(key):
+            assert [(s.kind, text[s.start:s.end]) for s in spans] == [("der", key)]
+        else:
+            assert len(spans) == 800
+
+
+def test_bytes_are_decoded_where_they_are_asked_for():
+    data = bytes(random.Random(1).randbytes(100))
+    for start in range(5):
+        lazy = secret_scan._Bytes("A" * start + b64(data).rstrip("=") + "BBBB", start, len(data))
+        assert len(lazy) == 100 and all(lazy[i] == data[i] for i in range(100))
+        assert all(lazy[a:b] == data[a:b] for a in range(100) for b in range(a, 104))
+    for cut in range(len(RSA)):
+        changed = RSA[:cut] + bytes([RSA[cut] ^ 1]) + RSA[cut + 1:]
+        assert secret_scan.is_der_key(secret_scan._Bytes(b64(changed).rstrip("="), 0, len(changed))) == secret_scan.is_der_key(changed)
+
+
+def test_slices_change_nothing(monkeypatch):
+    text = ("Straße ÄÖ " + prose(3, 300) + " 漢字\n\n  12,5 " + "x" * 90 + " " + RSA.hex() + " token=abcdefgh " + JWT) * 3
+    whole = language_id.Bundler(64).measure(text), secret_scan.find_secrets(text)
+    monkeypatch.setattr(language_id, "SLICE", 17)
+    monkeypatch.setattr(texts, "SLICE", 50)
+    sliced = language_id.Bundler(64).measure(text), secret_scan.find_secrets(text)
+    assert whole[0][1] == sliced[0][1] and np.array_equal(whole[0][0], sliced[0][0]) and whole[1] == sliced[1]
+    assert language_id.Bundler(64).measure("1 2") == (None, 0) == language_id.Bundler(64).measure("")
+
+
+def test_tokens_are_counted_alike_in_slices(monkeypatch):
+    count = token_counts.counter(token_counts.read_vocabulary())
+    many = ["Straße 12,5  " + prose(3, 200) + "\n\n " + "x" * 90 + " " * 40 + "!?" * 30, "", " ", "a" * 100, "a " * 50]
+    whole = [count(pa.scalar(t)) for t in many]
+    for size in (1, 7, 60):
+        monkeypatch.setattr(token_counts, "SLICE", size)
+        assert [count(pa.scalar(t)) for t in many] == whole
