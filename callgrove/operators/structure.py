@@ -2,6 +2,10 @@
 
 Nodes carry ``id, file, start, end``.  Containment is decided by a running extreme over the
 nodes of a file in source order, so no pair of nodes is ever formed.
+
+A relation may be given a stop rule, as the nodes that match it: the search ends at the first of them, which may
+itself be the one sought.  For containment the ranges must be nested, as those of a syntax tree are, and hold at
+least one character.
 """
 
 from __future__ import annotations
@@ -73,17 +77,38 @@ def _from_merged(a: DataFrame, hits: DataFrame) -> DataFrame:
     return a.join(hits.filter("mine").select("id"), "id", "left_semi")
 
 
-def rel_inside(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Nodes of ``a`` whose range lies properly within a node of ``b`` of the same file."""
-    rows = _merged(a, b).withColumn("back", -F.col("end")).withColumn("last", ~F.col("mine"))
+def _among(df: DataFrame, stop: DataFrame, own: bool) -> DataFrame:
+    """``df`` with its file and the number of stops around a node in place of the file.
+
+    A node and one around it have the same number if no stop lies between them; ``own`` counts stops of a node's
+    own range, too.  A stop begins to count where it starts and no longer does where it ends, so the number is a
+    running sum over the file.
+    """
+    at = lambda rows, pos, back, turn, mine, step: rows.select(
+        "id", "file", "start", "end", F.col(pos).alias("pos"), back.alias("back"), F.lit(turn).alias("turn"), F.lit(mine).alias("mine"), F.lit(step).alias("step"))
+    stop = stop.filter("start < end")
+    rows = at(df, "start", -F.col("end"), 2 if own else 0, True, 0).unionByName(at(stop, "start", -F.col("end"), 1, False, 1))
+    first = F.lit(None).cast(rows.schema["back"].dataType)  # what ends at a place does so before others start there
+    rows = rows.unionByName(at(stop, "end", first, 1, False, -1))
+    seen = running(rows, ["file"], ["pos", "back", "turn", "step", "id"], F.floor(F.col("pos") / SPAN), F.col("step"), "around", "sum")
+    return seen.filter("mine").select("id", F.struct("file", "around").alias("file"), "start", "end")
+
+
+def _until(a: DataFrame, b: DataFrame, stop: DataFrame | None, own: bool) -> tuple[DataFrame, DataFrame]:
+    return (a, b) if stop is None else (_among(a, stop, own), _among(b, stop, not own))
+
+
+def rel_inside(a: DataFrame, b: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """Nodes of ``a`` whose range lies properly within a node of ``b`` of the same file, with no node of ``stop`` between them."""
+    rows = _merged(*_until(a, b, stop, False)).withColumn("back", -F.col("end")).withColumn("last", ~F.col("mine"))
     seen = running(rows, ["file"], ["start", "back", "last", "id"], F.floor(F.col("start") / SPAN),
                    F.when(~F.col("mine"), F.col("end")), "reach", "max")
     return _from_merged(a, seen.filter(F.col("reach") >= F.col("end")))
 
 
-def rel_has(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Nodes of ``a`` that properly contain a node of ``b``."""
-    rows = _merged(a, b).withColumn("back", -F.col("start")).withColumn("last", ~F.col("mine"))
+def rel_has(a: DataFrame, b: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """Nodes of ``a`` that properly contain a node of ``b``, with no node of ``stop`` between them."""
+    rows = _merged(*_until(a, b, stop, True)).withColumn("back", -F.col("start")).withColumn("last", ~F.col("mine"))
     seen = running(rows, ["file"], ["back", "end", "last", "id"], -F.floor(F.col("start") / SPAN),
                    F.when(~F.col("mine"), F.col("end")), "reach", "min")
     return _from_merged(a, seen.filter(F.col("reach") <= F.col("end")))
@@ -101,13 +126,30 @@ def rel_has_neighbor(a: DataFrame, b: DataFrame, field: str | None = None) -> Da
     return a.join(b.select(F.col("parent").alias("__up")), F.col("id") == F.col("__up"), "left_semi")
 
 
-def rel_follows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Nodes of ``a`` that start at or after the end of some node of ``b``."""
+def _behind(a: DataFrame, b: DataFrame, stop: DataFrame) -> DataFrame:
+    """Ids of nodes of ``a`` behind a node of ``b`` with no stop between: the last end of a ``b`` lies behind the last start of a stop."""
+    none = F.lit(None).cast(b.schema["end"].dataType)
+    at = lambda df, pos, edge, begun, mine: df.select("id", "file", F.col(pos).alias("pos"), edge.alias("edge"), begun.alias("begun"), F.lit(mine).alias("mine"))
+    rows = at(a, "start", none, none, True).unionByName(at(b, "end", F.col("end"), none, False)).unionByName(at(stop, "end", none, F.col("start"), False))
+    chunk = F.floor(F.col("pos") / SPAN)
+    for value, name in (("edge", "last_end"), ("begun", "last_start")):
+        rows = running(rows, ["file"], ["pos", "mine", "id", "edge", "begun"], chunk, F.col(value), name, "max")
+    return rows.filter("mine AND last_end IS NOT NULL AND NOT coalesce(last_start >= last_end, false)").select("id")
+
+
+def rel_follows(a: DataFrame, b: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """Nodes of ``a`` that start at or after the end of some node of ``b``, with no node of ``stop`` between them."""
+    if stop is not None:
+        return a.join(_behind(a, b, stop), "id", "left_semi")
     first = b.groupBy("file").agg(F.min("end").alias("edge"))
     return a.join(first, "file").filter(F.col("start") >= F.col("edge")).drop("edge")
 
 
-def rel_precedes(a: DataFrame, b: DataFrame) -> DataFrame:
+def rel_precedes(a: DataFrame, b: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """Nodes of ``a`` that end at or before the start of some node of ``b``, with no node of ``stop`` between them."""
+    if stop is not None:
+        turned = [df.select("id", "file", (-F.col("end")).alias("start"), (-F.col("start")).alias("end")) for df in (a, b, stop)]
+        return a.join(_behind(*turned), "id", "left_semi")
     last = b.groupBy("file").agg(F.max("start").alias("edge"))
     return a.join(last, "file").filter(F.col("end") <= F.col("edge")).drop("edge")
 

@@ -10,6 +10,7 @@ from callgrove.constants import HIGH_RISK_WORDS
 from callgrove.functions import java
 from callgrove.operators import flow, profile, search, structure
 from callgrove.plans.scratch import scratch_root
+from callgrove.plans.scratch import materialize
 from callgrove.sources import code
 from callgrove.workload import views as V
 from callgrove.workload.registry import Registry
@@ -314,6 +315,44 @@ _relation("j23_rel_follows", 'b."end" <= a.start', structure.rel_follows)
 _relation("j23_rel_precedes", 'b.start >= a."end"', structure.rel_precedes)
 
 
+# A syntax tree for each customer: blocks of orders, orders, lines and what the lines hold.
+_NESTED = """lines AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS flag, max(l_linestatus) AS status FROM lineitem GROUP BY 1, 2),
+  nested AS (SELECT DISTINCT concat('g', o_custkey, '-', o_orderkey // 4000) AS id, o_custkey AS file, o_orderkey // 4000 * 400000 AS start, (o_orderkey // 4000 + 1) * 400000 AS "end", concat('G', o_orderkey // 4000 % 3) AS kind FROM orders
+  UNION ALL SELECT concat('o', o_orderkey), o_custkey, o_orderkey * 100, o_orderkey * 100 + 95, o_orderstatus FROM orders
+  UNION ALL SELECT concat('l', l_orderkey, '-', l_linenumber), o_custkey, l_orderkey * 100 + l_linenumber * 10, l_orderkey * 100 + l_linenumber * 10 + 9, concat('L', flag) FROM lines JOIN orders ON o_orderkey = l_orderkey
+  UNION ALL SELECT concat('p', l_orderkey, '-', l_linenumber), o_custkey, l_orderkey * 100 + l_linenumber * 10 + 2, l_orderkey * 100 + l_linenumber * 10 + 5, concat('P', status) FROM lines JOIN orders ON o_orderkey = l_orderkey)"""
+
+
+def _nested(spark, d):
+    o = V.table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("file"), "o_orderstatus", F.expr("o_orderkey DIV 4000").alias("g"))
+    lines = V.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"))
+    lines = lines.join(o, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("at", F.expr("l_orderkey * 100 + l_linenumber * 10"))
+    shape = lambda df, name, start, end, kind: df.selectExpr(f"concat({name}) AS id", "file", f"{start} AS start", f"{end} AS end", f"{kind} AS kind")
+    line = "l_orderkey, '-', l_linenumber"
+    return (shape(o.select("file", "g").distinct(), "'g', file, '-', g", "g * 400000", "(g + 1) * 400000", "concat('G', g % 3)")
+            .unionAll(shape(o, "'o', o_orderkey", "o_orderkey * 100", "o_orderkey * 100 + 95", "o_orderstatus"))
+            .unionAll(shape(lines, f"'l', {line}", "at", "at + 9", "concat('L', flag)")).unionAll(shape(lines, f"'p', {line}", "at + 2", "at + 5", "concat('P', status)")))
+
+
+def _stopped(name, between, relation, fn, a, b, stop):
+    """A relation that ends at nodes of the kinds ``stop``, against a search of all pairs."""
+    sql = f"""WITH {_NESTED}, a AS (SELECT * FROM nested WHERE kind IN ({a})), b AS (SELECT * FROM nested WHERE kind IN ({b})), s AS (SELECT * FROM nested WHERE kind IN ({stop}))
+  SELECT a.id, a.file, a.kind FROM a WHERE EXISTS (SELECT 1 FROM b WHERE b.file = a.file AND {relation}
+    AND NOT EXISTS (SELECT 1 FROM s WHERE s.file = a.file AND {between}))"""
+
+    @R.query(name, sql)
+    def _(spark, d):
+        tree = materialize(_nested(spark, d), "tree")
+        return fn(*(tree.filter(f"kind IN ({kinds})") for kinds in (a, b, stop))).select("id", "file", "kind")
+
+
+_WITHIN = lambda x, y: f'{y}.start <= {x}.start AND {y}."end" >= {x}."end" AND ({y}.start < {x}.start OR {y}."end" > {x}."end")'
+_stopped("j23_stop_inside", f"{_WITHIN('a', 's')} AND {_WITHIN('s', 'b')}", _WITHIN("a", "b"), structure.rel_inside, "'PO', 'PF', 'LN'", "'G0', 'O'", "'LA', 'F'")
+_stopped("j23_stop_has", f"{_WITHIN('s', 'a')} AND {_WITHIN('b', 's')}", _WITHIN("b", "a"), structure.rel_has, "'G0', 'G1', 'G2', 'O', 'P'", "'PO', 'LR'", "'P', 'LA', 'LN'")
+_stopped("j23_stop_follows", 's.start >= b."end" AND s."end" <= a.start', 'b."end" <= a.start', structure.rel_follows, "'LA', 'O'", "'LR', 'F'", "'P', 'PO'")
+_stopped("j23_stop_precedes", 's.start >= a."end" AND s."end" <= b.start', 'b.start >= a."end"', structure.rel_precedes, "'LA', 'O'", "'LR', 'F'", "'P', 'PO'")
+
+
 _TREE = """tree AS (SELECT concat('c', c_custkey) AS id, concat('n', c_nationkey) AS parent, c_mktsegment AS kind, CASE WHEN c_acctbal < 0 THEN 'body' ELSE 'name' END AS field FROM customer
   UNION ALL SELECT concat('o', o_orderkey), concat('c', o_custkey), o_orderstatus, CASE WHEN o_totalprice > 200000 THEN 'body' ELSE 'name' END FROM orders)"""
 
