@@ -18,6 +18,7 @@ from callgrove.sources import code, logs as log_sources, records
 from callgrove.sources.graph import Graph, read_graph, write_graph
 from callgrove.streaming import jobs
 from callgrove.workload import views as V
+from callgrove.workload.code_queries import ENDPOINTS_SQL, flat
 from callgrove.workload.registry import Registry
 
 R = Registry()
@@ -410,6 +411,13 @@ def _(spark, d):
     return spark.sql("SELECT s.file, e.kind, e.args, e.path FROM {sources} AS s, LATERAL mapped_endpoints(s.text) AS e", sources=V.sources(spark, d).select("file", "text"))
 
 
+@R.query("x2_extract_endpoints", f"WITH {ENDPOINTS_SQL} SELECT * FROM endpoints")
+def _(spark, d):
+    """The table function must give what the operator does, so both are held against the same SQL."""
+    sqlf.register_extract_endpoints(spark)
+    return flat(spark.sql("SELECT s.file, e.* FROM {sources} AS s, LATERAL extract_endpoints(s.text) AS e", sources=code.controllers(V.sources(spark, d)).select("file", "text")))
+
+
 # --- streaming --------------------------------------------------------------------------------------
 
 def _stream(spark, d, name="events"):
