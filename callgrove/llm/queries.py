@@ -100,7 +100,8 @@ def echoed(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("__words", words).withColumn("__n", F.size("__words")).withColumn("__g", F.floor(h / 10))
     rows = rows.withColumn("__a", F.when(F.col("__n") > 0, F.col("__g") % F.col("__n")).cast("int"))
     rows = rows.withColumn("__p", F.expr("CAST(1 + (__n - __a) DIV (3 + __g % 8) AS INT)"))
-    text = F.expr("array_join(transform(sequence(0, __n - 1), i -> __words[CASE WHEN i < __a THEN i ELSE __a + (i - __a) % __p END]), ' ')")
+    again = "flatten(array_repeat(slice(__words, __a + 1, __p), CAST(ceil((__n - __a) / __p) AS INT)))"
+    text = F.expr(f"array_join(concat(slice(__words, 1, __a), slice({again}, 1, __n - __a)), ' ')")
     return rows.withColumn("text", F.when(F.col("__n") > 0, text).otherwise(F.col("text"))).select(*docs.columns)
 
 
