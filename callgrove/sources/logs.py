@@ -2,27 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from callgrove.plans.scratch import materialize
 from callgrove.schemas import schema
 
 
 def read_jsonl(spark: SparkSession, path: str, shape: T.StructType, line_numbers: bool = False, closed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Good and malformed lines of JSONL files; blank lines are skipped.  ``closed`` adds the keys that ``shape`` lacks as unknown_keys.
 
-    Large logs are read line by line in splittable blocks, and a warning names the file and shows
-    the line.  ``line_numbers=True`` reads each file as one text to number its lines: for small logs.
+    Logs are read line by line in splittable blocks, and a warning names the file and shows the line.
+    ``line_numbers=True`` also numbers the lines, at the price of reading the files twice.
     """
     if line_numbers:
-        return parse_jsonl(_whole(spark, path), shape)
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.lit(None).cast("int").alias("line_no"), F.col("value").alias("line"))
+        lines = numbered_lines(spark, path)
+    else:
+        lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.lit(None).cast("int").alias("line_no"), F.col("value").alias("line"))
     return _parse_lines(lines.filter(F.trim("line") != ""), shape, closed)
 
 
-def _whole(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+#: Blocks of which the places are sent to all tasks: at most some 50 MB.
+MOST_BLOCKS = 200_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 1) and line of text files of any size.
+
+    The lines of each block are counted first; a line's number is the lines of earlier blocks of its file plus its place
+    in its own.  Both passes see the same blocks, and within a task lines come in the order of the block, so neither a
+    file nor a block is gathered or sorted.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+        F.regexp_replace("value", "\r$", "").alias("line"))
+    blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = materialize(blocks.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift")), "blocks")
+    small = blocks.count() <= MOST_BLOCKS
+    rows = raw.join(F.broadcast(blocks) if small else blocks, ["file", "block"])
+    return rows.select("file", (F.col("at") + F.col("shift")).cast("int").alias("line_no"), "line")
 
 
 def parse_jsonl(texts: DataFrame, shape: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -71,8 +91,9 @@ def parse_chat(texts: DataFrame) -> DataFrame:
 
 
 def read_chat(spark: SparkSession, path: str) -> DataFrame:
-    """Chat transcripts, one file per conversation; the line number gives the order."""
-    return parse_chat(_whole(spark, path))
+    """Chat transcripts, one file per conversation of any length; the line number (from 0) gives the order."""
+    lines = numbered_lines(spark, path).filter(F.trim("line") != "")
+    return lines.select("file", (F.col("line_no") - 1).alias("line_no"), *chat_fields(F.col("line"))).filter("valid").drop("valid")
 
 
 def typed_sessions(raw: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from callgrove.functions import text, verdicts
 from callgrove.operators import logs, reconcile
 from callgrove.operators.profile import kind_counts, profile
 from callgrove.operators.prune import applicable_types
-from callgrove.plans.scratch import scratch_root
+from callgrove.plans.scratch import materialize, scratch_root
 from callgrove.schemas import schema
 from callgrove.sources import code, logs as log_sources, records
 from callgrove.sources.graph import Graph, read_graph, write_graph
@@ -124,6 +124,44 @@ def _(spark, d):
         bad.select("file", F.lit("bad").alias("side"), "line_no", F.col("warning").alias("detail")))
 
 
+_FILES = "SELECT *, o_orderkey // 1000 % 6 AS part, row_number() OVER (PARTITION BY o_orderkey // 1000 % 6 ORDER BY o_orderkey) AS r FROM orders"
+
+
+def _in_blocks(spark, rows, read):
+    """``rows(part, o_orderkey, value)`` as a text file for each part, in order, and what ``read`` makes of them in blocks of 64 kB."""
+    path = f"{scratch_root(spark)}/lines-{uuid4().hex}"
+    rows.repartition("part").sortWithinPartitions("part", "o_orderkey").select("part", "value").write.partitionBy("part").text(path)
+    name = "spark.sql.files.maxPartitionBytes"
+    given = spark.conf.get(name)
+    spark.conf.set(name, "64k")
+    try:
+        return materialize(read(path).withColumn("file", F.regexp_extract("file", "part=(\\d+)", 1)), "numbered")
+    finally:
+        spark.conf.set(name, given)
+
+
+@R.query("s2_line_numbers", f"""WITH f AS ({_FILES}) SELECT CAST(part AS VARCHAR) AS file, CAST(r * 2 - 1 AS INTEGER) AS line_no, concat('c', o_custkey) AS detail FROM f WHERE o_orderstatus <> 'P' UNION ALL
+  SELECT CAST(part AS VARCHAR), CAST(r * 2 - 1 AS INTEGER), 'malformed' FROM f WHERE o_orderstatus = 'P'""")
+def _(spark, d):
+    """Every second line is blank; lines of some orders are cut off."""
+    good = F.to_json(F.struct(F.concat(F.lit("c"), S("o_custkey")).alias("chain_id"), F.lit(90).alias("score")))
+    line = F.concat(F.when(F.col("o_orderstatus") == "P", F.substring(good, 1, 9)).otherwise(good), F.lit("\r\n"))
+    rows = V.table(spark, d, "orders").select(F.expr("o_orderkey DIV 1000 % 6 AS part"), "o_orderkey", line.alias("value"))
+
+    def read(path):
+        ok, bad = log_sources.read_jsonl(spark, path, schema("finding"), line_numbers=True)
+        return ok.select("file", "line_no", F.col("chain_id").alias("detail")).unionAll(bad.select("file", "line_no", F.lit("malformed")))
+
+    return _in_blocks(spark, rows, read)
+
+
+@R.query("s11_read_chat", f"""WITH f AS ({_FILES}) SELECT CAST(part AS VARCHAR) AS file, CAST(r - 1 AS INTEGER) AS line_no, lower(o_orderpriority) AS role, concat('order ', o_orderkey) AS content FROM f WHERE o_orderstatus <> 'P'""")
+def _(spark, d):
+    said = F.to_json(F.struct(F.lower("o_orderpriority").alias("role"), F.concat(F.lit("order "), S("o_orderkey")).alias("content")))
+    rows = V.table(spark, d, "orders").select(F.expr("o_orderkey DIV 1000 % 6 AS part"), "o_orderkey", F.when(F.col("o_orderstatus") == "P", "{broken").otherwise(said).alias("value"))
+    return _in_blocks(spark, rows, lambda path: log_sources.read_chat(spark, path))
+
+
 @R.query("s12_read_pom", "SELECT c_custkey, concat('com.', lower(c_mktsegment)) AS group_id, concat('app', c_custkey) AS artifact_id FROM customer")
 def _(spark, d):
     pom = F.concat(F.lit("<parent/><groupId> com."), F.lower("c_mktsegment"), F.lit(" </groupId>\n<artifactId>app"), S("c_custkey"), F.lit("</artifactId><version>"))
