@@ -49,11 +49,14 @@ def pattern_hits(text: Column, patterns: Mapping[str, list[str]]) -> dict[str, C
 
 def impact_evidence(text: Column) -> Column:
     """Matches and first example per impact class, and how many classes have none."""
-    hits = pattern_hits(text, IMPACT_PATTERNS)  # the counts decide the rest, so each class is searched once
+    hits = F.array(F.struct(*[h.alias(k) for k, h in pattern_hits(text, IMPACT_PATTERNS).items()]))
     first = lambda label: F.coalesce(*[F.nullif(F.regexp_extract(text, f"({r})", 1), F.lit("")) for r in IMPACT_PATTERNS[label]])
-    example = lambda label: F.when(hits[label] > 0, first(label))
-    empty = sum((F.when(h > 0, 0).otherwise(1) for h in hits.values()), F.lit(0))
-    return F.struct(*[h.alias(f"n_{k}") for k, h in hits.items()], *[example(k).alias(f"eg_{k}") for k in hits], empty.alias("n_empty"))
+
+    def told(h: Column) -> Column:  # the counts are bound here, so they are made once however often they are used
+        empty = sum((F.when(h[k] > 0, 0).otherwise(1) for k in IMPACT_PATTERNS), F.lit(0))
+        return F.struct(*[h[k].alias(f"n_{k}") for k in IMPACT_PATTERNS], *[F.when(h[k] > 0, first(k)).alias(f"eg_{k}") for k in IMPACT_PATTERNS], empty.alias("n_empty"))
+
+    return F.get(F.transform(hits, told), F.lit(0))
 
 
 def leaks(text: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from callgrove.constants import SANITIZERS
 from callgrove.plans.chunked import running
+from callgrove.plans.scratch import materialize_measured
 
 
 def _any(text: Column, patterns: Sequence[str]) -> Column:
@@ -97,9 +98,58 @@ def sanitizer_state(chain: DataFrame, order: Sequence[str]) -> DataFrame:
     return out.withColumn("clean", F.col("seen") == 1).drop("seen")
 
 
+GRAM = 4
+_GAP = "\x00"
+
+
+def required_literal(pattern: Column) -> Column:
+    """The longest text, lower-cased, that every match of a pattern holds; null where none of ``GRAM`` characters can be told.
+
+    Everything that may be absent or stand for several characters becomes a gap: escapes, classes, groups with what they
+    hold, characters that are optional, and those beyond ASCII, whose lower case depends on what stands beside them.
+    """
+    left = F.regexp_replace(pattern, r"\\[pP]\{[^}]*\}|\\.", _GAP)
+    left = F.regexp_replace(left, r"\[[^\]]*\]", _GAP)
+    for _ in range(4):
+        left = F.regexp_replace(left, r"\([^()]*\)", _GAP)
+    told = ~pattern.rlike(r"\\[QEux0c]|\(\?[a-zA-Z]*x|\[\^?\]|\[[^\]]*\[|&&") & ~left.rlike(r"[()|\[\]]")
+    left = F.regexp_replace(left, r"[^\x00](?:[*?]|\{[^}]*\})[?+]?", _GAP)
+    left = F.regexp_replace(left, r"([^\x00])\+[?+]?", f"$1{_GAP}")
+    parts = F.split(F.regexp_replace(left, r"[*?+.^$]|\{[^}]*\}|[^\x20-\x7E]", _GAP), _GAP)
+    longest = F.array_max(F.transform(parts, lambda x: F.struct(F.length(x).alias("n"), F.lower(x).alias("x"))))
+    return F.when(told & (longest["n"] >= GRAM), longest["x"])
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), 1))
+
+
+#: Rule tables that take less memory are sent to all tasks.
+SMALL_RULES = 64 << 20
+
+
 def match_rules(df: DataFrame, rules: DataFrame) -> DataFrame:
     """User rules ``(kind, pattern, label)`` against rows of the same kind; one output row per hit.
 
-    The kind is an equi key, so Spark picks the join by the size of the rule table.
+    A rule is filed under one run of ``GRAM`` characters of a text that its matches must hold, the one that fewest
+    rules hold.  Texts meet rules by an equi join of the runs in them, and only these candidates are tested by
+    pattern.  The rule table is measured while it is written: a small one is broadcast and no text moves; for a large
+    one runs travel with a digest of their text.  Rules without such a run meet all rows of their kind.
     """
-    return df.join(rules, "kind").filter(F.rlike("text", F.col("pattern"))).drop("pattern")
+    names = rules.columns
+    rules = rules.groupBy(*names).agg(F.count(F.lit(1)).cast("string").alias("__n"))
+    rules = rules.withColumn("__rule", F.struct(*names, "__n")).withColumn("__literal", required_literal(F.col("pattern")))
+    filed = rules.where("__literal IS NOT NULL").select("__rule", F.explode(_grams(F.col("__literal"))).alias("__gram"))
+    shared = filed.groupBy("__gram").agg(F.count(F.lit(1)).alias("__shared"))
+    filed = filed.join(shared, "__gram").groupBy("__rule").agg(F.min_by("__gram", F.struct("__shared", "__gram")).alias("__gram")).select("__rule.*", "__gram")
+    filed, size = materialize_measured(filed, "rules")
+    grams = F.explode(_grams(F.lower("text"))).alias("__gram")
+    if size < SMALL_RULES:
+        named = df.select("*", grams).join(F.broadcast(filed), ["kind", "__gram"])
+    else:
+        keyed = df.withColumn("__key", F.md5(F.concat("kind", F.lit("\x00"), "text").cast("binary")))
+        met = keyed.select("__key", "kind", grams).distinct().join(filed, ["kind", "__gram"]).drop("kind", "__gram")
+        named = keyed.join(met, "__key")
+    bare = df.join(rules.where("__literal IS NULL").drop("__rule", "__literal"), "kind")
+    hits = named.select(*bare.columns).unionAll(bare).filter(F.rlike("text", F.col("pattern")))
+    return hits.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).drop("pattern", "__n")

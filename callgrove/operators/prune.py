@@ -111,12 +111,21 @@ def rule_stats(log: DataFrame, truth: DataFrame, sample: int = PRUNE_SAMPLE) ->
 def filter_coverage(endpoints: DataFrame, filters: DataFrame) -> DataFrame:
     """Number of URL filters (``/api/**`` patterns) over each endpoint.
 
-    Each path offers its folder prefixes and each pattern its fixed folder, so candidates come from
-    an equi join; only they are tested against the pattern.
+    A pattern is filed under what a path must have to fit: its fixed folder; with a wildcard at the root a whole segment
+    without wildcards, else the ending of its last one, else the character that a segment begins with.  Paths
+    offer all of these, so candidates come from an equi join and only they are tested against the pattern.
+    Patterns of wildcards alone meet all paths, by salted keys.
     """
+    salts = 64
     parts = F.split("path", "/")
-    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    offered = endpoints.select("endpoint_id", "path", F.explode(ups).alias("folder"))
+    key = lambda kind, value: F.concat(F.lit(f"{kind}:"), value)
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: key("f", F.array_join(F.slice(parts, 1, n), "/")))
+    named = F.filter(parts, lambda s: s != "")
+    ending = key("e", F.regexp_extract("path", r"\.[^./]*$", 0))
+    salt = key("a", F.pmod(F.xxhash64("endpoint_id", "path"), F.lit(salts)).cast("string"))
+    offers = F.concat(ups, F.transform(named, lambda s: key("s", s)), F.transform(named, lambda s: key("b", F.left(s, F.lit(1)))), F.array(ending, salt))
+    offered = endpoints.select("endpoint_id", "path", F.explode(F.array_distinct(offers)).alias("key"))
+
     regex = F.regexp_replace("pattern", r"([.+()\[\]{}^$|\\])", r"\\$1")
     # "/**" at the end and "**/" stand for no folder as well
     for token, mark in ((r"/\*\*$", "\u0001"), (r"\*\*/", "\u0003"), (r"\*\*", "\u0002")):
@@ -124,9 +133,15 @@ def filter_coverage(endpoints: DataFrame, filters: DataFrame) -> DataFrame:
     regex = F.regexp_replace(F.regexp_replace(regex, r"\*", "[^/]*"), r"\?", "[^/]")
     for mark, meaning in (("\u0001", "(?:/.*)?"), ("\u0003", "(?:.*/)?"), ("\u0002", ".*")):
         regex = F.regexp_replace(regex, mark, meaning)
-    rules = filters.select(F.regexp_extract("pattern", r"^([^*?]*)/", 1).alias("folder"),
-                           F.concat(F.lit("^"), regex, F.lit("$")).alias("regex")).distinct()
-    hits = offered.join(rules, "folder").filter(F.rlike("path", F.col("regex"))).groupBy("endpoint_id").agg(F.count(F.lit(1)).alias("n"))
+    found = lambda p, i: F.nullif(F.regexp_extract("pattern", p, i), F.lit(""))
+    whole = F.array_max(F.transform(F.filter(F.split("pattern", "/"), lambda s: (s != "") & ~s.rlike("[*?]")), lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
+    options = [found(r"^([^*?]*)/", 1), whole, found(r"(\.[^*?./]+)$", 1), found(r"(?:^|/)([^*?/])", 1)]
+    every = F.transform(F.sequence(F.lit(0), F.lit(salts - 1)), lambda n: key("a", n.cast("string")))
+    place = every
+    for kind, value in reversed(list(zip("fseb", options, strict=True))):
+        place = F.when(value.isNotNull(), F.array(key(kind, value))).otherwise(place)
+    rules = filters.select(F.concat(F.lit("^"), regex, F.lit("$")).alias("regex"), F.explode(place).alias("key")).distinct()
+    hits = offered.join(rules, "key").filter(F.rlike("path", F.col("regex"))).groupBy("endpoint_id").agg(F.count(F.lit(1)).alias("n"))
     return endpoints.join(hits, "endpoint_id", "left").withColumn("n_filters", F.coalesce("n", F.lit(0))).drop("n").withColumn(
         "covered", F.col("n_filters") > 0)
 

@@ -20,7 +20,9 @@ def tokens(text: Column) -> Column:
 
 
 def _occurrences(term: str) -> Column:
-    return F.size(F.filter("__toks", lambda t: t == term))
+    """How often a term stands in the lower-cased text as a whole token."""
+    found = F.regexp_count("__low", F.lit(rf"(?<![\p{{L}}\p{{N}}]){term}(?![\p{{L}}\p{{N}}])"))
+    return F.when(F.contains("__low", F.lit(term)), found).otherwise(0)
 
 
 def search(df: DataFrame, query: str, columns: Sequence[str], key: str, k: int | None = 10, match: str = "all",
@@ -34,12 +36,9 @@ def search(df: DataFrame, query: str, columns: Sequence[str], key: str, k: int |
     terms = list(dict.fromkeys(t for t in re.split(r"[\W_]+", query.lower()) if t))
     if not terms:
         raise ValueError("the query holds no term")
-    toks = tokens(F.concat_ws(" ", *columns))
-    rows = df.withColumn("__toks", toks)
-    counted = rows.withColumn("__len", F.size("__toks"))
-    for i, term in enumerate(terms):
-        counted = counted.withColumn(f"__tf{i}", _occurrences(term))
-    counted = counted.drop("__toks")
+    rows = df.withColumn("__low", F.lower(F.concat_ws(" ", *columns)))
+    counts = {"__len": F.regexp_count("__low", F.lit(r"[\p{L}\p{N}]+"))} | {f"__tf{i}": _occurrences(t) for i, t in enumerate(terms)}
+    counted = rows.withColumns(counts).drop("__low")
     stats = counted.agg(F.struct(
         F.count(F.lit(1)).alias("n"), F.avg("__len").alias("avg"),
         *[F.count_if(F.col(f"__tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).alias("s")).scalar()
@@ -60,15 +59,14 @@ def search(df: DataFrame, query: str, columns: Sequence[str], key: str, k: int |
 
 
 def explore(df: DataFrame, query: str, columns: Sequence[str], key: str, file: str, max_files: int = 12) -> DataFrame:
-    """All hits of the best ``max_files`` files: best score, number and list of hits, best file first.
+    """All hits of the best ``max_files`` files, a row for each: file, its best score and number of hits, key and score.
 
-    Files are ranked by counts and maxima; only the hits of the chosen files are listed.
+    Files are ranked by counts and maxima, so no file is gathered.
     """
     hits = search(df, query, columns, key, None, match="any").select(F.col(file).alias("file"), F.col(key).alias("key"), "score")
     hits = materialize(hits, "hits")
     best = hits.groupBy("file").agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("n_symbols")).orderBy(F.desc("best"), "file").limit(max_files)
-    listed = hits.join(best, "file").groupBy("file", "best", "n_symbols").agg(F.array_sort(F.collect_list(F.struct(-F.col("score"), "key"))).alias("l"))
-    return listed.select("file", "best", "n_symbols", F.array_join(F.transform("l", lambda s: s["key"].cast("string")), ",").alias("symbols"))
+    return hits.join(best, "file").select("file", "best", "n_symbols", "key", "score")
 
 
 @dataclass(frozen=True)

@@ -449,6 +449,7 @@ def _(spark, d):
 
 
 @R.query("k6_explore", f"""WITH {_bm25('documents', 'text', 'doc_id', ['that', 'token'], ' OR ')}
-  SELECT source AS file, max(score) AS best, count(*) AS n_symbols, string_agg(doc_id, ',' ORDER BY score DESC, doc_id) AS symbols FROM sc GROUP BY 1 ORDER BY best DESC, file LIMIT 12""")
+  , f AS (SELECT source, max(score) AS best, count(*) AS n_symbols FROM sc GROUP BY 1 ORDER BY best DESC, source LIMIT 12)
+  SELECT f.source AS file, best, n_symbols, doc_id AS key, score FROM f JOIN sc ON sc.source = f.source""")
 def _(spark, d):
     return search.explore(V.table(spark, d, "documents"), "that token", ["text"], "doc_id", "source")
