@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from callgrove.constants import PROMOTION_ROUNDS, PROMOTION_THRESHOLD
 from callgrove.functions.keys import expire
@@ -34,18 +34,25 @@ def distinct_records(stream: DataFrame, key: list[str], ts: str = "ts", delay: s
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(key)
 
 
-def run_to_table(stream: DataFrame, mode: str, name: str, home: str | None = None) -> DataFrame:
+def run_to_table(stream: DataFrame, mode: str, name: str, home: str | None = None, idle_batches: bool = True) -> DataFrame:
     """Process what is available and return the sink as a table with a ``batch`` column.
 
     With ``home``, a folder of the job's own, a later call goes on where the last one ended; without it the
     job starts anew in a scratch folder.  A batch overwrites its own folder, so a retried batch leaves no
-    second copy.  A source without files gives an empty table.
+    second copy.  A source without files gives an empty table.  State with a lifetime in processing time asks for a
+    batch without input again and again; ``idle_batches=False`` makes none, so that the run ends.
     """
     spark = stream.sparkSession
     home = home or f"{scratch_root(spark)}/{name}-{uuid4().hex}"
     write = lambda df, batch: df.write.mode("overwrite").parquet(f"{home}/rows/batch={batch}")
-    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/checkpoint")
-             .trigger(availableNow=True).foreachBatch(write).start())
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    given = spark.conf.get(name)
+    spark.conf.set(name, str(idle_batches).lower())  # a query keeps the settings it was started with
+    try:
+        query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/checkpoint")
+                 .trigger(availableNow=True).foreachBatch(write).start())
+    finally:
+        spark.conf.set(name, given)
     query.awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
     try:
@@ -112,22 +119,34 @@ def expire_stream(writes: DataFrame) -> DataFrame:
     return expire(writes, F.current_timestamp())
 
 
-def promote_stream(scores: DataFrame, k: int = PROMOTION_ROUNDS, threshold: int = PROMOTION_THRESHOLD) -> DataFrame:
-    """Promotion state per chain after each batch: the last ``k`` rounds are kept, nothing else.
+class LastRounds(StatefulProcessor):
+    """The last ``k`` rounds of a chain as list state; what is not renewed for ``lifetime_ms`` is forgotten."""
 
-    ``scores(chain_id, round, score)``; a repeated round replaces its score.
-    """
-    out = "chain_id long, last_round int, worst int, promoted boolean"
+    def __init__(self, k: int, threshold: int, lifetime_ms: int):
+        self.k, self.threshold, self.lifetime_ms = k, threshold, lifetime_ms
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = dict(zip(*state.get)) if state.exists else {}
-        for pdf in batches:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rounds = handle.getListState("rounds", "round int, score int", self.lifetime_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept = dict(tuple(r) for r in self.rounds.get())
+        for pdf in rows:
             kept.update(zip(pdf["round"].tolist(), pdf["score"].tolist()))
-            kept = {r: kept[r] for r in sorted(kept)[-k:]}
-        rounds, worst = sorted(kept), min(kept.values())
-        state.update((rounds, [kept[r] for r in rounds]))
-        whole = len(rounds) == k and rounds[-1] - rounds[0] == k - 1
-        yield pd.DataFrame({"chain_id": [key[0]], "last_round": [rounds[-1]], "worst": [worst], "promoted": [whole and worst > threshold]})
-
-    return scores.groupBy("chain_id").applyInPandasWithState(
-        step, out, "rounds array<int>, scores array<int>", "update", GroupStateTimeout.NoTimeout)
+            kept = {r: kept[r] for r in sorted(kept)[-self.k:]}
+        self.rounds.put(list(kept.items()))
+        last, worst = max(kept), min(kept.values())
+        whole = len(kept) == self.k and last - min(kept) == self.k - 1
+        yield pd.DataFrame({"chain_id": [key[0]], "last_round": [last], "worst": [worst], "promoted": [whole and worst > self.threshold]})
+
+    def close(self) -> None:
+        pass
+
+
+def promote_stream(scores: DataFrame, k: int = PROMOTION_ROUNDS, threshold: int = PROMOTION_THRESHOLD, lifetime_ms: int = 30 * 86_400_000) -> DataFrame:
+    """Promotion state per chain after each batch: the last ``k`` rounds are kept, nothing else, and for ``lifetime_ms`` only.
+
+    ``scores(chain_id, round, score)``; a repeated round replaces its score.  A run that is to end with its input needs
+    ``idle_batches=False``.
+    """
+    out = "chain_id long, last_round int, worst int, promoted boolean"
+    return scores.groupBy("chain_id").transformWithStateInPandas(LastRounds(k, threshold, lifetime_ms), out, "Update", "ProcessingTime")

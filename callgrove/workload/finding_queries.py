@@ -12,6 +12,7 @@ from callgrove.operators import findings as fd
 from callgrove.operators import prune, reconcile
 from callgrove.plans.scratch import scratch_root
 from callgrove.sources import records
+from callgrove.plans.scratch import materialize
 from callgrove.workload import views as V
 from callgrove.workload.registry import Registry
 
@@ -360,6 +361,25 @@ def _(spark, d):
     return fd.chain_cardinality(V.score_events(spark, d))
 
 
+@R.query("a29_merged_cardinality", f"""WITH {V.SCORES_SQL}, g AS (SELECT round, year(l_shipdate) AS y, chain_id FROM score_events),
+  e AS (SELECT CAST(round AS VARCHAR) AS scope, count(*) AS n_findings, count(DISTINCT chain_id) AS n_chains FROM g GROUP BY 1
+    UNION ALL SELECT concat('year ', y), count(*), count(DISTINCT chain_id) FROM g GROUP BY 1 UNION ALL SELECT 'all', count(*), count(DISTINCT chain_id) FROM g)
+  SELECT scope, n_findings, n_chains, true AS within FROM e""")
+def _(spark, d):
+    """Sketches of (round, year) are stored once and merged three ways; each must be within five standard errors of the exact count."""
+    rows = V.score_events(spark, d).withColumn("y", F.year("l_shipdate"))
+    stored = materialize(fd.chain_sketches(rows, ["round", "y"]), "sketches")
+    scopes = {"round": F.col("round").cast("string"), "y": F.concat(F.lit("year "), F.col("y").cast("string")), None: F.lit("all")}
+    out = None
+    for by, name in scopes.items():
+        about = fd.merged_cardinality(stored, [by] if by else []).select(name.alias("scope"), "n_findings", "about_chains")
+        exact = rows.groupBy(*([by] if by else [])).agg(F.count_distinct("chain_id").alias("n_chains")).select(name.alias("scope"), "n_chains")
+        both = about.join(exact, "scope")
+        out = both if out is None else out.unionAll(both)
+    error = 5 * 1.04 / 2 ** (fd.SKETCH_BITS / 2)
+    return out.select("scope", "n_findings", "n_chains", (F.abs(F.col("about_chains") - F.col("n_chains")) <= F.col("n_chains") * error + 1).alias("within"))
+
+
 @R.query("w6_number_ids", f"""WITH {V.FINDINGS_SQL}, x AS (SELECT n, evidence, row_number() OVER (ORDER BY ts, n) AS no FROM findings), y AS (SELECT n, no, unnest(evidence) AS item, generate_subscripts(evidence, 1) AS pos FROM x)
   SELECT n, 'F-' || lpad(CAST(no AS VARCHAR), CAST(greatest(3, length(CAST(no AS VARCHAR))) AS INTEGER), '0') AS finding_id, item, 'E-' || lpad(CAST(pos AS VARCHAR), 3, '0') AS evidence_id FROM y""")
 def _(spark, d):

@@ -519,7 +519,7 @@ def _(spark, d):
     home = _home(spark, "score-log")
     scores.write.parquet(home)
     states = jobs.promote_stream(jobs.stream_log(spark, home, scores.schema, "parquet"), threshold=70)
-    return jobs.latest(jobs.run_to_table(states, "update", "promote"), ["chain_id"])
+    return jobs.latest(jobs.run_to_table(states, "update", "promote", idle_batches=False), ["chain_id"])
 
 
 @R.query("r8_session_status", """WITH c AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 100)

@@ -63,7 +63,7 @@ UNION ALL SELECT 'm' || hi, 'm' || lo, 'calls', 0 FROM (
   SELECT o_custkey, arg_max(o_orderkey, {k}) AS hi, arg_min(o_orderkey, {k}) AS lo FROM orders GROUP BY o_custkey) q
 """.replace("{k}", "struct_pack(d := o_orderdate, k := o_orderkey)")
 
-GRAPH_SQL = f"nodes AS ({NODES_SQL}), edges AS ({EDGES_SQL})"
+GRAPH_SQL = f"nodes AS MATERIALIZED ({NODES_SQL}), edges AS MATERIALIZED ({EDGES_SQL})"
 
 
 _plans: dict[tuple[str, str], Graph] = {}

@@ -352,10 +352,18 @@ def test_promotion_stream_equals_the_batch(spark, tmp_path):
     for i in range(3):  # three files, three micro-batches, rounds out of order
         scores.filter(f"round = {(i + 1) % 3}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(scores.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    live = jobs.latest(jobs.run_to_table(jobs.promote_stream(stream), "update", "p"), ["chain_id"])
+    live = jobs.latest(jobs.run_to_table(jobs.promote_stream(stream), "update", "p", idle_batches=False), ["chain_id"])
     assert rows(live, "chain_id", "promoted") == rows(fd.promote(scores), "chain_id", "promoted")
 
 
+def test_rounds_are_forgotten_after_their_lifetime(spark, tmp_path):
+    for i in range(3):
+        spark.createDataFrame([(1, i, 99)], "chain_id bigint, round int, score int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("chain_id bigint, round int, score int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    kept, lost = (jobs.run_to_table(jobs.promote_stream(stream, **life), "update", "p", idle_batches=False).collect() for life in ({}, {"lifetime_ms": 1}))
+    assert sorted(r.promoted for r in kept) == [False, False, True] and [r.promoted for r in lost] == [False] * 3
+
+
 def test_heartbeat_closes_only_silent_workers(spark, tmp_path):
     ev = spark.sql("""SELECT * FROM VALUES (1, timestamp'2026-01-01 00:00:00', true), (1, timestamp'2026-01-01 00:30:00', false), (2, timestamp'2026-01-01 05:00:00', true) AS t(worker, ts, done)""")
     ev.coalesce(1).write.parquet(str(tmp_path / "in"))

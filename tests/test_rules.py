@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from callgrove.functions import java
 from callgrove.functions import sql as sqlf
-from callgrove.operators import flow, prune, search, structure
+from callgrove.operators import findings, flow, prune, search, structure
 from callgrove.schemas import schema
 from callgrove.sources import logs
 
@@ -137,3 +137,13 @@ def test_explored_files_have_a_row_for_each_hit(spark):
     scores = {r.id: r.score for r in search.search(df, "red token", ["text"], "id", None, match="any").collect()}
     assert scores.keys() == {1, 2, 3, 5} and {(r.file, r.key, r.n_symbols) for r in got} == {("b", 3, 2), ("b", 5, 2)} or {(r.file, r.key) for r in got} == {("a", 1), ("a", 2)}
     assert all(r.score == scores[r.key] and r.best == max(x.score for x in got) for r in got)
+
+
+def test_stored_sketches_count_merged_groups(spark):
+    rows = spark.range(30_000).selectExpr("id % 3 AS round", "IF(id % 10 = 0, NULL, concat('c', id % 4000)) AS chain_id")
+    stored = findings.chain_sketches(rows, ["round"])
+    whole = findings.merged_cardinality(stored).first()
+    exact = rows.agg(F.count_distinct("chain_id")).first()[0]
+    assert whole.n_findings == 30_000 and abs(whole.about_chains - exact) < 0.05 * exact
+    assert findings.merged_cardinality(stored, ["round"]).count() == 3
+    assert tuple(findings.merged_cardinality(stored.limit(0)).first()) == (0, 0)
