@@ -167,9 +167,9 @@ def test_archive_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", big), (2, None, big), (3, "u\r\nX: y", small), (4, "u", small), (5, "u", None), (6, "u", ""), (7, "u", "z" * 1000), (8, "u", "a\r\n\r\nWARC-Type: x\r\n" * 90),
             (None, "u", big), (9, "u", "y" * 3_000_000), (10, "u", "w" * 1000), (10, "u", "w" * 1000), (None, "u", "v" * 2000), (None, "u", "v" * 2000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id bigint, url string, html string, digest string")
-    warc.write_archive(df, str(tmp_path / "a"))
+    warc.write_archive(df, str(tmp_path / "a"), date="2024-05-06T07:08:09Z")
     got = warc.read_archive(spark, str(tmp_path / "a")).collect()
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) == len({r.record_id for r in got}) and {r.date for r in got} == {"2024-05-06T07:08:09Z"}
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     found = sorted([(r.id, r.payload.decode(), r.record_type, r.refers_to) for r in got], key=key)
     refers = {1: 2}
@@ -180,6 +180,8 @@ def test_archive_round_trip(spark, tmp_path):
     for r in warc.rebuild(warc.read_archive(spark, str(tmp_path / "a"))).collect():
         head, _, body = bytes(r.record).partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= fields.keys()
+        assert "WARC-Refers-To" not in fields or fields["WARC-Refers-To"] in {x.record_id for x in got if x.id == 2}
         assert head.startswith(b"WARC/1.1") and body.endswith(b"\r\n\r\n") and int(fields["Content-Length"]) == len(body) - 4
     warc.write_archive(df.limit(0), str(tmp_path / "b"))
     assert warc.read_archive(spark, str(tmp_path / "b")).count() == 0
@@ -190,6 +192,14 @@ def test_damaged_payloads_are_noticed(spark, tmp_path):
     spark.read.parquet(str(tmp_path / "a/payloads")).withColumn("payload", F.lit(b"other")).write.mode("overwrite").parquet(str(tmp_path / "c/payloads"))
     with pytest.raises(Exception, match="damaged payload"):
         warc.read_payloads(spark, str(tmp_path / "c")).collect()
+    for old, new in ((b"Content-Length: 3", b"Content-Length: 4"), (b"sha1:a9", b"sha1:a8")):
+        headers = spark.read.parquet(str(tmp_path / "a/headers"))
+        changed = headers.withColumn("header", F.replace(F.decode("header", "UTF-8"), F.lit(old.decode()), F.lit(new.decode())).cast("binary"))
+        home = tmp_path / new.hex()
+        changed.write.parquet(str(home / "headers"))
+        spark.read.parquet(str(tmp_path / "a/payloads")).write.parquet(str(home / "payloads"))
+        with pytest.raises(Exception, match="damaged record"):
+            warc.read_archive(spark, str(home)).collect()
 
 
 # neighbours
