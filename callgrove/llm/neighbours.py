@@ -65,12 +65,12 @@ def tile_nearest(query_ids, queries, ids, vectors, k: int, rows: int = 256, colu
             near = np.sqrt(np.maximum(square, 0))
             slack = (qe[a:a + rows, None] + ve[None, part]) + 1e-6 * (near + np.sqrt(q_norm[a:a + rows, None]) + np.sqrt(v_norm[None, part])) + 1e-300
             own = query_ids[a:a + rows, None] == ids[None, part]
-            upper = np.where(own, np.inf, near + slack)
+            upper = np.where(own | np.isnan(near + slack), np.inf, near + slack)  # squares may be beyond a double; those pairs are compared exactly
             width = upper.shape[1]
             limit = np.partition(upper, min(k, width) - 1, axis=1)[:, min(k, width) - 1]
             for r, heap in enumerate(heaps):
                 bound = min(limit[r], -heap[0][0]) if len(heap) == k else limit[r] if width >= k else np.inf
-                alive = np.flatnonzero(~own[r] & (near[r] - slack[r] <= bound))
+                alive = np.flatnonzero(~own[r] & ~(near[r] - slack[r] > bound))
                 exact = np.sqrt(((vectors[b + alive] - queries[a + r]) ** 2).sum(axis=1))
                 for d, i in zip(exact.tolist(), ids[b + alive].tolist(), strict=True):
                     if len(heap) < k:

@@ -236,6 +236,18 @@ def test_tiles_in_small_parts():
     assert one == sorted(neighbours.tile_nearest(ids[:20], x[:20], ids, x, 5, rows=3, columns=7)) and len(one) == 100
 
 
+@pytest.mark.filterwarnings("ignore:overflow", "ignore:invalid")
+def test_squares_beyond_a_double_lose_no_row():
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(size=(30, 4)), r.normal(size=(5, 4)) * 1e200, [[1e200, 0, 0, 0], [1e200, 1e140, 0, 0]]])
+    ids = np.arange(len(x))
+    got = set(neighbours.tile_nearest(ids, x, ids, x, 6))
+    with np.errstate(all="ignore"):
+        far = [[math.inf if i == j else float(np.sqrt(((x[j] - x[i]) ** 2).sum())) for j in ids] for i in ids]
+    want = {(i, j, far[i][j]) for i in ids.tolist() for j in sorted((j for j in ids.tolist() if j != i), key=lambda j: (far[i][j], j))[:6]}
+    assert {(int(a), int(b), float(d)) for a, b, d in got} == want
+
+
 def test_rounding_errors_are_bounds():
     x = np.random.default_rng(2).normal(0, 5, (50, 16))
     q, s, e = neighbours.quantise(x)
