@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from callgrove.functions.keys import short_hash
 from callgrove.operators import hops, lookup, walks
 from callgrove.plans.review import review_endpoints
+from callgrove.plans.scratch import materialize
+from callgrove.sources.graph import Graph
 from callgrove.workload import views as V
 from callgrove.workload.registry import Registry
 
@@ -315,6 +317,28 @@ def _(spark, d):
     return walks.impact(g, g.classes.filter(F.col("id").startswith("c")), 2)
 
 
+@R.query("j22_impact_refresh", f"""WITH {G}, synced AS (SELECT source, target FROM edges WHERE NOT (kind = 'calls' AND line = 3 AND CAST(substr(source, 2) AS BIGINT) % 20 = 0)
+    UNION ALL SELECT concat('m', o_orderkey), concat('p', o_orderkey % 50 + 1) FROM orders WHERE o_orderkey % 20 = 5), arcs AS (SELECT source AS a, target AS b FROM synced UNION SELECT target, source FROM synced),
+  z AS (SELECT id AS root, id FROM nodes WHERE kind = 'class' AND starts_with(id, 'c')), one AS (SELECT DISTINCT z.root, a.b AS id FROM z JOIN arcs a ON a.a = z.id),
+  two AS (SELECT DISTINCT o.root, a.b AS id FROM one o JOIN arcs a ON a.a = o.id),
+  alls AS (SELECT root, id, 0 AS depth FROM z UNION ALL SELECT root, id, 1 FROM one UNION ALL SELECT root, id, 2 FROM two)
+  SELECT root, id, CAST(min(depth) AS INTEGER) AS depth FROM alls GROUP BY 1, 2""")
+def _(spark, d):
+    """Some orders lose a call and some get one; the refreshed rows must be those of a run from scratch."""
+    g = V.graph(spark, d)
+    seeds = g.classes.filter(F.col("id").startswith("c"))
+    order = F.when(F.col("kind") == "calls", F.substring("source", 2, 20).cast("bigint"))
+    lost = g.edges.filter(~F.coalesce((order % 20 == 0) & (F.col("line") == 3), F.lit(False)))
+    key = F.col("o_orderkey")
+    orders = V.table(spark, d, "orders")
+    made = orders.filter(key % 20 == 5).select(F.concat(F.lit("m"), key.cast("string")).alias("source"), F.concat(F.lit("p"), (key % 50 + 1).cast("string")).alias("target"),
+                                               F.lit("calls").alias("kind"), F.lit(9).alias("line"))
+    after = Graph(g.nodes, lost.unionByName(made), g.files)
+    changed = orders.filter((key % 20).isin(0, 5)).select(F.concat(F.lit("shop/Customer"), F.col("o_custkey").cast("string"), F.lit(".java")).alias("path"))
+    old = materialize(walks.impact(g, seeds, 2), "impact")
+    return walks.refresh_impact(old, g, after, changed, seeds, 2)
+
+
 @R.query("u4_impacted_nodes", f"""WITH {G}, z AS (SELECT id FROM nodes WHERE kind = 'class' AND starts_with(id, 'b')), arcs AS (SELECT source AS a, target AS b FROM edges UNION SELECT target, source FROM edges),
   one AS (SELECT a.b AS id FROM z JOIN arcs a ON a.a = z.id), two AS (SELECT a.b AS id FROM one JOIN arcs a ON a.a = one.id) SELECT id FROM z UNION SELECT id FROM one UNION SELECT id FROM two""")
 def _(spark, d):

@@ -1,12 +1,14 @@
 """The eight-node fixture graph with hand-derived results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from callgrove.operators import hops, lookup, walks
 from callgrove.operators.profile import kind_counts, profile
 from callgrove.operators.structure import enclosing_method
-from callgrove.sources.graph import read_graph, typed_edges, typed_nodes
+from callgrove.sources.graph import Graph, read_graph, typed_edges, typed_nodes
 
 
 def names(df, column="id"):
@@ -201,3 +203,24 @@ def test_skip_packages(spark):
     from callgrove.constants import SKIP_PACKAGES
     df = spark.createDataFrame([("java.util.List",), ("com.x.A",), ("org.springframework.B",)], "qualified_name string")
     assert names(lookup.skip_packages(df, SKIP_PACKAGES), "qualified_name") == ["com.x.A"]
+
+
+def test_refreshed_impact_is_that_of_a_run_from_scratch(spark, monkeypatch):
+    r = random.Random(9)
+    nodes = [(f"n{i}", "method", f"f{i % 12}.java") for i in range(60)]
+    node_df = spark.createDataFrame(nodes, "id string, kind string, file_path string")
+    edges = [(f"n{r.randrange(60)}", f"n{r.randrange(60)}", "calls", 1) for _ in range(70)]
+    graph = lambda rows: Graph(node_df, spark.createDataFrame(rows, "source string, target string, kind string, line int"), None)
+    files = {n: f for n, _, f in nodes}
+    seeds = spark.createDataFrame([(f"n{i}",) for i in range(0, 60, 2)], "id string")
+    again, walk = [], walks.impact
+    monkeypatch.setattr(walks, "impact", lambda g, s, depth=2: again.append(s.count()) or walk(g, s, depth))
+    for depth in (1, 3):
+        new = [e for e in edges if r.random() > 0.05] + [(f"n{r.randrange(60)}", f"n{r.randrange(60)}", "calls", 2) for _ in range(2)]
+        moved = set(edges) ^ set(new)
+        changed = spark.createDataFrame([(files[x],) for e in moved for x in (e[0],)], "path string")
+        old = walk(graph(edges), seeds, depth)
+        got = walks.refresh_impact(old.select("root", "id", "depth"), graph(edges), graph(new), changed, seeds.limit(25), depth)
+        assert sorted(map(tuple, got.select("root", "id", "depth").collect())) == sorted(map(tuple, walk(graph(new), seeds.limit(25), depth).select("root", "id", "depth").collect()))
+        edges = new
+    assert again[0] < 25
