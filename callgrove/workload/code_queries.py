@@ -448,6 +448,30 @@ def _(spark, d):
     return search.search_index(index, "the token")
 
 
+_NOW = "(SELECT doc_id, source, CASE WHEN doc_id % 10 = 2 THEN concat(text, ' the token') ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1) AS cur"
+
+
+def _updated_index(spark, d):
+    """An index to which a tenth of the documents is added, in which a tenth is changed, and from which a tenth goes."""
+    docs = V.table(spark, d, "documents").select("doc_id", "source", "text")
+    part = F.col("doc_id") % 10
+    index = search.build_index(docs.filter(part != 0), ["text"], "doc_id", f"{scratch_root(spark)}/index-{uuid4().hex}", 16, "source")
+    search.update_index(index, docs.filter(part == 0), ["text"], docs.filter(part == 1), "source")
+    return search.update_index(index, docs.filter(part == 2).withColumn("text", F.concat("text", F.lit(" the token"))), ["text"], None, "source")
+
+
+@R.query("k1_index_segments", f"WITH {_bm25(_NOW, 'text', 'doc_id', ['the', 'token'], ' AND ')} SELECT doc_id, score FROM sc ORDER BY score DESC, doc_id LIMIT 10")
+def _(spark, d):
+    return search.search_index(_updated_index(spark, d), "the token")
+
+
+@R.query("k6_explore_index", f"""WITH {_bm25(_NOW, 'text', 'doc_id', ['that', 'token'], ' OR ')}
+  , f AS (SELECT source, max(score) AS best, count(*) AS n_symbols FROM sc GROUP BY 1 ORDER BY best DESC, source LIMIT 12)
+  SELECT f.source AS file, best, n_symbols, doc_id AS key, score FROM f JOIN sc ON sc.source = f.source""")
+def _(spark, d):
+    return search.explore_index(_updated_index(spark, d), "that token")
+
+
 @R.query("k6_explore", f"""WITH {_bm25('documents', 'text', 'doc_id', ['that', 'token'], ' OR ')}
   , f AS (SELECT source, max(score) AS best, count(*) AS n_symbols FROM sc GROUP BY 1 ORDER BY best DESC, source LIMIT 12)
   SELECT f.source AS file, best, n_symbols, doc_id AS key, score FROM f JOIN sc ON sc.source = f.source""")
