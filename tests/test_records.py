@@ -356,6 +356,18 @@ def test_promotion_stream_equals_the_batch(spark, tmp_path):
     assert rows(live, "chain_id", "promoted") == rows(fd.promote(scores), "chain_id", "promoted")
 
 
+def test_promotion_stream_runs_in_a_session_with_another_state_store(spark, tmp_path):
+    spark.createDataFrame([(1, i, 99) for i in range(3)], "chain_id bigint, round int, score int").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("chain_id bigint, round int, score int").parquet(str(tmp_path / "in"))
+    given, other = spark.conf.get(jobs.STATE_STORE), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(jobs.STATE_STORE, other)
+    try:
+        assert rows(jobs.run_to_table(jobs.promote_stream(stream), "update", "p", idle_batches=False), "chain_id", "promoted") == [(1, True)]
+        assert spark.conf.get(jobs.STATE_STORE) == other
+    finally:
+        spark.conf.set(jobs.STATE_STORE, given)
+
+
 def test_rounds_are_forgotten_after_their_lifetime(spark, tmp_path):
     for i in range(3):
         spark.createDataFrame([(1, i, 99)], "chain_id bigint, round int, score int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
