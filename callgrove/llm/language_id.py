@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from callgrove.llm.texts import SLICE, keep_rows, map_rows, small_batches
 
 UNKNOWN = "und"
+MEASURES = LANGUAGE, COSINE, TRIGRAMS = "__language", "__cosine", "__trigrams"
 
 
 class Bundler:
@@ -33,7 +34,8 @@ class Bundler:
     def __init__(self, size: int = 1024, seed: int = 7, most_cached: int = 20_000):
         self.size, self.seed, self.most_cached = size, seed, most_cached
         self.letters: dict[int, np.ndarray] = {}
-        self.grams: dict[int, np.ndarray] = {}
+        self.rows: dict[int, int] = {}  # the row of each trigram in the table
+        self.table = np.empty((0, size), np.int8)
         self.kind = np.zeros(0x110000, np.int8)  # of each code point: 0 not asked yet, 1 a letter, 2 none
 
     def _letter(self, code: int) -> np.ndarray:
@@ -42,13 +44,20 @@ class Bundler:
             self.letters[code] = 2 * bits - 1
         return self.letters[code]
 
-    def _gram(self, key: int) -> np.ndarray:
-        if (v := self.grams.get(key)) is None:
-            if len(self.grams) >= self.most_cached:
-                self.grams.clear()
-            a, b, c = key >> 42, key >> 21 & 0x1FFFFF, key & 0x1FFFFF
-            v = self.grams[key] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(c)
-        return v
+    def _grams(self, keys: list[int]) -> np.ndarray:
+        """The vectors of distinct trigrams, one row for each."""
+        at = list(map(self.rows.get, keys))
+        if (missing := at.count(None)) and len(self.rows) + missing > self.most_cached:
+            self.rows.clear()
+            at = [None] * len(keys)
+        for i, k in enumerate(keys) if missing else ():
+            if at[i] is None:
+                a, b, c = k >> 42, k >> 21 & 0x1FFFFF, k & 0x1FFFFF
+                at[i] = self.rows[k] = len(self.rows)
+                if at[i] >= len(self.table):
+                    self.table = np.concatenate([self.table, np.empty((max(256, len(self.table)), self.size), np.int8)])
+                self.table[at[i]] = np.roll(self._letter(a), 2) * np.roll(self._letter(b), 1) * self._letter(c)
+        return self.table[at]
 
     def bundle(self, text: str) -> np.ndarray | None:
         """None if the text has no letter."""
@@ -70,7 +79,7 @@ class Bundler:
             n += len(codes) - 2
             keys, counts = np.unique(codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:], return_counts=True)
             for i in range(0, len(keys), 4096):
-                block = np.stack([self._gram(k) for k in keys[i:i + 4096].tolist()]).astype(np.float32)
+                block = self._grams(keys[i:i + 4096].tolist()).astype(np.float32)
                 out += counts[i:i + 4096].astype(np.float32) @ block
         return (out, n) if n else (None, 0)
 
@@ -90,50 +99,32 @@ def _sums(df: DataFrame, text: str, lang: str, size: int, seed: int) -> DataFram
     return small_batches(found).mapInArrow(run, "lang string, at int, value double").groupBy("lang", "at").agg(F.sum("value").alias("value"))
 
 
-def _sample(df: DataFrame, text: str, lang: str, key: str, per_language: int, seed: int) -> DataFrame | None:
-    """About ``per_language`` rows of each language, by a hash of their key and text; None without languages."""
-    rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = rows.groupBy(F.col(lang).cast("string").alias("lang")).count().collect()
-    if not counts:
-        return None
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.where(draw < F.element_at(rates, F.col(lang).cast("string")))
+def learn(df: DataFrame, text: str = "text", lang: str = "lang", size: int = 1024, seed: int = 7) -> dict[str, np.ndarray]:
+    """Prototypes of the languages in ``lang``, learned from every text that has one.
 
-
-def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 4000, size: int = 1024, seed: int = 7) -> dict[str, np.ndarray]:
-    """Prototypes of the languages in ``lang``.
-
-    Learns from about ``per_language`` texts of each language: rows are kept by a hash of their key and text
-    at a rate taken from the language's count, so the sample is bounded however large the table is.  What
-    comes to the driver is one vector for each language.
+    What comes to the driver is one vector for each language.
     """
-    if (sample := _sample(df, text, lang, key, per_language, seed)) is None:
-        return {}
     out: dict[str, np.ndarray] = {}
-    for r in _sums(sample, text, lang, size, seed).collect():
+    for r in _sums(df, text, lang, size, seed).collect():
         out.setdefault(r["lang"], np.zeros(size))[r["at"]] = r["value"]
     return {k: v / n for k, v in sorted(out.items()) if (n := np.linalg.norm(v))}
 
 
-def learn_bounds(df: DataFrame, prototypes: dict[str, np.ndarray], share: float, text: str = "text", lang: str = "lang", key: str = "doc_id",
-                 per_language: int = 4000, least_texts: int = 100, seed: int = 7) -> list[float]:
-    """The least cosine of a text by powers of two of its trigrams: ``share`` of the median of learned texts of that size.
-
-    Sizes with fewer than ``least_texts`` texts are joined with the next larger ones, the largest with those before;
-    with fewer texts in all there are no bounds.  What comes to the driver is one count for each size and thousandth.
-    """
-    sample = _sample(df, text, lang, key, per_language, seed) if prototypes else None
-    if sample is None:
-        return []
+def measure(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", seed: int = 7) -> DataFrame:
+    """``df`` with the language of its texts, their cosine and number of trigrams, as ``MEASURES``."""
     judge = _judge(prototypes, seed)
+    return map_rows(df, df.columns, text, dict(zip(MEASURES, ("string", "double", "bigint"))), lambda: judge(sized=True))
 
-    def start():
-        one = judge(sized=True)
-        return lambda value: (lambda r: (r[2].bit_length(), round(1000 * r[1])))(one(value))
 
-    found = map_rows(sample.select(text), [], text, {"_size": "bigint", "_cosine": "bigint"}, start).where("_size > 0")
-    rows = found.groupBy("_size", "_cosine").count().collect()
+def learn_bounds(measured: DataFrame, share: float, lang: str = "lang", least_texts: int = 100) -> list[float]:
+    """The least cosine of a text by powers of two of its trigrams: ``share`` of the median of learned texts of that size.
+
+    Every text of ``measured`` with a language counts.  Sizes with fewer than ``least_texts`` texts are joined with the next
+    larger ones, the largest with those before; with fewer texts in all there are no bounds.  What comes to the driver is one
+    count for each size and thousandth.
+    """
+    found = measured.where(F.col(lang).isNotNull() & (F.col(TRIGRAMS) > 0))
+    rows = found.groupBy(_bits(F.col(TRIGRAMS)).alias("_size"), F.rint(1000 * F.col(COSINE)).cast("int").alias("_cosine")).count().collect()
     groups: list[tuple[list[int], Counter]] = []
     for size in range(1, max((r["_size"] for r in rows), default=0) + 1):
         if not groups or groups[-1][1].total() >= least_texts:
@@ -206,6 +197,20 @@ def keep_identified(df: DataFrame, prototypes: dict[str, np.ndarray], least: flo
     return keep_rows(df, text, start)
 
 
+def keep_measured(measured: DataFrame, least: float, bounds: Sequence[float] = (), short: int = 128) -> DataFrame:
+    """``keep_identified`` of rows that ``measure`` gave; its columns go."""
+    bound, n = F.lit(least), F.col(TRIGRAMS)
+    if bounds:
+        size = F.least(_bits(n), F.lit(len(bounds) - 1))
+        bound = F.element_at(F.array(*map(F.lit, bounds)), size + 1) * F.least(F.lit(1.0), n / F.lit(float(short)))
+    return measured.where((F.col(LANGUAGE) != UNKNOWN) & (F.col(COSINE) >= bound)).drop(*MEASURES)
+
+
+def _bits(n: Column) -> Column:
+    """The number of binary digits; none for 0."""
+    return F.when(n > 0, F.length(F.bin(n))).otherwise(0)
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Every fourth row by checksum of its id is kept from learning; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgrove.llm import decontaminate, language_id, minhash_dedup, mixture, secret_scan
-from callgrove.plans.scratch import scratch_root
+from callgrove.plans.scratch import materialize, scratch_root
 
 #: Share of the median cosine of learned texts of a size, below which a text of that size is no prose of any learned language.
 LEAST_SHARE = 0.25
@@ -23,11 +23,14 @@ LEAST_COSINE = 0.05
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter (null and empty ones too) and texts near to no language; what is kept is unchanged.
 
-    Rows without a language teach nothing; repeated rows are judged alike.
+    Rows without a language teach nothing, all others that are not held out do; repeated rows are judged alike.  Texts are
+    judged once and written with what was measured, from which the bounds are taken.
     """
-    known = docs.where(~language_id.held_out()).select("doc_id", "text", "lang")
-    prototypes = language_id.learn(known)
-    return language_id.keep_identified(docs, prototypes, LEAST_COSINE, bounds=language_id.learn_bounds(known, prototypes, LEAST_SHARE))
+    known = ~language_id.held_out()
+    if not (prototypes := language_id.learn(docs.where(known))):
+        return language_id.keep_identified(docs, prototypes, LEAST_COSINE)
+    measured = materialize(language_id.measure(docs, prototypes), "languages")
+    return language_id.keep_measured(measured, LEAST_COSINE, language_id.learn_bounds(measured.where(known), LEAST_SHARE))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

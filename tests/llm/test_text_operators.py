@@ -265,6 +265,30 @@ def test_languages_of_messy_texts(spark, messy):
     assert kept.columns == messy.columns and kept.count() == sum(r.lang_pred != "und" for r in rows)
 
 
+def test_languages_and_bounds_are_learned_from_every_text(spark):
+    """Beyond 4,000 texts of a language each one still counts."""
+    docs = spark.range(9000, numPartitions=4).selectExpr("id AS doc_id", "'en' AS lang", "concat('word ', repeat(char(97 + id % 26), 3), ' ', id) AS text")
+    unit = {t: (lambda x: x / np.linalg.norm(x))(language_id.Bundler().bundle(t)) for t in (f"word {chr(97 + k) * 3} 1" for k in range(26))}
+    total = sum((9000 - k + 25) // 26 * v for k, v in enumerate(unit.values()))
+    model = language_id.learn(docs)
+    assert np.allclose(model["en"], total / np.linalg.norm(total), atol=1e-12)
+    measured = language_id.measure(docs, model)
+    cosines = sorted(round(1000 * float(v @ model["en"])) for k, v in enumerate(unit.values()) for _ in range((9000 - k + 25) // 26))
+    bounds = language_id.learn_bounds(measured, 0.5)
+    assert bounds[-1] == 0.5 * cosines[4500] / 1000
+    for b in (bounds, [0.0, 0.2, 0.3, 9.0], ()):
+        kept = [r.doc_id for r in language_id.keep_identified(docs, model, 0.3, bounds=b).collect()]
+        assert sorted(kept) == sorted(r.doc_id for r in language_id.keep_measured(measured, 0.3, b).collect())
+
+
+def test_bundles_do_not_depend_on_what_is_cached():
+    text = prose(5, 400)
+    assert (language_id.Bundler(64, most_cached=10).bundle(text * 3) == language_id.Bundler(64).bundle(text * 3)).all()
+    small = language_id.Bundler(64, most_cached=300)
+    for k in range(20):
+        assert (small.bundle(prose(k, 60)) == language_id.Bundler(64).bundle(prose(k, 60))).all()
+
+
 def test_bundles_are_sums_of_bound_letters():
     import numpy as np
 
