@@ -79,6 +79,38 @@ def test_large_graphs_take_the_shuffle_form_with_equal_rows(graph, ids, monkeypa
     assert rows() == fused
 
 
+def test_paths_that_end_stay_out_of_the_loop(graph, ids, monkeypatch):
+    monkeypatch.setattr(walks, "BROADCAST_BYTES", 0)
+    written, append = [], walks.LevelTable.append
+    monkeypatch.setattr(walks.LevelTable, "append", lambda *a: written.append(append(*a)) or written[-1])
+    chain = walks.forward_chain(graph, ids("m:entry"))
+    assert names(chain) == ["m:1", "m:2", "m:3", "m:entry"] and sum(written) == 3  # m:3 calls nothing
+    plain = sorted(tuple(r) for r in walks.with_names(graph, chain).select("id", "depth", *walks.NAMES).collect())
+    assert sorted(tuple(r) for r in walks.forward_chain(graph, ids("m:entry"), names=True).select("id", "depth", *walks.NAMES).collect()) == plain
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 3, 20])
+def test_shortest_depths_are_those_of_the_paths(graph, ids, depth):
+    rows = lambda df: sorted((r["root"], r["id"], r["depth"]) for r in df.collect())
+    seeds = ids("m:entry", "m:2", "m:3", "c:1")
+    assert rows(walks.shortest_depths(graph, seeds, depth)) == rows(walks.min_depth(walks.forward_chain(graph, seeds, depth)))
+
+
+def test_reached_rows_are_met_where_they_lie(spark, monkeypatch):
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = walks.BucketTable(spark, "reached", ["root", "id"])
+        some = lambda n: spark.range(n).selectExpr("CAST(id % 7 AS STRING) AS root", "CAST(id AS STRING) AS id")
+        assert [table.append(some(n)) for n in (10, 5)] == [10, 5] and table.rows().count() == 15
+        new = some(20).distinct().join(table.rows(), ["root", "id"], "left_anti")
+        assert new.count() == 10
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+
+
 def test_review(spark, graph):
     from callgrove.plans.review import review_endpoints
     eps = spark.sql("""SELECT 'm:entry' AS id, 'pkg::C::m' AS endpoint_fqn, '/api/u' AS path, array(struct('q' AS name, 'String' AS type)) AS params, array('@GetMapping') AS annotations,
