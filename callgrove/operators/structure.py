@@ -19,6 +19,7 @@ from callgrove.plans.chunked import neighbour, running
 
 SPAN = 500
 BLOCK = 128  # lines
+WHOLE = 100_000  # nodes of a file that one task may scan
 
 
 def enclosing_method(points: DataFrame, methods: DataFrame) -> DataFrame:
@@ -77,40 +78,52 @@ def _from_merged(a: DataFrame, hits: DataFrame) -> DataFrame:
     return a.join(hits.filter("mine").select("id"), "id", "left_semi")
 
 
-def _among(df: DataFrame, stop: DataFrame, own: bool) -> DataFrame:
-    """``df`` with its file and the number of stops around a node in place of the file.
+def _small(*parts: DataFrame) -> bool:
+    """Whether every file has so few nodes that it need not be cut into pieces."""
+    sizes = reduce(DataFrame.unionAll, [p.select("file") for p in parts]).groupBy("file").count()
+    return (sizes.agg(F.max("count")).first()[0] or 0) <= WHOLE
 
-    A node and one around it have the same number if no stop lies between them; ``own`` counts stops of a node's
-    own range, too.  A stop begins to count where it starts and no longer does where it ends, so the number is a
-    running sum over the file.
+
+def _among(a: DataFrame, b: DataFrame, stop: DataFrame, own: bool, whole: bool) -> DataFrame:
+    """The rows of ``_merged`` with ``around``, the number of stops around a node.
+
+    A node and one around it have the same number if no stop lies between them; ``own`` counts stops of the
+    own range for nodes of ``a``, else for those of ``b``.  A stop begins to count where it starts and no longer does where it
+    ends, so the number is a running sum over the file.
     """
     at = lambda rows, pos, back, turn, mine, step: rows.select(
-        "id", "file", "start", "end", F.col(pos).alias("pos"), back.alias("back"), F.lit(turn).alias("turn"), F.lit(mine).alias("mine"), F.lit(step).alias("step"))
+        "id", "file", "start", "end", F.col(pos).alias("pos"), back.alias("back"), F.lit(turn).alias("turn"), F.lit(mine).cast("boolean").alias("mine"), F.lit(step).alias("step"))
     stop = stop.filter("start < end")
-    rows = at(df, "start", -F.col("end"), 2 if own else 0, True, 0).unionByName(at(stop, "start", -F.col("end"), 1, False, 1))
+    rows = at(a, "start", -F.col("end"), 2 if own else 0, True, 0).unionByName(at(b, "start", -F.col("end"), 0 if own else 2, False, 0))
     first = F.lit(None).cast(rows.schema["back"].dataType)  # what ends at a place does so before others start there
-    rows = rows.unionByName(at(stop, "end", first, 1, False, -1))
-    seen = running(rows, ["file"], ["pos", "back", "turn", "step", "id"], F.floor(F.col("pos") / SPAN), F.col("step"), "around", "sum")
-    return seen.filter("mine").select("id", F.struct("file", "around").alias("file"), "start", "end")
+    rows = rows.unionByName(at(stop, "start", -F.col("end"), 1, None, 1)).unionByName(at(stop, "end", first, 1, None, -1))
+    seen = running(rows, ["file"], ["pos", "back", "turn", "step"], F.floor(F.col("pos") / SPAN), F.col("step"), "around", "sum", whole)
+    return seen.filter("mine IS NOT NULL").select("id", "file", "around", "start", "end", "mine")
 
 
-def _until(a: DataFrame, b: DataFrame, stop: DataFrame | None, own: bool) -> tuple[DataFrame, DataFrame]:
-    return (a, b) if stop is None else (_among(a, stop, own), _among(b, stop, not own))
+def _until(a: DataFrame, b: DataFrame, stop: DataFrame | None, own: bool) -> tuple[DataFrame, list[str], bool]:
+    """Nodes of both sides, the columns that only nodes of one search share, and whether their files are small."""
+    if stop is None:
+        return _merged(a, b), ["file"], False
+    whole = _small(a, b, stop, stop)
+    return _among(a, b, stop, own, whole), ["file", "around"], whole
 
 
 def rel_inside(a: DataFrame, b: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """Nodes of ``a`` whose range lies properly within a node of ``b`` of the same file, with no node of ``stop`` between them."""
-    rows = _merged(*_until(a, b, stop, False)).withColumn("back", -F.col("end")).withColumn("last", ~F.col("mine"))
-    seen = running(rows, ["file"], ["start", "back", "last", "id"], F.floor(F.col("start") / SPAN),
-                   F.when(~F.col("mine"), F.col("end")), "reach", "max")
+    rows, keys, whole = _until(a, b, stop, False)
+    rows = rows.withColumn("back", -F.col("end")).withColumn("last", ~F.col("mine"))
+    seen = running(rows, keys, ["start", "back", "last", "id"], F.floor(F.col("start") / SPAN),
+                   F.when(~F.col("mine"), F.col("end")), "reach", "max", whole)
     return _from_merged(a, seen.filter(F.col("reach") >= F.col("end")))
 
 
 def rel_has(a: DataFrame, b: DataFrame, stop: DataFrame | None = None) -> DataFrame:
     """Nodes of ``a`` that properly contain a node of ``b``, with no node of ``stop`` between them."""
-    rows = _merged(*_until(a, b, stop, True)).withColumn("back", -F.col("start")).withColumn("last", ~F.col("mine"))
-    seen = running(rows, ["file"], ["back", "end", "last", "id"], -F.floor(F.col("start") / SPAN),
-                   F.when(~F.col("mine"), F.col("end")), "reach", "min")
+    rows, keys, whole = _until(a, b, stop, True)
+    rows = rows.withColumn("back", -F.col("start")).withColumn("last", ~F.col("mine"))
+    seen = running(rows, keys, ["back", "end", "last", "id"], -F.floor(F.col("start") / SPAN),
+                   F.when(~F.col("mine"), F.col("end")), "reach", "min", whole)
     return _from_merged(a, seen.filter(F.col("reach") <= F.col("end")))
 
 
@@ -131,9 +144,9 @@ def _behind(a: DataFrame, b: DataFrame, stop: DataFrame) -> DataFrame:
     none = F.lit(None).cast(b.schema["end"].dataType)
     at = lambda df, pos, edge, begun, mine: df.select("id", "file", F.col(pos).alias("pos"), edge.alias("edge"), begun.alias("begun"), F.lit(mine).alias("mine"))
     rows = at(a, "start", none, none, True).unionByName(at(b, "end", F.col("end"), none, False)).unionByName(at(stop, "end", none, F.col("start"), False))
-    chunk = F.floor(F.col("pos") / SPAN)
+    chunk, whole = F.floor(F.col("pos") / SPAN), _small(a, b, stop)
     for value, name in (("edge", "last_end"), ("begun", "last_start")):
-        rows = running(rows, ["file"], ["pos", "mine", "id", "edge", "begun"], chunk, F.col(value), name, "max")
+        rows = running(rows, ["file"], ["pos", "mine", "id", "edge", "begun"], chunk, F.col(value), name, "max", whole)
     return rows.filter("mine AND last_end IS NOT NULL AND NOT coalesce(last_start >= last_end, false)").select("id")
 
 

@@ -147,3 +147,21 @@ def test_stored_sketches_count_merged_groups(spark):
     assert whole.n_findings == 30_000 and abs(whole.about_chains - exact) < 0.05 * exact
     assert findings.merged_cardinality(stored, ["round"]).count() == 3
     assert tuple(findings.merged_cardinality(stored.limit(0)).first()) == (0, 0)
+
+
+def test_small_files_are_scanned_whole_with_the_rows_of_cut_ones(spark, monkeypatch):
+    r, nodes = random.Random(8), []
+    for file in range(4):
+        tree(r, file, 0, 3000, 6, nodes)
+    df = spark.createDataFrame(nodes, "id int, file int, start int, `end` int, kind string")
+    a, b, stop = (df.filter(F.col("kind").isin(*k)) for k in (("a", "x", "s"), ("b", "s"), ("s", "t")))
+    for fn in (structure.rel_inside, structure.rel_has, structure.rel_follows, structure.rel_precedes):
+        plans, rows = [], []
+        for most in (structure.WHOLE, 0):
+            monkeypatch.setattr(structure, "WHOLE", most)
+            hits = fn(a, b, stop)
+            plans.append(hits._jdf.queryExecution().optimizedPlan().toString())
+            rows.append(sorted(hits.collect()))
+            monkeypatch.undo()
+        assert rows[0] == rows[1] and rows[0], fn
+        assert "__piece" not in plans[0] and "__piece" in plans[1]
