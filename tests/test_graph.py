@@ -256,3 +256,22 @@ def test_refreshed_impact_is_that_of_a_run_from_scratch(spark, monkeypatch):
         assert sorted(map(tuple, got.select("root", "id", "depth").collect())) == sorted(map(tuple, walk(graph(new), seeds.limit(25), depth).select("root", "id", "depth").collect()))
         edges = new
     assert again[0] < 25
+
+
+def test_a_node_that_changed_its_file_in_one_graph_has_touched_relations_there(spark):
+    place = lambda files: spark.createDataFrame(list(files.items()), "id string, file_path string")
+    edges = lambda rows: spark.createDataFrame(rows, "source string, target string")
+    before = Graph(place({"a": "A", "b": "B", "c": "C", "d": "D"}), edges([("a", "b"), ("b", "c"), ("c", "d"), ("d", "d")]))
+    after = Graph(place({"a": "X", "b": "B", "c": "C", "d": "D"}), edges([("a", "b"), ("b", "d"), ("c", "d")]))
+    moved = lambda *paths: sorted(map(tuple, walks._moved(before, after, spark.createDataFrame([(p,) for p in paths], "path string")).collect()))
+    assert moved("X") == [("a", "b")]  # both graphs have it, but in only one is an end in a changed file
+    assert moved("B") == [("b", "c"), ("b", "d")] and moved("D", "A") == [("a", "b"), ("b", "d"), ("d", "d")] and moved("Z") == []
+
+
+def test_walks_that_ended_do_not_travel(graph, monkeypatch):
+    written, write = [], hops.materialize
+    monkeypatch.setattr(hops, "materialize", lambda df, name: written.append((name, df.count())) or write(df, name))
+    assert hops.khop_left(graph, "pkg::C::m", 4).count() == 4
+    assert [n for name, n in written if name == "hop"] == [1, 1, 2, 2]  # the entry, then m:1 and m:2 and never the leaf m:3
+    assert hops.khop_left(graph, "pkg::Util::RuntimeExec", 2).collect()[0].asDict() == {"m0_fqn": "pkg::Util::RuntimeExec", "m1_fqn": None, "m2_fqn": None}
+    assert hops.khop_left(graph, "pkg::C::m", 0).count() == 1
