@@ -231,6 +231,27 @@ def test_files_tree_and_trail(graph, spark):
     assert radius["n_callers"] == 2 and radius["tested"] and radius["relations"] == "findAll and 1 more"
 
 
+def test_blast_radius_meets_names_once_and_matches_brute_force(spark):
+    r = random.Random(4)
+    nodes = [(f"n{i % 45}", r.choice([None, "a", "b", "c", "d", "e", "f", "g, h"]), r.choice([None, "Test.java", "x.java"])) for i in range(50)] + [(None, "a", "Test.java")]
+    edges = [(r.choice([None, *(f"n{i}" for i in range(50))]), r.choice([None, "t1", "t2", "t3", "t4"]), r.choice([None, "calls", "calls", "contains"])) for _ in range(120)]
+    g = Graph(spark.createDataFrame(nodes, "id string, name string, file_path string"), spark.createDataFrame(edges, "source string, target string, kind string"))
+    e = [(t, k, n, f) for s, t, k in edges for i, n, f in nodes if s is not None and s == i]
+    for shown in (1, 3, 5):
+        want = []
+        for t, k in {x[:2] for x in e if None not in x[:2]}:
+            mine = [x for x in e if x[:2] == (t, k)]
+            first = sorted({x[2] for x in mine}, key=lambda n: (n is not None, n or ""))[:shown]
+            flags = [False if x[1] != "calls" and (x[1] or x[3] == "x.java") else None if None in (x[1], x[3]) else x[3] == "Test.java" for x in e if x[0] == t]
+            known = [x for x in flags if x is not None]
+            want.append((t, k, len(mine), ", ".join(n for n in first if n is not None) + (f" and {len(mine) - shown} more" if len(mine) > shown else ""),
+                         sum(x[:2] == (t, "calls") for x in e), any(known) if known else None))
+        for pieces in (1, 4):
+            out = lookup.blast_radius(g, "Test", shown, pieces)
+            assert sorted(map(tuple, out.collect())) == sorted(want)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_skip_packages(spark):
     from callgrove.constants import SKIP_PACKAGES
     df = spark.createDataFrame([("java.util.List",), ("com.x.A",), ("org.springframework.B",)], "qualified_name string")
