@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from callgrove.functions.keys import kv_key, kv_parse
 from callgrove.functions.text import parse_report_name
@@ -49,14 +50,32 @@ def read_runtime_findings(spark: SparkSession, path: str) -> tuple[DataFrame, Da
     return flatten_runtime(spark.read.option("multiLine", True).schema(schema("runtime_finding")).json(path))
 
 
+def match_fields() -> StructType:
+    """The part of a match record that ``flatten_matches`` reads; files are cut to it by Spark, ``from_json`` of a whole record is not."""
+    return StructType([f for f in schema("matches") if f.name in ("file", "ruleId", "range", "metaVariables")])
+
+
 def flatten_matches(m: DataFrame) -> DataFrame:
-    """One row per captured variable of each structural match; list captures keep their position."""
-    one = F.transform(F.map_entries("metaVariables.single"), lambda e: F.struct(e["key"].alias("var"), F.lit(0).alias("at"), e["value"]["text"].alias("captured")))
-    many = F.flatten(F.transform(F.map_entries("metaVariables.multi"), lambda e: F.transform(
-        e["value"], lambda x, i: F.struct(e["key"].alias("var"), i.alias("at"), x["text"].alias("captured")))))
-    empty = F.array().cast("array<struct<var:string,at:int,captured:string>>")
-    return m.select("file", "ruleId", F.col("range.byteOffset.start").alias("start"), F.col("range.byteOffset.end").alias("end"),
-                    F.explode_outer(F.concat(F.coalesce(one, empty), F.coalesce(many, empty))).alias("c")).select("file", "ruleId", "start", "end", "c.*")
+    """One row per captured variable of each structural match; list captures keep their position.
+
+    The i-th single and the i-th list variable of a match are laid side by side, then the captures of both are laid out.
+    """
+    single, multi = F.col("metaVariables.single"), F.col("metaVariables.multi")
+    many = F.flatten(F.map_values(multi))  # null when a list is
+    listed = F.when(F.size(many) > 0, multi)
+    text, lists = "array<struct<text:string>>", "array<array<struct<text:string>>>"
+    known = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    pairs = m.select("file", "ruleId", F.col("range.byteOffset.start").alias("start"), F.col("range.byteOffset.end").alias("end"),
+                     (F.size(known(F.map_keys(single), "array<string>")) + F.size(known(many, text))).alias("total"),
+                     F.inline_outer(F.arrays_zip(
+                         known(F.map_keys(single), "array<string>").alias("one"), known(F.map_values(single), text).alias("value"),
+                         known(F.map_keys(listed), "array<string>").alias("list"), known(F.map_values(listed), lists).alias("values"))))
+    lone = F.col("one").isNotNull().cast("int")
+    captures = F.concat(F.when(lone == 1, F.array("value")).otherwise(F.array().cast(text)), known(F.col("values"), text))
+    return (pairs.select("file", "ruleId", "start", "end", "total", "one", "list", F.posexplode_outer(captures).alias("pos", "x"))
+            .filter("pos IS NOT NULL OR total = 0")
+            .select("file", "ruleId", "start", "end", F.when(F.col("pos") < lone, F.col("one")).otherwise(F.col("list")).alias("var"),
+                    F.when(F.col("pos") < lone, 0).otherwise(F.col("pos") - lone).alias("at"), F.col("x.text").alias("captured")))
 
 
 def read_matches(spark: SparkSession, path: str) -> DataFrame:

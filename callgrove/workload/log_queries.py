@@ -182,7 +182,7 @@ def _(spark, d):
     t = lambda c: F.struct(c.alias("text"))
     rec = F.struct(S("l_orderkey").alias("file"), F.struct(F.struct(F.col("l_partkey").alias("start"), F.col("l_partkey").alias("end")).alias("byteOffset")).alias("range"),
                    F.struct(F.create_map(F.lit("A"), t(F.col("l_returnflag"))).alias("single"), F.create_map(F.lit("ARGS"), F.array(t(F.col("l_linestatus")), t(S("l_linenumber")))).alias("multi")).alias("metaVariables"))
-    rows = V.table(spark, d, "lineitem").select(F.from_json(F.to_json(rec), schema("matches")).alias("m")).select("m.*")
+    rows = V.table(spark, d, "lineitem").select(F.from_json(F.to_json(rec), records.match_fields()).alias("m")).select("m.*")
     return records.flatten_matches(rows).select("file", "start", "var", "at", "captured")
 
 

@@ -433,3 +433,22 @@ public String a(@PathVariable(name="id") Long id, @RequestParam final Map<String
     assert [(p["name"], p["in"], p["type"]) for p in out[0]["params"]] == [("id", "path", "integer"), ("all", "query", "string"), ("X, y", "header", "string")]
     assert out[0]["body"] == "List<Map<String, Form>>"
     assert java.extract_endpoints(spark.createDataFrame([("C.java", text)], "file string, text string"), mode="ref").filter("path <> '/'").count() == 3
+
+
+def test_captures_of_matches_are_laid_out_without_lambdas(spark):
+    t = lambda *xs: [(x,) for x in xs]
+    cases = [("both", {"A": ("a",), "B": ("b",), "C": None}, {"L": t("x", None), "E": []}), ("lists", None, {"L": t("x", "y"), "M": t("z")}),
+             ("empty lists", {}, {"L": [], "M": []}), ("null list", {"A": ("a",)}, {"L": None, "M": t("z")}), ("null list alone", None, {"L": None, "M": t("z")}),
+             ("null element", None, {"L": [None, ("y",)]}), ("none", None, None)]
+    m = spark.createDataFrame([(f, "r", ((1, 2),), (s, k)) for f, s, k in cases], records.match_fields().simpleString().replace(
+        "range:struct<byteOffset:struct<start:int,end:int>,start:struct<line:int,column:int>,end:struct<line:int,column:int>>", "range:struct<byteOffset:struct<start:int,end:int>>"))
+    out = records.flatten_matches(m.unionAll(m.filter("file = 'both'")))
+    got = sorted((r["file"], str(r["var"]), str(r["at"]), str(r["captured"])) for r in out.collect())
+    want = []
+    for f, s, k in [*cases, cases[0]]:
+        c = [(v, 0, x and x[0]) for v, x in (s or {}).items()]
+        if k and all(x is not None for x in k.values()):
+            c += [(v, i, x and x[0]) for v, xs in k.items() for i, x in enumerate(xs)]
+        want += [(f, *map(str, x)) for x in c or [(None, None, None)]]
+    assert got == sorted(want) and out.columns == ["file", "ruleId", "start", "end", "var", "at", "captured"]
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
