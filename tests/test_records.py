@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,6 +378,49 @@ def test_rounds_are_forgotten_after_their_lifetime(spark, tmp_path):
     assert sorted(r.promoted for r in kept) == [False, False, True] and [r.promoted for r in lost] == [False] * 3
 
 
+class Held:
+    """State of one piece, and how often it was asked for."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def getCurrentProcessingTimeInMs(self):
+        return 1
+
+
+def test_promotion_asks_for_the_state_of_a_piece_once():
+    held, job = Held(), jobs.LastRounds(3, 85, 1000)
+    job.init(held)
+    batch = lambda r, chains: pd.DataFrame({"known": True, "chain_id": range(chains), "round": r, "score": 99})
+    out = [pd.concat(job.handleInputRows((0,), iter(pdfs), held)) for pdfs in ([batch(0, 500), batch(1, 500)], [batch(2, 100)])]
+    assert held.calls == 4 and [len(o) for o in out] == [500, 100]
+    assert not out[0]["promoted"].any() and out[1]["promoted"].all()
+
+
+def test_chains_of_one_piece_keep_their_own_rounds(spark, tmp_path):
+    rnd = random.Random(4)
+    scores = [(c, r, rnd.choice([84, 86, 99])) for c in [*range(40), 2**60, 2**60 + 1, None] for r in [*rnd.sample(range(7), rnd.randint(1, 6)), *[None] * rnd.randint(0, 1)]]
+    rnd.shuffle(scores)
+    schema = "chain_id bigint, round int, score int"
+    for i in range(4):
+        spark.createDataFrame(scores[i::4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live = jobs.latest(jobs.run_to_table(jobs.promote_stream(stream, pieces=3), "update", "p", idle_batches=False), ["chain_id"])
+    plain = lambda df: sorted(map(str, df.select("chain_id", "last_round", "worst", "promoted").collect()))
+    assert plain(live) == plain(fd.promote(spark.createDataFrame(scores, schema)))
+
+
 def test_heartbeat_closes_only_silent_workers(spark, tmp_path):
     ev = spark.sql("""SELECT * FROM VALUES (1, timestamp'2026-01-01 00:00:00', true), (1, timestamp'2026-01-01 00:30:00', false), (2, timestamp'2026-01-01 05:00:00', true) AS t(worker, ts, done)""")
     ev.coalesce(1).write.parquet(str(tmp_path / "in"))
