@@ -1,6 +1,7 @@
 """The eight-node fixture graph with hand-derived results."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from callgrove.operators import hops, lookup, walks
 from callgrove.operators.profile import kind_counts, profile
 from callgrove.operators.structure import enclosing_method
+from callgrove.plans.scratch import SHUFFLE_CLEANUP, LevelTable, materialize
 from callgrove.sources.graph import Graph, read_graph, typed_edges, typed_nodes
 
 
@@ -111,6 +113,83 @@ def test_reached_rows_are_met_where_they_lie(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
 
 
+def _shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("|")
+    return {f for f in files.split("|") if "shuffle_" in f}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    before = _shuffle_files(spark)
+    level = LevelTable(spark, "level")
+    for step in (0, 1):
+        level.append(spark.range(50).repartition(3, "id"), step)
+    table = walks.materialize_by(materialize(spark.range(100).repartition(3, "id"), "plain"), "table", ["id"])
+    until = time.time() + 10
+    while (left := [f for f in _shuffle_files(spark) - before if f.endswith(".data")]) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and level.rows().count() == 100 == table.count()
+    assert spark.conf.get(SHUFFLE_CLEANUP) == "false"
+
+
+@pytest.fixture
+def shuffled(spark, monkeypatch):
+    """Joins as on tables too large to be broadcast."""
+    given = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(walks, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", given)
+
+
+def _moves(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+
+
+def test_paths_of_large_graphs_do_not_move_once_they_are_written(graph, ids, shuffled):
+    back = walks.reverse_chain(graph, ids("m:3", "m:2"))
+    assert _moves(back) == [] and names(back) == ["m:1", "m:1", "m:2", "m:2", "m:3", "m:entry", "m:entry"]
+
+
+def test_named_paths_of_large_graphs_do_not_move_either(graph, ids, shuffled):
+    chain = walks.forward_chain(graph, ids("m:entry", "m:3", "c:1"), names=True)
+    assert _moves(chain) == []
+    rows = lambda df: sorted((r["root"], r["id"], r["depth"], r["qualified_name"], r["file_path"], r["start_line"]) for r in df.collect())
+    assert rows(chain) == rows(walks.with_names(graph, walks.forward_chain(graph, ids("m:entry", "m:3", "c:1"))))
+
+
+@pytest.fixture
+def odd_graph(spark):
+    """Sinks on the way and at the end, ids with several methods, methods that only call what is no method."""
+    r = random.Random(7)
+    kinds = ["executeQuery", "RuntimeExec", "openConnection", "ldapSearch", "render", "render"]
+    nodes = [(f"n{i % 26}", "method" if i % 9 else "class", kinds[r.randrange(6)], f"q{i}", "x.java", i, i) for i in range(40)]
+    edges = [(f"n{r.randrange(18)}", r.choice([None, *(f"n{i}" for i in range(28))]), "calls", 1) for _ in range(34)]
+    return Graph(spark.createDataFrame(nodes, "id string, kind string, name string, qualified_name string, file_path string, start_line int, end_line int"),
+                 spark.createDataFrame(edges, "source string, target string, kind string, line int"))
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 7])
+def test_marked_walks_give_the_counts_and_grades_of_plain_ones(odd_graph, ids, shuffled, depth):
+    g, seeds = odd_graph, ids(*(f"n{i}" for i in range(0, 26, 2)))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    marks, plain = walks.sink_levels(g), walks.forward_chain(g, seeds, depth)
+    want = walks.grade_chains(g, plain)
+    assert rows(walks.method_sink_counts(g, walks.forward_chain(g, seeds, depth, marks=marks))) == rows(walks.method_sink_counts(g, plain))
+    assert rows(walks.grade_chains(g, walks.shortest_depths(g, seeds, depth, marks), once=True)) == rows(want)
+    assert rows(walks.grade_chains(g, walks.shortest_depths(g, seeds, depth))) == rows(want) == rows(walks.grade_chains(g, walks.forward_chain(g, seeds, depth, marks=marks)))
+
+
+def test_sinks_are_counted_without_moving_paths_by_node(odd_graph, ids, shuffled):
+    out = walks.method_sink_counts(odd_graph, walks.forward_chain(odd_graph, ids("n2", "n4"), marks=walks.sink_levels(odd_graph)))
+    assert [m for m in _moves(out) if "root" in m and "id#" in m] == []
+
+
+def test_reached_pairs_move_once_to_be_graded(odd_graph, ids, shuffled):
+    out = walks.grade_chains(odd_graph, walks.shortest_depths(odd_graph, ids("n2", "n4"), marks=walks.sink_levels(odd_graph)), once=True)
+    assert len([m for m in _moves(out) if "root" in m and "piece" in m]) == 1 and not [m for m in _moves(out) if "root" in m and "id#" in m]
+
+
 def test_review(spark, graph):
     from callgrove.plans.review import review_endpoints
     eps = spark.sql("""SELECT 'm:entry' AS id, 'pkg::C::m' AS endpoint_fqn, '/api/u' AS path, array(struct('q' AS name, 'String' AS type)) AS params, array('@GetMapping') AS annotations,
