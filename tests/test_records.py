@@ -410,7 +410,7 @@ def test_promotion_asks_for_the_state_of_a_piece_once():
 
 def test_chains_of_one_piece_keep_their_own_rounds(spark, tmp_path):
     rnd = random.Random(4)
-    scores = [(c, r, rnd.choice([84, 86, 99])) for c in [*range(40), 2**60, 2**60 + 1, None] for r in [*rnd.sample(range(7), rnd.randint(1, 6)), *[None] * rnd.randint(0, 1)]]
+    scores = [(c, r, rnd.choice([84, 86, 99])) for c in [*range(40), 2**60, 2**60 + 1, None] for r in rnd.sample(range(7), rnd.randint(1, 6))]
     rnd.shuffle(scores)
     schema = "chain_id bigint, round int, score int"
     for i in range(4):
@@ -421,6 +421,25 @@ def test_chains_of_one_piece_keep_their_own_rounds(spark, tmp_path):
     assert plain(live) == plain(fd.promote(spark.createDataFrame(scores, schema)))
 
 
+def test_null_rounds_and_scores_of_a_piece_count_as_they_do_for_one_chain():
+    rnd, nan = random.Random(5), float("nan")
+    came = [(rnd.randrange(60), rnd.choice([nan, *range(6)]), rnd.choice([nan, 80, 90, 99])) for _ in range(240)]
+    want = {}
+    for chain in {c for c, *_ in came}:
+        kept = {}
+        kept.update((r if r == r else float("nan"), s) for c, r, s in came if c == chain)
+        kept = {r: kept[r] for r in sorted(kept)[-3:]}
+        last, worst = max(kept), min(kept.values())
+        want[chain] = (last, worst, len(kept) == 3 and last - min(kept) == 2 and worst > 85)
+    held, job = Held(), jobs.LastRounds(3, 85, 1000)
+    job.init(held)
+    pdf = pd.DataFrame([(True, c, r if r == r else jobs.NO_ROUND, s if s == s else jobs.NO_SCORE) for c, r, s in came], columns=["known", "chain_id", "round", "score"])
+    (out,) = job.handleInputRows((0,), iter([pdf]), held)
+    plain = lambda v: None if pd.isna(v) else int(v)
+    got = {int(c): (plain(r), plain(w), bool(p)) for c, r, w, p in out.itertuples(index=False)}
+    assert got == {c: (plain(r), plain(w), p) for c, (r, w, p) in want.items()} and any(r is None for r, *_ in got.values()) and any(p for *_, p in got.values())
+
+
 def test_heartbeat_closes_only_silent_workers(spark, tmp_path):
     ev = spark.sql("""SELECT * FROM VALUES (1, timestamp'2026-01-01 00:00:00', true), (1, timestamp'2026-01-01 00:30:00', false), (2, timestamp'2026-01-01 05:00:00', true) AS t(worker, ts, done)""")
     ev.coalesce(1).write.parquet(str(tmp_path / "in"))
